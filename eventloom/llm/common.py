@@ -56,6 +56,3 @@ def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
 
     return df.mapInArrow(run, kind)
 
-
-def sha256_hex(column) -> F.Column:
-    return F.sha2(column, 256)
