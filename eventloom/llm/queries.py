@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .packing import packed
 from .quality_rules import quality_rules
 from .sharding import sharded
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 TOKEN_LIMIT = 2048
@@ -50,6 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
