@@ -13,6 +13,7 @@ from .byte_bpe import round_trip
 from .chat_tree import chat_tree, read_back
 from .common import table
 from .line_dedup import line_dedup
+from .ngram_join import near_duplicates
 from .packing import packed
 from .quality_rules import quality_rules
 from .sharding import sharded
@@ -56,6 +57,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
