@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import round_trip
 from .chat_tree import chat_tree, read_back
 from .common import table
+from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .ngram_join import near_duplicates
 from .packing import packed
@@ -48,6 +49,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
