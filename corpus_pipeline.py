@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages applied to documents in order."""
+"""The corpus pipeline over ``documents``: quality rules, line dedup, near-duplicates, substring dedup, packing.
 
-STAGES = []
+Each stage takes what the stage before it kept; all but the last return the
+columns of ``documents``. A stage's source may be null or its texts empty, and
+extra columns pass through all but the last; see the operators' own docstrings.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from eventloom.llm.line_dedup import without_shared_lines
+from eventloom.llm.ngram_join import one_of_each
+from eventloom.llm.packing import packed
+from eventloom.llm.quality_rules import passing
+from eventloom.llm.substring_dedup import without_repeats
+
+SEQUENCE_TOKENS = 2048
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host is not condemned."""
+    return passing(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more share."""
+    return without_shared_lines(docs, min_docs=10)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each near-duplicate group (five words, similarity 0.8)."""
+    return one_of_each(docs, words=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of fifty words that a document with a smaller id has."""
+    return without_repeats(docs, window=50)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in training sequences."""
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes()
+    return packed(docs, vocabulary, public_tokenizers.PATTERN, SEQUENCE_TOKENS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: No SQL: near-duplicate components and tokens are beyond it; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
