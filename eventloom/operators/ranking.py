@@ -89,7 +89,8 @@ def decile_spread(df: DataFrame, bin_col: str, value: str) -> DataFrame:
 def qcut_value(df: DataFrame, column: str, q: int = 5, name: str = "bin") -> DataFrame:
     """Right-closed bins, from 1, between linear quantiles of the values."""
     edges = df.agg(F.percentile(column, [i / q for i in range(1, q)]).alias("e")).scalar()
-    return df.withColumn(name, F.size(F.filter(edges, lambda e: e < F.col(column))) + 1)
+    held = df.withColumn("_e", edges)
+    return held.withColumn(name, sum(((F.col("_e")[i] < F.col(column)).cast("int") for i in range(q - 1)), F.lit(1))).drop("_e")
 
 
 def above_quantile(df: DataFrame, column: str, p: float, train: DataFrame | None = None, name: str = "high") -> DataFrame:
@@ -101,7 +102,8 @@ def above_quantile(df: DataFrame, column: str, p: float, train: DataFrame | None
 def vol_tertiles(df: DataFrame, column: str, name: str = "tertile") -> DataFrame:
     """How many of the 33rd and 67th percentiles a value reaches."""
     edges = df.agg(F.percentile(column, [0.33, 0.67]).alias("e")).scalar()
-    return df.withColumn(name, F.size(F.filter(edges, lambda e: e <= F.col(column))))
+    held = df.withColumn("_e", edges)
+    return held.withColumn(name, (F.col("_e")[0] <= F.col(column)).cast("int") + (F.col("_e")[1] <= F.col(column)).cast("int")).drop("_e")
 
 
 def temporal_split(df: DataFrame, order: list[str], val: float = 0.15, test: float = 0.15) -> DataFrame:
