@@ -11,17 +11,18 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 
 def tokens(text: Column, stop: list[str]) -> Column:
     """Lower-case words of two letters or more, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w\w+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
 def grams(words: Column, most: int) -> Column:
     """All n-grams up to ``most`` words; stop words are gone before, so a gram may span one."""
-    out = words
-    for n in range(2, most + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    return out
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    return F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, min_df: int = 1, max_df: float = 1.0, most: int = 2, sublinear: bool = True, stop: list[str] = STOP_WORDS) -> DataFrame:
