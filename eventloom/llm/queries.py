@@ -29,7 +29,7 @@ def vocabulary(name: str) -> bytes:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
+    return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
