@@ -41,14 +41,27 @@ def repeated_words(grams: F.Column) -> F.Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(ordered, covered))
 
 
+def gram_hashes(words: F.Column) -> F.Column:
+    spans = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(spans, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+
+
+def fails(text: F.Column, min_words: int, max_repeat_percent: int) -> F.Column:
+    """Whether a text fails the base rules, as one expression that holds the words once wherever Spark moves it."""
+
+    def judged(words: F.Column) -> F.Column:
+        n = F.size(words)
+        return F.when(n < min_words, True).otherwise(100 * _let(gram_hashes(words), repeated_words) > max_repeat_percent * n)
+
+    return _let(words_of(F.coalesce(text, F.lit(""))), judged)
+
+
 def measured(docs: DataFrame, text_col: str, min_words: int, max_repeat_percent: int) -> DataFrame:
     """Add n_words, the base measures and base_failed to ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
     split = docs.withColumns({"_words": words_of(text), "_lines": lines, "_text": text})
-    spans = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(spans, lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]))
-    full = split.withColumn("_grams", grams).withColumns(
+    full = split.withColumn("_grams", gram_hashes(F.col("_words"))).withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.translate("_text", ASCII_SPACE, "")).cast("long"),
@@ -101,8 +114,7 @@ def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", m
     where a host is hot.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    measures = docs.select(host.alias("host"), F.col(text_col).alias("text"))
-    bad = host_verdicts(measured(measures, "text", min_words, max_repeat_percent).select("host", "base_failed"), max_host_rate).filter(~F.col("host_kept"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
-    good = measured(whole, "text", min_words, max_repeat_percent).filter(~F.col("base_failed"))
-    return good.join(bad.select("host"), "host", "left_anti").select("row.*")
+    failed = fails(F.col(text_col), min_words, max_repeat_percent)
+    bad = host_verdicts(docs.select(host.alias("host"), failed.alias("base_failed")), max_host_rate).filter(~F.col("host_kept"))
+    whole = docs.filter(~failed).select(F.struct(*docs.columns).alias("row"), host.alias("host"))
+    return whole.join(bad.select("host"), "host", "left_anti").select("row.*")
