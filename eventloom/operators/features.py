@@ -30,8 +30,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, m
 
     Counts are summed before they are shuffled further; the vocabulary has at most ``max_features`` rows.
     """
-    words = df.select(id_col, tokens(F.col(text_col), stop).alias("_w"))
-    terms = words.select(id_col, F.explode(grams(F.col("_w"), most)).alias("term"))
+    # as the variable of a one-element transform, the words are made once for all grams of a text
+    each = F.transform(F.array(tokens(F.col(text_col), stop)), lambda words: grams(words, most))[0]
+    terms = df.select(id_col, F.explode(each).alias("term"))
     tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*")).scalar()
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)).orderBy(F.desc("total"), "term").limit(max_features)
