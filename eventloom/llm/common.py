@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,6 +51,18 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces_of(part: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have about ``limit`` bytes, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy()
+    ends = np.searchsorted(np.cumsum(sizes), np.arange(limit, sizes.sum() + limit, limit), "right") if len(sizes) else []
+    start = 0
+    for end in [*ends, part.num_rows]:
+        end = min(max(end, start + 1), part.num_rows)
+        if end > start:
+            yield part.slice(start, end - start)
+        start = end
+
+
 def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """mapInArrow with one function from columns to columns.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, shuffle_width
+from .common import materialized, pieces_of, shuffle_width
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
@@ -119,37 +119,42 @@ def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> Data
         small = codes.astype(_U).view(np.uint8).reshape(-1, 8)
         return (bucket, kind, (small if kind == _SPREAD else small[:, : _CODE_BITS // 8]).tobytes(), offsets.astype(wide).tobytes(), base, None, None, None, None, None)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(ids: list, texts: list) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        signatures, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for key, text in zip(ids, texts):
+            values = shingles(text, words)
+            both = (values.sum(dtype=_U), mixed(values + _U(3)).sum(dtype=_U))
+            rows.append((0, _INFO, None, None, None, key, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
+            if key is not None and len(values):
+                signatures.append(scheme.signatures(values))
+                owners.append(np.full(len(signatures[-1]), key, np.int64))
+        signature, owner = np.concatenate(signatures), np.concatenate(owners)
+        bucket = (signature % _U(buckets)).astype(np.int64)
+        code = bucket << _CODE_BITS | (signature >> _U(64 - _CODE_BITS)).astype(np.int64)
+        order = np.lexsort((owner, code))
+        code, owner, bucket = code[order], owner[order], bucket[order]
+        opens = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[opens, len(code)])
+        size = np.repeat(size, size)
+        is_first = np.zeros(len(code), bool)
+        is_first[opens] = True
+        twin = (size > 2) & ~is_first
+        where = np.where(twin, np.abs(owner) % buckets, bucket)
+        kind = np.where(twin, _SPREAD, np.where(size > 2, _TWINNED, _PACKED))
+        slot = where * 4 + kind
+        order = np.argsort(slot, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, slot[order][1:] != slot[order][:-1], True]) if len(slot) else []
+        for a, b in zip(cuts, cuts[1:]):
+            take = order[a:b]
+            rows.append(packed(int(where[take[0]]), int(kind[take[0]]), code[take], owner[take]))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _EMITTED.split(", ")])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows: list[tuple] = []
-            signatures, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-            for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                values = shingles(text, words)
-                both = (values.sum(dtype=_U), mixed(values + _U(3)).sum(dtype=_U))
-                rows.append((0, _INFO, None, None, None, key, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
-                if key is not None and len(values):
-                    signatures.append(scheme.signatures(values))
-                    owners.append(np.full(len(signatures[-1]), key, np.int64))
-            signature, owner = np.concatenate(signatures), np.concatenate(owners)
-            bucket = (signature % _U(buckets)).astype(np.int64)
-            code = bucket << _CODE_BITS | (signature >> _U(64 - _CODE_BITS)).astype(np.int64)
-            order = np.lexsort((owner, code))
-            code, owner, bucket = code[order], owner[order], bucket[order]
-            opens = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-            size = np.repeat(np.diff(np.r_[opens, len(code)]), np.diff(np.r_[opens, len(code)]))
-            is_first = np.zeros(len(code), bool)
-            is_first[opens] = True
-            twin = (size > 2) & ~is_first
-            where = np.where(twin, np.abs(owner) % buckets, bucket)
-            kind = np.where(twin, _SPREAD, np.where(size > 2, _TWINNED, _PACKED))
-            slot = where * 4 + kind
-            order = np.argsort(slot, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, slot[order][1:] != slot[order][:-1], True]) if len(slot) else []
-            for a, b in zip(cuts, cuts[1:]):
-                take = order[a:b]
-                rows.append(packed(int(where[take[0]]), int(kind[take[0]]), code[take], owner[take]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _EMITTED.split(", ")])
+            for piece in pieces_of(part, "text"):
+                yield gathered(piece.column("id").to_pylist(), piece.column("text").to_pylist())
 
     return docs.select("id", "text").mapInArrow(run, _EMITTED)
 
@@ -200,7 +205,7 @@ def sharing(packed: DataFrame, width: int) -> DataFrame:
 
 
 def rare_shingles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(shingle, id): of each set of (id, text) so many of its rarest shingles that a similar set must have one of them too.
+    """(shingle, id, n): of each set of n shingles, so many of its rarest shingles that a similar set must have one of them too.
 
     Rarest: not among the frequent ones of a bounded sample of documents, then by hash. Any order gives all pairs.
     """
@@ -209,8 +214,9 @@ def rare_shingles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values, n = np.unique(np.concatenate([np.zeros(0, _U), *[shingles(t, words) for t in part.column("text").to_pylist()]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+            for piece in pieces_of(part, "text"):
+                values, n = np.unique(np.concatenate([np.zeros(0, _U), *[shingles(t, words) for t in piece.column("text").to_pylist()]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
     counted = sample.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).select("shingle").toPandas()
@@ -219,19 +225,21 @@ def rare_shingles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value
         for part in parts:
-            out, ids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-            for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                values = shingles(text, words)
-                common = np.zeros(len(values), bool)
-                if len(frequent):
-                    common = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
-                order = np.lexsort((values, common))
-                take = len(values) + (-len(values) * num) // den + 1  # one more than a similar set may lack
-                out.append(values[order[:take]])
-                ids.append(np.full(len(out[-1]), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], ["shingle", "id"])
-
-    return docs.select("id", "text").mapInArrow(run, "shingle long, id long")
+            for piece in pieces_of(part, "text"):
+                out, ids, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for key, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
+                    values = shingles(text, words)
+                    common = np.zeros(len(values), bool)
+                    if len(frequent):
+                        common = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
+                    order = np.lexsort((values, common))
+                    take = len(values) + (-len(values) * num) // den + 1  # one more than a similar set may lack
+                    out.append(values[order[:take]])
+                    ids.append(np.full(len(out[-1]), key, np.int64))
+                    sizes.append(np.full(len(out[-1]), len(values), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["shingle", "id", "n"])
+
+    return docs.select("id", "text").mapInArrow(run, "shingle long, id long, n long")
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -320,8 +328,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rare = rare_shingles(picked(known, unsettled), words, percent, 100).join(unsettled, "id")
     spots = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
     rare = materialized(rare.join(spots, "shingle", "left_semi"))
-    other = rare.select("shingle", F.col("id").alias("b"), F.col("component").alias("other"))
-    pairs = rare.join(other, "shingle").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b").distinct()
+    other = rare.select("shingle", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
+    near_size = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
+    pairs = rare.join(other, "shingle").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & near_size).select(F.col("id").alias("a"), "b").distinct()
     more = verified(pairs, facts, known, words, percent, 100)
     if more.limit(1).count():
         label = components(links.union(more))
