@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -70,17 +71,19 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "mark", "text").mapInArrow(run, "anchor long, id long, mark int, n long")
 
 
-def suffix_rows(docs: DataFrame, window: int, frequent: bool) -> DataFrame:
-    """(prefix, whole, id, mark, pos) of the suffixes whose window has a shared anchor.
+def suffix_rows(docs: DataFrame, window: int, width: int) -> DataFrame:
+    """(prefix, salt, whole, id, mark, pos) of the suffixes whose window has a shared anchor.
 
     ``docs`` has id, mark, text, anchors (hash, n) or null, and copy; copies of
-    earlier texts are passed over. ``prefix`` is the fingerprint of the variable-length prefix, ``whole`` of the window;
-    ``frequent`` picks the suffixes of anchors that are too frequent for a group.
+    earlier texts are passed over. ``prefix`` is the fingerprint of the
+    variable-length prefix, ``whole`` of the window. Where an anchor is too
+    frequent for a group, the prefix is the window, and ``salt`` (from 1; else
+    0) deals its suffixes over ``width`` groups.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             lists = part.column("anchors")
             bounds, flat = lists.offsets.to_numpy(), lists.values
             hashes, sizes = (flat.field(x).to_numpy() for x in ("anchor", "n"))
@@ -95,68 +98,96 @@ def suffix_rows(docs: DataFrame, window: int, frequent: bool) -> DataFrame:
                 places, grams = anchors_of(runs, window)
                 wanted = grams[places].view(np.int64)
                 at = np.minimum(np.searchsorted(shared, wanted), len(shared) - 1)
-                pos = np.flatnonzero((shared[at] == wanted) & ((freq[at] > GROUP_SUFFIXES) == frequent))
-                length = places[pos] + ANCHOR_WORDS - pos
-                if frequent:
-                    length[:] = window
+                pos = np.flatnonzero(shared[at] == wanted)
+                frequent = freq[at[pos]] > GROUP_SUFFIXES
+                length = np.where(frequent, window, places[pos] + ANCHOR_WORDS - pos)
+                salt = np.where(frequent, 1 + (key * MULTIPLIER >> 20) % width, 0).astype(np.int32)
                 prefix = mixed(runs.at(pos, length) ^ (length.astype(np.uint64) * np.uint64(MULTIPLIER)))
-                for column, values in zip(out, (prefix.view(np.int64), runs.at(pos, window).view(np.int64), np.full(len(pos), key, np.int64), np.full(len(pos), mark, np.int32), pos.astype(np.int32))):
+                for column, values in zip(out, (prefix.view(np.int64), salt, runs.at(pos, window).view(np.int64), np.full(len(pos), key, np.int64), np.full(len(pos), mark, np.int32), pos.astype(np.int32))):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["prefix", "whole", "id", "mark", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["prefix", "salt", "whole", "id", "mark", "pos"])
 
-    return docs.mapInArrow(run, "prefix long, whole long, id long, mark int, pos int")
+    return docs.mapInArrow(run, "prefix long, salt int, whole long, id long, mark int, pos int")
 
 
-def _packed(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """A row per document with the list of its places."""
-    order = np.lexsort((marks, ids))
-    ids, marks, pos = ids[order], marks[order], pos[order]
-    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)].astype(np.int32)), pa.array(pos))
-    return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(marks[first]), lists], ["id", "mark", "pos"])
+_NODES = "prefix long, whole long, id long, mark int, pos array<int>"
+
+
+def _packed(rows: tuple[np.ndarray, ...], settled: bool) -> pa.RecordBatch:
+    """Rows as lists of places: a list per document where that is all to know of them, else one per row."""
+    prefix, whole, ids, marks, pos = rows
+    if settled:
+        order = np.lexsort((marks, ids))
+        ids, marks, pos = ids[order], marks[order], pos[order]
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    else:
+        first = np.arange(len(ids))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)].astype(np.int32)), pa.array(pos.astype(np.int32)))
+    keys = [pa.nulls(len(first), pa.int64())] * 2 if settled else [pa.array(prefix), pa.array(whole)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(ids[first]), pa.array(marks[first]), lists], ["prefix", "whole", "id", "mark", "pos"])
+
+
+class _Nodes:
+    """Tells, in suffix order, which rows begin a node and which document is its first; holds the last node only."""
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None
+
+    def firsts(self, keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        opens = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+        opens[0] = self.last is None or self.last[:-1] != tuple(k[0] for k in keys)
+        held = np.maximum.accumulate(np.where(opens, np.arange(1, len(ids) + 1), 0))  # 0: the node of the rows before
+        first = np.where(held > 0, ids[np.maximum(held, 1) - 1], self.last[-1] if self.last else 0)
+        self.last = (*(k[-1] for k in keys), first[-1])
+        return opens, first
 
 
 def subtree_repeats(suffixes: DataFrame) -> DataFrame:
     """(id, mark, pos array): the suffixes whose window starts in a document with a smaller id.
 
     A partition streams its subtrees in suffix order; all that is held of a
-    node is its fingerprint and its first document.
+    node is its fingerprint and its first document. A frequent node's salted
+    groups each leave their first suffix open, and those meet in a second pass.
     """
-    ordered = suffixes.repartition(shuffle_width(suffixes), "prefix").sortWithinPartitions("prefix", "whole", "id")
+    width = shuffle_width(suffixes)
+    ordered = suffixes.repartition(width, "prefix", "salt").sortWithinPartitions("prefix", "salt", "whole", "id")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = None
+    def grow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _Nodes()
+        for part in parts:
+            if part.num_rows:
+                prefix, salt, whole, ids, marks, pos = (part.column(c).to_numpy() for c in ("prefix", "salt", "whole", "id", "mark", "pos"))
+                opens, first = nodes.firsts([prefix, salt, whole], ids)
+                # equal ids repeat nothing among themselves, but all of a group's first document are open
+                for which, settled in ((ids > first, True), ((ids == first) & (salt > 0), False)):
+                    if which.any():
+                        yield _packed(tuple(x[which] for x in (prefix, whole, ids, marks, pos)), settled)
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _Nodes()
         for part in parts:
-            if not part.num_rows:
-                continue
-            prefix, whole, ids, marks, pos = (part.column(c).to_numpy() for c in ("prefix", "whole", "id", "mark", "pos"))
-            opens = np.r_[True, (prefix[1:] != prefix[:-1]) | (whole[1:] != whole[:-1])]
-            first = ids[np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))]
-            if node is not None and node[:2] == (prefix[0], whole[0]):
-                more = np.flatnonzero(opens[1:])
-                first[: more[0] + 1 if len(more) else len(first)] = node[2]
-            node = (prefix[-1], whole[-1], first[-1])
-            again = ids > first
-            if again.any():
-                yield _packed(ids[again], marks[again], pos[again])
-
-    return ordered.mapInArrow(run, "id long, mark int, pos array<int>")
-
-
-def frequent_repeats(suffixes: DataFrame) -> DataFrame:
-    """The same for prefixes that are whole windows: each is a node, whose first document is a pre-aggregated minimum."""
-    held = materialized(suffixes)
-    nodes = held.groupBy("prefix", "whole").agg(F.min("id").alias("first"))
-    return held.join(nodes, ["prefix", "whole"]).filter("id > first").select("id", "mark", F.array("pos").alias("pos"))
-
-
-def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+            done = part.filter(pc.is_null(part.column("prefix")))
+            rest = part.filter(pc.is_valid(part.column("prefix")))
+            if done.num_rows:
+                yield done.select(["id", "mark", "pos"])
+            if rest.num_rows:
+                ids = rest.column("id").to_numpy()
+                _, first = nodes.firsts([rest.column("prefix").to_numpy(), rest.column("whole").to_numpy()], ids)
+                yield rest.filter(pa.array(ids > first)).select(["id", "mark", "pos"])
+
+    grown = ordered.mapInArrow(grow, _NODES)
+    dealt = grown.repartition(width, F.coalesce("prefix", F.xxhash64("id"))).sortWithinPartitions("prefix", "whole", "id")
+    return dealt.mapInArrow(meet, "id long, mark int, pos array<int>")
+
+
+def repeats(docs: DataFrame, dealt: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """From rows with id, mark, text: (id, mark, pos arrays) of repeated windows, and (id, mark, copy) of copies of earlier texts.
 
     Equal texts are told first, by 128 bits of hash; only the first of each is
-    followed further. ``docs`` keeps all its columns in the join with the
-    anchors, so that the caller's own join with it can use the same exchange.
+    followed further. ``dealt`` has the same rows, by id and mark, and keeps
+    all its columns in the join with the anchors, so that the caller's own join
+    with it can use the same exchange.
     """
     known = docs.filter(F.col("id").isNotNull()).select("id", "mark", "text")
     texts = known.select("id", "mark", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("copy"), "text", F.length("text")).alias("b"))
@@ -165,11 +196,8 @@ def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     anchors = materialized(anchor_rows(known, window))
     shared = materialized(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n")).filter("low < high").select("anchor", "n"))
     by_doc = anchors.select("anchor", "id", "mark").join(shared, "anchor").groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "n")).alias("anchors"))
-    marked = docs.join(by_doc, ["id", "mark"], "left").join(copies, ["id", "mark"], "left")
-    found = subtree_repeats(suffix_rows(marked, window, False))
-    if shared.filter(F.col("n") > GROUP_SUFFIXES).limit(1).count():
-        some = marked.filter(F.exists("anchors", lambda x: x["n"] > GROUP_SUFFIXES))
-        found = found.unionAll(frequent_repeats(suffix_rows(some, window, True)))
+    marked = dealt.join(by_doc, ["id", "mark"], "left").join(copies, ["id", "mark"], "left")
+    found = subtree_repeats(suffix_rows(marked, window, shuffle_width(docs)))
     return found, copies
 
 
@@ -197,10 +225,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     anchor as five numbers, and the text once.
     """
     own = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
-    own = own.repartition(shuffle_width(docs), "id", "mark")  # one exchange of the text for both joins
-    found, copies = repeats(own, window)
+    dealt = own.repartition(shuffle_width(docs), "id", "mark")  # one exchange of the text for both joins
+    found, copies = repeats(own, dealt, window)
     starts = found.groupBy("id", "mark").agg(F.flatten(F.collect_list("pos")).alias("starts"))
-    joined = own.join(starts, ["id", "mark"], "left").join(copies, ["id", "mark"], "left").select("row", "text", "starts", "copy")
+    joined = dealt.join(starts, ["id", "mark"], "left").join(copies, ["id", "mark"], "left").select("row", "text", "starts", "copy")
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
