@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.llm import substring_dedup as sub
-from eventloom.llm.fingerprints import anchors, code_points, edited_anchors, fingerprints, hashes_in, likeness, scheme_of, syncmers, written
+from eventloom.llm.fingerprints import anchors, code_points, edited_anchors, fingerprints, hashes_in, in_order, likeness, scheme_of, syncmers, written
 from eventloom.llm.line_dedup import LineRuns, line_dedup, without_shared_lines
 from eventloom.llm.ngram_join import PartEnum, may_link, near_duplicates, one_of_each, parity_bits
 from eventloom.llm.quality_rules import passing, quality_rules
@@ -140,6 +141,41 @@ def test_syncmers_do_not_depend_on_context():
         assert written(edited_anchors(text, syncmers(text, *scheme_of(2000)), cut, tail)) == written(anchors(whole))
 
 
+def test_texts_that_keep_three_quarters_are_alike():
+    rng = np.random.default_rng(8)
+    like = lambda x, y: likeness(hashes_in(written(anchors(x))), hashes_in(written(anchors(y))))
+    for n in [*range(4, 200), 500, 3000]:
+        for period in (n, 1, 2, 7, 12, 36):
+            text = np.resize(rng.integers(97, 123, period).astype(np.uint64), n)
+            for tail in (0, n // 8, n // 4):
+                edited = np.concatenate([text[: n - n // 4], rng.integers(48, 58, tail).astype(np.uint64)])
+                assert like(text, edited) > 0 and like(edited, text) == like(text, edited), (n, period, tail)
+                assert written(edited_anchors(text, anchors(text), n - n // 4, edited[n - n // 4 :])) == written(anchors(edited))
+        assert like(text, np.concatenate([text, text[:1]])) > 0
+    assert like(code_points("a" * 20), code_points("a" * 200)) == 0.0
+
+
+def test_values_in_order():
+    rng = np.random.default_rng(9)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    for kinds in (1, 2, 5, 300):
+        for n, m in ((0, 5), (70, 90), (200, 150)):
+            a, b = rng.integers(0, kinds, n).tolist(), rng.integers(0, kinds, m).tolist()
+            assert in_order(a, b) == longest(a, b)
+    began = time.monotonic()
+    assert in_order([1] + [0] * 60_000, [0] * 50_000 + [2]) == 50_000
+    assert time.monotonic() - began < 30
+
+
 # substring dedup
 
 
