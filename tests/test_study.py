@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import responses, text
 from eventloom.operators import features, metrics, models, ranking, retrieval
-from eventloom.plans import market
+from eventloom.plans import market, registry, study_queries  # noqa: F401
 from eventloom.sources import tables
 from eventloom.streaming.labels import labelled
 
@@ -116,6 +116,15 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "splits/json")).count() == 1
 
 
+def test_yearly_files_hold_every_order(spark, tmp_path):
+    days = [None, "1988-05-01", "1995-01-01", "1996-01-01", "2000-12-31", "2001-08-01", "2004-02-29"]
+    rows = [(i, i % 3, d and dt.date.fromisoformat(d), "1-URGENT") for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        whole = spark.read.parquet(folder + "/orders.parquet").selectExpr("o_orderkey", "CAST(o_custkey AS STRING)", "o_orderpriority")
+        assert sorted(one(registry.QUERIES["yearly_files"](spark, folder))) == sorted(one(whole))
+
+
 def test_labels_on_a_stream(spark, tmp_path):
     spark.sql("SELECT TIMESTAMP_NTZ '2024-01-03 10:00:00' AS ts").write.parquet(str(tmp_path / "in"))
     stream = labelled(spark.readStream.schema("ts timestamp_ntz").parquet(str(tmp_path / "in")))
