@@ -79,12 +79,12 @@ def fit_per_group(train: DataFrame, test: DataFrame, group: str, values: Iterabl
     return out
 
 
-def run_experiments(train: DataFrame, test: DataFrame, models: dict[str, Estimator], score: Callable[[DataFrame], float]) -> DataFrame:
-    """Fit each model; rows (model, train_score, test_score, gap)."""
+def run_experiments(train: DataFrame, test: DataFrame, models: dict[str, Estimator], score: Callable[[DataFrame], float], predict: Callable = lambda model, df: model.transform(df)) -> DataFrame:
+    """Fit each model; rows (model, train_score, test_score, gap). Scores are of ``predict``'s rows."""
     rows = []
     for name, estimator in models.items():
         fitted = estimator.fit(train)
-        a, b = (float(score(fitted.transform(x))) for x in (train, test))
+        a, b = (float(score(predict(fitted, x))) for x in (train, test))
         rows.append((name, a, b, a - b))
     return train.sparkSession.createDataFrame(rows, "model string, train_score double, test_score double, gap double")
 

@@ -125,6 +125,35 @@ def test_yearly_files_hold_every_order(spark, tmp_path):
         assert sorted(one(registry.QUERIES["yearly_files"](spark, folder))) == sorted(one(whole))
 
 
+def test_source_queries_use_their_operators(spark, monkeypatch):
+    docs, used = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    for name in ("read_json_records", "read_keyed_json", "write_with_metadata"):
+        monkeypatch.setattr(tables, name, lambda *a, f=getattr(tables, name), **kw: used.append(f.__name__) or f(*a, **kw))
+    monkeypatch.setattr(study_queries, "FILE_ROWS", 30)
+    run = lambda q: sorted(one(registry.QUERIES[q](spark, "/root/testdata/sf0.001")), key=repr)
+    assert run("json_records") == sorted(one(docs.select("doc_id", "lang")), key=repr)
+    assert run("keyed_json") == sorted(one(docs.selectExpr("CAST(doc_id AS STRING)", "lang", "source")), key=repr)
+    run("yearly_files")
+    assert used == ["read_json_records", "read_keyed_json", "write_with_metadata"]
+
+
+def test_grid_saves_its_best_model(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(models, "save_pipeline", lambda *a, f=models.save_pipeline: saved.append(a[-1]) or f(*a))
+    first, *runs = one(registry.QUERIES["text_model_grid"](spark, "/root/testdata/sf0.001"))
+    assert len(runs) == 9 and all(r[3] >= 0.15 or r[2] <= first[2] for r in runs)
+    assert first in runs and first[3] < 0.15 and spark.read.text(saved[0] + "/metadata").count() == 1
+
+
+def test_scores_are_clipped(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame([(float(i), float(i)) for i in range(-5, 5)], "x double, y double"))
+    seen = []
+    models.run_experiments(df, df, {"m": models.linear("ridge", 0.0, 10, labelCol="y")}, lambda d: seen.append(d.agg(F.min("predicted")).first()[0]) or 0.0, models.score)
+    assert seen == [0.1, 0.1]
+
+
 def test_labels_on_a_stream(spark, tmp_path):
     spark.sql("SELECT TIMESTAMP_NTZ '2024-01-03 10:00:00' AS ts").write.parquet(str(tmp_path / "in"))
     stream = labelled(spark.readStream.schema("ts timestamp_ntz").parquet(str(tmp_path / "in")))
