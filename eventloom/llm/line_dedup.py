@@ -23,6 +23,8 @@ from .common import ASCII_SPACE, materialized
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("h1", "h2")
+#: Two levels of compaction: batches after the third meet sealed lines.
+BATCHES, FANOUT = 9, 3
 
 
 def line_keys(text: F.Column) -> F.Column:
@@ -45,7 +47,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
 class LineRuns:
     """Levelled sorted runs of line hashes with document counts."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, min_chars: int = 1, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int, min_chars: int = 1, fanout: int = FANOUT):
         self.spark, self.min_docs, self.min_chars, self.fanout = spark, min_docs, min_chars, fanout
         self.levels: list[list[DataFrame]] = [[]]
         self.sealed: list[DataFrame] = []
@@ -96,14 +98,14 @@ def batches(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
     return [docs.filter(x) for x in spans]
 
 
-def shared_lines(batched: Iterable[DataFrame], spark: SparkSession, min_docs: int, min_chars: int = 1, text_col: str = "text", fanout: int = 4) -> DataFrame:
+def shared_lines(batched: Iterable[DataFrame], spark: SparkSession, min_docs: int, min_chars: int = 1, text_col: str = "text", fanout: int = FANOUT) -> DataFrame:
     runs = LineRuns(spark, min_docs, min_chars, fanout)
     for batch in batched:
         runs.add(batch, text_col)
     return runs.shared_lines()
 
 
-def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the lines that too many documents share: (row, text, n_lines, n_dropped).
 
     ``row`` has the document's other columns, ``text`` the lines that stay.
@@ -143,7 +145,7 @@ def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: in
     return joined.mapInArrow(run, schema)
 
 
-def without_shared_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_shared_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the same columns, its texts without the lines that too many documents share."""
     done = line_dedup(docs, min_docs, min_chars, n_batches, id_col, text_col)
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

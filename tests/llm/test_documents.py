@@ -50,6 +50,21 @@ def test_line_runs_are_compacted(spark):
     assert runs.shared_lines().count() == 1
 
 
+def test_later_batches_meet_sealed_lines(spark, monkeypatch):
+    met, levels = [], []
+
+    def add(self, batch, text_col="text", f=LineRuns.add):
+        met.append(sum(x.count() for x in self.sealed))
+        f(self, batch, text_col)
+        levels.append(len(self.levels))
+
+    monkeypatch.setattr(LineRuns, "add", add)
+    spread = spark.createDataFrame([(i, f"Common\nown {i}") for i in range(180)], "doc_id long, text string")
+    out = line_dedup(spread, 10).select("row.doc_id", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, out)) == [(i, 2, 1) for i in range(180)]
+    assert len(met) == 9 and met[3] == 1 and met[-1] == 1 and levels[-1] == 3
+
+
 def test_lines_keep_columns(docs):
     assert without_shared_lines(docs, 10).schema == docs.schema
 
