@@ -3,37 +3,44 @@
 Sets are put into bands by size, so that similar sets lie in one band or in two
 neighbouring ones. In a band, sets that are similar enough differ in at most k
 shingles. The shingle domain is cut into first-level partitions, of which one
-then differs in at most k2 shingles, and each of these into n2 parts, of which
-n2 - k2 then agree: the sets share the signature of that subset of parts.
+then differs in at most one shingle, and each of these into three parts, of
+which two then agree: the sets share the signature of that pair of parts.
 
 Documents that share a signature are compared with the first of them, exactly,
 and what is linked becomes a component. A signature whose documents are then
-still in several components may hide other links. The documents of such
-signatures (they share a passage, say) are also joined on their rarest
-shingles, of which similar sets must have one in common; that leaves few pairs
-where a signature group has many, and none is lost.
+still in several components may hide other links. Its documents are described
+by their differences from one pivot, a document of the largest component there:
+two of them that are linked, and not both linked with the pivot, must differ
+from it in a shingle in common, and how many they need follows from the sizes
+alone. Differences are few and mostly a document's own, so that a family of
+near copies that are not linked leaves no pairs, however large it is. Documents
+that share a signature with a pivot unlike them (few shingles hashed to its
+parts) meet on their rarest shingles instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialized, pieces_of, shuffle_width
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
-#: Up to this many differing shingles, a partition may differ in one (k2 = 1) and has four parts (n2 = 4).
-ENUMERATED_K = 8
+#: A first-level partition differs in at most K2 shingles and has N2 parts, of which N2 - K2 agree.
+K2, N2 = 1, 3
+#: Buckets of signatures for each partition of the shuffle; a task holds one bucket at a time.
+BUCKETS = 8
+#: Longs of parities that are kept of a document's differences from a pivot.
+SKETCH = 8
 #: Ids that may be broadcast (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Documents whose shingles tell which are frequent, and how many of those are kept; this orders work and changes no result.
-SAMPLED_DOCUMENTS, FREQUENT_SHINGLES = 20_000, 1_000_000
 _CODE_BITS = 40
 
 
@@ -69,8 +76,7 @@ class PartEnum:
         return np.concatenate(found) if found else np.zeros(0, _U)
 
     def of_band(self, values: np.ndarray, band: int) -> np.ndarray:
-        k = self.differing(band)
-        k2, n2 = (1, 4) if k <= ENUMERATED_K else (0, 1)
+        k, k2, n2 = self.differing(band), K2, N2
         n1 = -(-(k + 1) // (k2 + 1))
         dealt = mixed(values ^ _U(band * MULTIPLIER & (1 << 64) - 1))
         part = (dealt % _U(n1 * n2)).astype(np.int64)
@@ -85,19 +91,32 @@ class PartEnum:
 
 
 def parity_bits(values: np.ndarray) -> bytes:
-    """Parities of hashed shingle counts, two bits or more a shingle: sets that differ in d shingles differ in at most d bits."""
-    n = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    """Parities of hashed shingle counts, four bits or more a shingle: sets that differ in d shingles differ in at most d bits."""
+    n = max(64, 1 << (4 * len(values) - 1).bit_length()) if len(values) else 64
     return np.packbits((np.bincount((values & _U(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
-    """False only if the sets cannot be similar enough."""
-    if min(na, nb) * den < num * max(na, nb):
-        return False
+def parity_distance(a: bytes, b: bytes) -> int:
+    """At most the number of shingles in which the sets differ."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     n = min(len(x), len(y))
     fold = lambda z: z if len(z) == n else np.bitwise_xor.reduce(z.reshape(-1, n), axis=0)
-    return int(np.bitwise_count(fold(x) ^ fold(y)).sum()) <= (na + nb) * (den - num) // (den + num)
+    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
+    """False only if the sets cannot be similar enough."""
+    return min(na, nb) * den >= num * max(na, nb) and parity_distance(a, b) <= (na + nb) * (den - num) // (den + num)
+
+
+def is_near(differing: int, na: int, nb: int, num: int, den: int) -> bool:
+    """Is the Jaccard distance at most 1/2 plus that of a link?"""
+    return differing * (den + 2 * num) <= (3 * den - 2 * num) * (na + nb)
+
+
+def is_far(differing: int, na: int, nb: int) -> bool:
+    """Is the Jaccard distance over 1/2?"""
+    return 3 * differing > na + nb
 
 
 _EMITTED = "bucket int, kind int, codes binary, ids binary, base long, id long, n long, h1 long, h2 long, bits binary"
@@ -115,17 +134,18 @@ def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> Data
     def packed(bucket: int, kind: int, codes: np.ndarray, ids: np.ndarray) -> tuple:
         base = int(ids.min())
         offsets = ids - base
-        wide = np.uint32 if int(offsets.max()) < 1 << 32 else np.uint64
+        most = int(offsets.max())
+        wide = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
         small = codes.astype(_U).view(np.uint8).reshape(-1, 8)
         return (bucket, kind, (small if kind == _SPREAD else small[:, : _CODE_BITS // 8]).tobytes(), offsets.astype(wide).tobytes(), base, None, None, None, None, None)
 
     def gathered(ids: list, texts: list) -> pa.RecordBatch:
         rows: list[tuple] = []
         signatures, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for key, text in zip(ids, texts):
+        for i, (key, text) in enumerate(zip(ids, texts)):
             values = shingles(text, words)
             both = (values.sum(dtype=_U), mixed(values + _U(3)).sum(dtype=_U))
-            rows.append((0, _INFO, None, None, None, key, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
+            rows.append(((i + (key or 0)) % buckets, _INFO, None, None, None, key, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
             if key is not None and len(values):
                 signatures.append(scheme.signatures(values))
                 owners.append(np.full(len(signatures[-1]), key, np.int64))
@@ -160,57 +180,60 @@ def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> Data
 
 
 def sharing(packed: DataFrame, width: int) -> DataFrame:
-    """(code, id) of all signatures that two documents or more have; a bucket is held at a time."""
-    ordered = packed.filter(F.col("kind") != _INFO).select("bucket", "kind", "codes", "ids", "base").repartition(width, "bucket").sortWithinPartitions("bucket")
+    """The facts of all documents, and (code, id) of all signatures that two documents or more have; a bucket is held at a time."""
+    ordered = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
+    names = ["code", "id", "n", "h1", "h2", "bits"]
 
-    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        step = 8 if row["kind"] == _SPREAD else _CODE_BITS // 8
-        small = np.frombuffer(row["codes"], np.uint8).reshape(-1, step)
+    def unpacked(bucket: int, kind: int, codes: bytes, ids: bytes, base: int) -> tuple[np.ndarray, np.ndarray]:
+        step = 8 if kind == _SPREAD else _CODE_BITS // 8
+        small = np.frombuffer(codes, np.uint8).reshape(-1, step)
         full = np.zeros((len(small), 8), np.uint8)
         full[:, :step] = small
         code = full.reshape(-1).view(np.int64)
         if step < 8:
-            code = code | row["bucket"] << _CODE_BITS
-        wide = np.uint32 if len(row["ids"]) == 4 * len(code) else np.uint64
-        return code, np.frombuffer(row["ids"], wide).astype(np.int64) + row["base"]
-
-    def groups(rows: list[dict]) -> pa.RecordBatch:
-        parts = [(*unpacked(r), r["kind"]) for r in rows]
-        code, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        kind = np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts])
-        spread = kind == _SPREAD
-        out = [(code[spread], owner[spread])]
-        code, owner, known = code[~spread], owner[~spread], (kind == _TWINNED)[~spread]
+            code = code | bucket << _CODE_BITS
+        wide = {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(ids) // len(code)]
+        return code, np.frombuffer(ids, wide).astype(np.int64) + base
+
+    def links(code: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(owner), *[pa.nulls(len(code), pa.int64())] * 3, pa.nulls(len(code), pa.binary())], names)
+
+    def groups(held: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        code, owner = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        known = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
         order = np.lexsort((owner, code))
         code, owner, known = code[order], owner[order], known[order]
-        if len(code):
-            opens = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            size = np.diff(np.r_[opens, len(code)])
-            many = np.repeat((size > 1) | np.logical_or.reduceat(known, opens), size)
-            out.append((code[many], owner[many]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], ["code", "id"])
+        opens = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[opens, len(code)])
+        many = np.repeat((size > 1) | np.logical_or.reduceat(known, opens), size)
+        return links(code[many], owner[many])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held, last = [], None
         for part in parts:
-            for row in part.to_pylist():
-                if held and row["bucket"] != held[0]["bucket"]:
+            kinds = part.column("kind").to_numpy()
+            facts = part.filter(pa.array(kinds == _INFO))
+            if facts.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(facts.num_rows, pa.int64()), *[facts.column(c) for c in names[1:]]], names)
+            for i in np.flatnonzero(kinds != _INFO):
+                bucket, kind, *row = (part.column(c)[i].as_py() for c in ("bucket", "kind", "codes", "ids", "base"))
+                if held and bucket != last:
                     yield groups(held)
                     held = []
-                held.append(row)
+                last = bucket
+                code, owner = unpacked(bucket, kind, *row)
+                if kind == _SPREAD:
+                    yield links(code, owner)
+                else:
+                    held.append((code, owner, kind == _TWINNED))
         if held:
             yield groups(held)
 
-    return ordered.mapInArrow(run, "code long, id long")
+    return ordered.mapInArrow(run, "code long, id long, n long, h1 long, h2 long, bits binary")
 
 
-def rare_shingles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(shingle, id, n): of each set of n shingles, so many of its rarest shingles that a similar set must have one of them too.
-
-    Rarest: not among the frequent ones of a bounded sample of documents, then by hash. Any order gives all pairs.
-    """
-    n = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(-(-n // SAMPLED_DOCUMENTS) or 1)) == 0)
+def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
+    """(shingle, n): of all documents' shingles those that two or more have, counted in slices before they are shuffled."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -218,28 +241,7 @@ def rare_shingles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 values, n = np.unique(np.concatenate([np.zeros(0, _U), *[shingles(t, words) for t in piece.column("text").to_pylist()]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).select("shingle").toPandas()
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(top["shingle"].to_numpy(np.int64).view(_U)))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = held.value
-        for part in parts:
-            for piece in pieces_of(part, "text"):
-                out, ids, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for key, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
-                    values = shingles(text, words)
-                    common = np.zeros(len(values), bool)
-                    if len(frequent):
-                        common = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
-                    order = np.lexsort((values, common))
-                    take = len(values) + (-len(values) * num) // den + 1  # one more than a similar set may lack
-                    out.append(values[order[:take]])
-                    ids.append(np.full(len(out[-1]), key, np.int64))
-                    sizes.append(np.full(len(out[-1]), len(values), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["shingle", "id", "n"])
-
-    return docs.select("id", "text").mapInArrow(run, "shingle long, id long, n long")
+    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -293,6 +295,142 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def largest_sharing(num: int, den: int) -> Column:
+    """The most shingles in which a set of ``n`` and one similar to it differ."""
+    return F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num))
+
+
+def incidences(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(p, id, component, size): the documents of every signature that has several components, and its pivot with the pivot's component's size."""
+    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+    known = label.join(sizes, "component").select("id", "component", "size")
+    grouped = shared.join(known, "id", "left").select("code", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    best = F.max(F.struct("size", (-F.col("component")).alias("back"))).alias("best")
+    pivots = materialized(grouped.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high"), best).filter("low < high").select("code", (-F.col("best.back")).alias("p"), F.col("best.size").alias("p_size")))
+    return materialized(grouped.join(pivots, "code").filter("id != p").select("p", "p_size", "id", "component").distinct())
+
+
+_DIFFERENCES = "p long, p_size long, id long, component long, mark long, n long, m long, d long, near boolean, far boolean, inner boolean, sketch array<bigint>, added array<bigint>, lost array<bigint>"
+
+
+def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of each document and pivot: in how many shingles they differ and, if they may be near, in which.
+
+    Documents whose parity bits show that they are not near are not compared.
+    """
+    keys = found.columns
+    side = lambda x: facts.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
+    probed = found.join(side("id"), "id").join(side("p"), "p").select(*keys, "nid", "np", "bitsid", "bitsp")
+
+    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in ("bitsid", "bitsp", "nid", "np")]
+            near = pa.array([is_near(parity_distance(a, b), n, m, num, den) for a, b, n, m in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], near], [*keys, "near"])
+
+    told = materialized(probed.mapInArrow(probe, "p long, p_size long, id long, component long, near boolean").groupBy(*keys).agg(F.max("near").alias("near")))
+    near = told.filter("near").drop("near")
+    needed = picked(docs, near.select(F.explode(F.array("p", "id")).alias("id")))
+    text = lambda x: needed.select(F.col("id").alias(x), F.col("text").alias("text" + x))
+    full = near.join(text("id"), "id").join(text("p"), "p").select(*keys, "textid", "textp")
+    kinds = [*[pa.int64()] * 8, *[pa.bool_()] * 3, *[pa.list_(pa.int64())] * 3]
+    names = [x.split()[0] for x in _DIFFERENCES.split(", ")]
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple = (None, None)
+        for part in parts:
+            rows = []
+            for *row, own, other in zip(*(part.column(c).to_pylist() for c in (*keys, "textid", "textp"))):
+                if kept[0] != other:
+                    kept = (other, shingles(other, words))
+                x, y = shingles(own, words), kept[1]
+                added, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                sketch = np.packbits((np.bincount((np.concatenate([added, lost]) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8))
+                n, m, d = len(x), len(y), len(added) + len(lost)
+                near = is_near(d, n, m, num, den)
+                mark = (x.sum(dtype=_U) ^ mixed(y.sum(dtype=_U, keepdims=True)))[0]
+                rows.append((*row, int(mark.astype(np.int64)), n, m, d, near, is_far(d, n, m), d * (den + num) <= (n + m) * (den - num), *((v.view(np.int64) if near else None) for v in (sketch, added, lost))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    compared = full.mapInArrow(compare, _DIFFERENCES)
+    unlike = told.filter("NOT near").drop("near").select(*keys, *[F.lit(None).cast("long").alias(c) for c in names[4:8]], F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(False).alias("inner"), *[F.lit(None).cast("array<bigint>").alias(c) for c in names[11:]])
+    return materialized(compared.union(unlike))
+
+
+def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components that may be linked, from the shingles in which both differ from one pivot.
+
+    Sets x and y whose differences from the pivot are X and Y differ in
+    |X| + |Y| - 2 |X and Y|, so they need a number of common ones that is one
+    or more unless both are linked with the pivot. In an order that all share
+    (what the pivot lacks first, the rare first), the first common one comes
+    before the last that many of both. X and Y also differ in no fewer
+    shingles than their parities do.
+    """
+    own = ["p", "id", "component", "mark", "n", "d", "inner", *[f"s{i}" for i in range(SKETCH)]]
+    near = told.filter("near").dropDuplicates(["p", "id", "mark"]).withColumns({f"s{i}": F.col("sketch")[i] for i in range(SKETCH)})
+    least = F.floor((F.ceil(F.col("n") * num / den) + F.col("m")) * (den - num) / (den + num)) + 1  # of an outer document's differences
+    most = largest_sharing(num, den)
+    other = F.greatest(F.col("d") - most, F.when(F.col("inner"), least).otherwise(0))
+    needed = F.greatest(F.ceil((F.col("d") + other - most) / 2), F.lit(1))
+    sides = [near.select(*own, "m", F.explode(c).alias("shingle"), F.lit(c == "lost").alias("lost")) for c in ("added", "lost")]
+    each = materialized(sides[0].union(sides[1]))
+    spots = each.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("inner").alias("all_inner"), F.count("*").alias("times")).filter("low < high AND NOT all_inner").select("p", "shingle", "times")
+    # what no document of another component has can hold no first common place; it comes last
+    order = Window.partitionBy("p", "id", "mark").orderBy(F.col("times").isNull(), "lost", "times", "shingle")
+    placed = each.join(materialized(spots), ["p", "shingle"], "left").withColumn("pos", F.row_number().over(order) - 1)
+    kept = materialized(placed.filter(F.col("times").isNotNull() & (F.col("pos") <= F.col("d") - needed)).select(*own, "shingle", "pos"))
+    again = kept.select("p", "shingle", *[F.col(c).alias("other_" + c) for c in own[1:] + ["pos"] if c != "mark"])
+    most = F.floor((F.col("n") + F.col("other_n")) * (den - num) / (den + num))
+    total = F.col("d") + F.col("other_d") - most
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"other_s{i}"))) for i in range(SKETCH)])
+    may = (apart <= most) & (2 * (F.col("d") - F.col("pos")) >= total) & (2 * (F.col("other_d") - F.col("other_pos")) >= total)
+    met = kept.join(again, ["p", "shingle"]).filter((F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & ~(F.col("inner") & F.col("other_inner")) & near_size("n", "other_n", num, den) & may)
+    return met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
+def near_size(n: str, m: str, num: int, den: int) -> Column:
+    return (den * F.col(n) >= num * F.col(m)) & (den * F.col(m) >= num * F.col(n))
+
+
+def pairs_of_strangers(told: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b) of different components that may be linked, of documents that share a signature with a pivot far from them.
+
+    Similar sets have one of so many of their rarest shingles in common. What
+    both are near the same pivot is left to that pivot. A distance of Jaccard
+    is a metric: of linked documents either both are near the pivot, or both
+    are far from it and come here.
+    """
+    homes = told.groupBy("p", "p_size", "id").agg(F.min("near").alias("near")).filter("near").groupBy("id").agg(F.max(F.struct("p_size", (-F.col("p")).alias("back"))).alias("home")).select("id", (-F.col("home.back")).alias("home"))
+    far = materialized(told.filter("far").select("id", "component").distinct().join(homes, "id", "left"))
+    own = picked(docs, far)
+    counted = materialized(shared_shingles(own, words))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for piece in pieces_of(part, "text"):
+                sets = [shingles(t, words) for t in piece.column("text").to_pylist()]
+                sizes = [len(x) for x in sets]
+                marks = [int(mixed(x.sum(dtype=_U, keepdims=True))[0].astype(np.int64)) for x in sets]
+                flat = np.concatenate([np.zeros(0, _U), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *[pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (piece.column("id").to_pylist(), marks, sizes)]], ["shingle", "id", "mark", "n"])
+
+    each = own.select("id", "text").mapInArrow(run, "shingle long, id long, mark long, n long").join(counted.withColumnRenamed("n", "times"), "shingle")
+    order = Window.partitionBy("id", "mark").orderBy("times", "shingle")
+    # shingles that no other document has come first, and aren't rows: shared ones take their places from the end
+    placed = each.withColumn("after", F.count("*").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    rare = placed.filter(F.col("after") * den >= F.col("n") * num).join(far, "id")
+    spots = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("two"), F.count("home").alias("at_home"), F.count("*").alias("all"))
+    spots = spots.filter("low < high AND (at_home < all OR one < two)").select("shingle")
+    rare = materialized(rare.join(spots, "shingle", "left_semi"))
+    again = rare.select("shingle", *[F.col(c).alias("other_" + c) for c in ("id", "component", "home", "n", "after")])
+    may = (F.col("after") * (den + num) >= num * (F.col("n") + F.col("other_n"))) & (F.col("other_after") * (den + num) >= num * (F.col("n") + F.col("other_n")))
+    strangers = F.col("home").isNull() | F.col("other_home").isNull() | (F.col("home") != F.col("other_home"))
+    met = rare.join(again, "shingle").filter((F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & strangers & near_size("n", "other_n", num, den) & may)
+    return met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link whose sets of word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -309,29 +447,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     scheme, width = PartEnum(percent, 100), shuffle_width(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.filter(F.col("id").isNotNull())
-    first_pass = materialized(emitted(texts, words, scheme, width))
-    facts = first_pass.filter(F.col("kind") == _INFO).select("id", "n", "h1", "h2", "bits")
-    equal = facts.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    first_pass = materialized(sharing(emitted(texts, words, scheme, BUCKETS * width), width))
+    facts = first_pass.filter("code IS NULL").drop("code")
+    equal = materialized(facts.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     copies = materialized(facts.join(equal, ["n", "h1", "h2"]).select("id", "first").distinct())
     of_first = copies.groupBy("id").agg(F.min("first").alias("first"))
     doubled = copies.join(of_first.withColumnRenamed("first", "least"), "id").filter("first > least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # rows that share an id
 
-    shared = sharing(first_pass, width).join(of_first, "id", "left").select("code", F.coalesce("first", "id").alias("id")).distinct()
+    shared = first_pass.filter("code IS NOT NULL").select("code", "id").join(of_first, "id", "left").select("code", F.coalesce("first", "id").alias("id")).distinct()
     shared = materialized(shared)
-    starred = shared.join(shared.groupBy("code").agg(F.min("id").alias("a")), "code").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    firsts = materialized(shared.groupBy("code").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last"))
+    starred = shared.join(firsts, "code").filter("a < id").select("a", F.col("id").alias("b")).distinct()
     links = verified(starred, facts, known, words, percent, 100).union(doubled)
     label = components(links)
 
-    grouped = shared.join(label, "id", "left").select("code", "id", F.coalesce("component", "id").alias("component"))
-    mixed_codes = grouped.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("code")
-    unsettled = materialized(grouped.join(mixed_codes, "code", "left_semi").select("id", "component").distinct())
-    rare = rare_shingles(picked(known, unsettled), words, percent, 100).join(unsettled, "id")
-    spots = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    rare = materialized(rare.join(spots, "shingle", "left_semi"))
-    other = rare.select("shingle", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
-    near_size = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    pairs = rare.join(other, "shingle").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & near_size).select(F.col("id").alias("a"), "b").distinct()
-    more = verified(pairs, facts, known, words, percent, 100)
+    told = differences(incidences(shared.join(firsts, "code", "left_semi"), label), facts, known, words, percent, 100)
+    more = told.filter("inner").select("p", "id").union(verified(pairs_of_families(told, percent, 100), facts, known, words, percent, 100)).union(verified(pairs_of_strangers(told, known, words, percent, 100), facts, known, words, percent, 100))
+    more = materialized(more)
     if more.limit(1).count():
         label = components(links.union(more))
 
@@ -340,7 +472,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, without near-duplicates of a document with a smaller id."""
+    """The rows of ``docs``, unchanged, without near-duplicates of a document with a smaller id.
+
+    Rows with a null id, a null text or no words stay; rows that share an id
+    stay or go together; of equal texts the one with the least id stays; an
+    empty table gives no rows; other columns may have any name.
+    """
     found = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = materialized(found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = materialized(found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).cast("long").alias("key")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("key"))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "key", "left_anti").select("row.*")
