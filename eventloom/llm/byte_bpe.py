@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is encoded by halves. A leaf (its short units are the base case, which
-the tiktoken library encodes) is cut into units, each a run of white
+A match of the split pattern is encoded by halves down to runs of a few bytes.
+Two encoded halves are joined by encoding a window around the seam again, one
+token of each side at first, twice as many each time, until the tokens outside
+it are proven final: a sequence of tokens is the encoding of its bytes exactly
+if every neighbouring pair is the encoding of its own bytes. What a pair, or a
+run of a few bytes, encodes to is kept.
+
+A text is encoded by halves too. A leaf is cut into units, each a run of white
 space and the word behind it. Between a non-space and a space the split
 pattern always starts a new match, and a match depends only on what follows
-its start, so every unit is encoded alone whatever surrounds it; when two
-halves meet, only the last unit of the left and the first of the right can
-change, and they are encoded again as one window.
-
-One match that is long (letters without a space, say) is a tree of its own
-over tokens. There the window around the seam grows until the tokens outside
-it are proven final: a sequence of tokens is the encoding of its bytes exactly
-if every neighbouring pair is the encoding of its own bytes.
+its start, so a unit is encoded alone whatever surrounds it, once in a worker;
+when two halves meet, only the last unit of the left and the first of the
+right can change, and they are encoded again as one window.
 
 Decoding concatenates the tokens' bytes up a tree of the same shape.
 """
@@ -27,15 +28,14 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, arrow_map
 
-LEAF_CHARS, LEAF_IDS, LEAF_BYTES = 2048, 4096, 48
-#: Units whose ids a Python worker keeps; beyond that it starts afresh.
-CACHED_UNITS = 400_000
+LEAF_CHARS, LEAF_IDS, LEAF_BYTES = 1024, 512, 6
+#: Units (of KEPT_CHARS at most), nodes (of KEPT_BYTES) and pairs whose ids a Python worker keeps; beyond that it starts afresh.
+CACHED_UNITS, CACHED_NODES, KEPT_CHARS, KEPT_BYTES = 400_000, 200_000, 64, 16
 #: A leaf without these is cut at its single spaces.
 _ODD = re.compile(r"[ ]\s|[\x1c-\x1f]|\A\s|\s\Z")
 _UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -50,23 +50,24 @@ class ByteRanks:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.final: dict[tuple[int, int], bool] = {}
+        self.nodes: dict[bytes, list[int]] = {}
+        self.changed: dict[tuple[int, int], list[int] | None] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Lowest rank first, the leftmost of equals, until no pair has a rank."""
         ranks, n = self.ranks, len(data)
-        if n <= 24:
-            parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = ranks.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return [ranks[p] for p in parts]
+        if n <= 48:
+            parts, none, get = [data[i : i + 1] for i in range(n)], len(self.bytes_of), ranks.get
+            rank = [get(data[i : i + 2], none) for i in range(n - 1)]
+            while rank and (least := min(rank)) < none:
+                i = rank.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del rank[i]
+                if i:
+                    rank[i - 1] = get(parts[i - 1] + parts[i], none)
+                if i < len(rank):
+                    rank[i] = get(parts[i] + parts[i + 1], none)
+            return [ranks[x] for x in parts]
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part starts at i and ends at end[i]
         heap: list[tuple[int, int, int]] = []
 
@@ -93,29 +94,39 @@ class ByteRanks:
             i = end[i]
         return out
 
-    def is_final(self, a: int, b: int) -> bool:
-        if (known := self.final.get((a, b))) is None:
-            if len(self.final) > 500_000:
-                self.final.clear()
-            known = self.final[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+    def change(self, a: int, b: int) -> list[int] | None:
+        """What the bytes of two tokens are encoded to; None if to these two, which are then final."""
+        if (a, b) in self.changed:
+            return self.changed[a, b]
+        if len(self.changed) >= CACHED_NODES:
+            self.changed.clear()
+        found = self.merged(self.bytes_of[a] + self.bytes_of[b])
+        self.changed[a, b] = found = None if found == [a, b] else found
+        return found
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
-        k = 1
-        while True:
-            window = left[-k:] + right[:k]
-            middle = self.merged(b"".join(map(self.bytes_of.__getitem__, window)))
-            if (k >= len(left) or self.is_final(left[-k - 1], middle[0])) and (k >= len(right) or self.is_final(middle[-1], right[k])):
-                return left[:-k] + middle + right[k:]
+        """The encoding of the bytes of two encodings, by a window around the seam that grows until what lies outside is final."""
+        middle, k = self.change(left[-1], right[0]), 1
+        if middle is None:
+            return left + right
+        while (k < len(left) and self.change(left[-k - 1], middle[0]) is not None) or (k < len(right) and self.change(middle[-1], right[k]) is not None):
             k *= 2
+            middle = self.merged(b"".join(map(self.bytes_of.__getitem__, left[-k:] + right[:k])))
+        return left[:-k] + middle + right[k:]
+
+    def node(self, data: bytes) -> list[int]:
+        if (known := self.nodes.get(data)) is None:
+            half = (len(data) + 1) // 2
+            known = self.merged(data) if len(data) <= LEAF_BYTES else self.joined(self.node(data[:half]), self.node(data[half:]))
+            if len(data) <= KEPT_BYTES:
+                if len(self.nodes) >= CACHED_NODES:
+                    self.nodes.clear()
+                self.nodes[data] = known
+        return known
 
     def match(self, data: bytes) -> list[int]:
-        if (rank := self.ranks.get(data)) is not None:
-            return [rank]
-        if len(data) <= LEAF_BYTES:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.joined(self.match(data[:half]), self.match(data[half:]))
+        """A match that is a token is that token; any other is a tree."""
+        return self.node(data) if (rank := self.ranks.get(data)) is None else [rank]
 
 
 class TreeCodec:
@@ -125,17 +136,18 @@ class TreeCodec:
         self.vocabulary = ByteRanks(rank_file)
         inside = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.matches = regex.compile(inside)
-        self.short = tiktoken.Encoding("short", pat_str=pattern, mergeable_ranks=self.vocabulary.ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def unit(self, text: str) -> bytes:
         """Ids of a unit, as little-endian unsigned 32-bit integers."""
-        if len(text) > 64:
-            return np.array([i for match in self.matches.findall(text) for i in self.vocabulary.match(match.encode())], "<u4").tobytes()
-        ids = self.short(text)
-        if len(self.known) >= CACHED_UNITS:
-            self.known.clear()
-        code = self.known[text] = struct.pack(f"<{len(ids)}I", *ids)
+        ids: list[int] = []
+        for match in self.matches.findall(text):
+            ids += self.vocabulary.match(match.encode())
+        code = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= KEPT_CHARS:
+            if len(self.known) >= CACHED_UNITS:
+                self.known.clear()
+            self.known[text] = code
         return code
 
     def leaf(self, text: str) -> tuple[list[bytes], str, str]:

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from eventloom.llm import byte_bpe
 from eventloom.llm.byte_bpe import ByteRanks, TreeCodec, decoded, encoded, round_trip
 from eventloom.llm.packing import best_fit_plan, packed
 from eventloom.llm.token_counts import token_counts
@@ -51,6 +52,25 @@ def test_tree_joins_are_exact(library):
         assert ranks.match(data) == ranks.merged(data)
 
 
+def test_ordinary_documents_are_joined(rows, monkeypatch):
+    codec, seams, grown = TreeCodec(RANKS, P.PATTERN), [0], [0]
+    joined = ByteRanks.joined
+
+    def counted(self, left, right):
+        seams[0] += 1
+        before = grown[0]
+        out = joined(self, left, right)
+        if len(left) > 1 and out[: len(left) - 1] != left[:-1]:
+            grown[0] = before + 1  # the window took in more than the tokens at the seam
+        return out
+
+    monkeypatch.setattr(ByteRanks, "joined", counted)
+    for _, text in rows:
+        codec.encode(text or "")
+    assert seams[0] > 1000 and grown[0] > 0
+    assert "tiktoken" not in vars(byte_bpe) and "tiktoken" not in Path(byte_bpe.__file__).read_text()
+
+
 def test_counts_equal_library(docs, rows):
     tok = Tokenizer.from_str(WORDS.decode())
     got = Counter(map(tuple, token_counts(docs, WORDS, 100).collect()))
