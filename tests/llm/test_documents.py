@@ -211,13 +211,37 @@ def kept_words(rows, window):
         yield i, len(w), len(gone), [x for p, x in enumerate(w) if p not in gone]
 
 
-@pytest.mark.parametrize("group", [2, 10_000])
+@pytest.mark.parametrize("group", [2, 5_000])
 def test_substring_dedup(docs, rows, group, monkeypatch):
-    monkeypatch.setattr(sub, "GROUP_SUFFIXES", group)
+    monkeypatch.setattr(sub, "GROUP_DOCUMENTS", group)
+    monkeypatch.setattr(sub, "HELD_WORDS", group * 40)
     out = sub.substring_dedup(docs).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, out)) == Counter((i, n, k, hashlib.sha256(b" ".join(w)).hexdigest()) for i, n, k, w in kept_words(rows, 50))
 
 
+def test_deep_nodes_are_maximal_repeats():
+    rng = np.random.default_rng(4)
+    for depth, alphabet in ((1, 3), (2, 2), (3, 2), (4, 1), (5, 4)):
+        for _ in range(30):
+            texts = [[b"%d" % x for x in rng.integers(0, alphabet, rng.integers(depth, 40))] for _ in range(6)]
+            groups = sorted(rng.integers(0, 2, 6).tolist())
+            trees = sub.SuffixTrees(texts, groups)
+            places = [(g, i, p) for i, (g, t) in enumerate(zip(groups, texts)) for p in range(len(t) - depth + 1)]
+            order, begins, depths = trees.deep_nodes(np.array([trees.begin[i] + p for _, i, p in places]), depth)
+            code = {w: c for c, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+            keys = [(g, [code[w] for w in texts[i][p:]]) for g, i, p in (places[j] for j in order)]
+            assert keys == sorted(keys)
+            nodes = {}
+            for a, b, d in zip(begins, [*begins[1:], len(order)], depths):
+                held = frozenset(places[j] for j in order[a:b])
+                nodes[held] = d
+            want = defaultdict(set)
+            for g, i, p in places:
+                want[g, tuple(texts[i][p : p + depth])].add((g, i, p))
+            common = lambda held: next(n for n in range(1000) if len({(texts[i] + [i])[p + n : p + n + 1][0] if p + n < len(texts[i]) else ("end", i, p) for _, i, p in held}) > 1)
+            assert nodes == {frozenset(v): common(v) if len(v) > 1 else 0 for v in want.values()}
+
+
 def test_substring_dedup_keeps_texts(docs, rows):
     out = sub.without_repeats(docs)
     assert out.schema == docs.schema
