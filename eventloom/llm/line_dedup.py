@@ -58,10 +58,10 @@ class LineRuns:
         return docs.select(F.explode(keys).alias("h")).groupBy("h.h1", "h.h2").agg(F.count("*").alias("docs"))
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Add a batch: anti-join the sealed runs, store the rest as a run, compact full levels."""
+        """Add a batch: merge-anti-join its sorted run with all sealed runs, store the rest as a run, compact full levels."""
         run = self.batch_run(docs, text_col)
-        for sealed in self.sealed:
-            run = run.join(sealed, list(KEY), "left_anti")
+        if self.sealed:
+            run = run.join(reduce(DataFrame.unionAll, self.sealed), list(KEY), "left_anti")
         self.levels[0].append(materialized(run.sortWithinPartitions(*KEY)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -80,10 +80,44 @@ class LineRuns:
 
     def shared_lines(self) -> DataFrame:
         """(h1, h2) of all lines in at least ``min_docs`` documents of all batches."""
-        left = [run for level in self.levels for run in level]
+        left = [(level, run) for level, runs in enumerate(self.levels) for run in runs]
         found = list(self.sealed)
-        if left:
-            found.append(reduce(DataFrame.unionAll, left).groupBy(*KEY).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= self.min_docs).select(*KEY))
+        if len(left) > 1:
+            whole = reduce(DataFrame.unionAll, [run for _, run in left]).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+            found.append(whole.filter(F.col("docs") >= self.min_docs).select(*KEY))
+        elif left and left[0][0] == 0:  # a run that a compaction made has no line over the limit
+            found.append(left[0][1].filter(F.col("docs") >= self.min_docs).select(*KEY))
+        return materialized(reduce(DataFrame.unionAll, found).sortWithinPartitions(*KEY))
+
+
+def batches(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
+    """Cut the documents into ``n`` batches that together are all rows.
+
+    Integer ids are cut into ranges, which a sorted table's scan prunes by;
+    other ids are dealt by their hash, where each batch reads the table.
+    """
+    if n < 2:
+        return [docs]
+    at = F.col(id_col)
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        return [docs.filter(F.pmod(F.xxhash64(at), F.lit(n)) == i) for i in range(n)]
+    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+    if low is None:
+        return [docs]
+    cuts = [low + (high - low + 1) * i // n for i in range(1, n)]
+    spans = [(at < cuts[0]) | at.isNull(), *[(at >= a) & (at < b) for a, b in zip(cuts, cuts[1:])], at >= cuts[-1]]
+    return [docs.filter(x) for x in spans]
+
+
+def shared_lines(self) -> DataFrame:
+        """(h1, h2) of all lines in at least ``min_docs`` documents of all batches."""
+        left = [(level, run) for level, runs in enumerate(self.levels) for run in runs]
+        found = list(self.sealed)
+        if len(left) > 1:
+            whole = reduce(DataFrame.unionAll, [run for _, run in left]).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+            found.append(whole.filter(F.col("docs") >= self.min_docs).select(*KEY))
+        elif left and left[0][0] == 0:  # a run that a compaction made has no line over the limit
+            found.append(left[0][1].filter(F.col("docs") >= self.min_docs).select(*KEY))
         return materialized(reduce(DataFrame.unionAll, found).sortWithinPartitions(*KEY))
 
 

@@ -65,6 +65,12 @@ def test_later_batches_meet_sealed_lines(spark, monkeypatch):
     assert len(met) == 9 and met[3] == 1 and met[-1] == 1 and levels[-1] == 3
 
 
+def test_line_dedup_by_other_ids(docs, rows):
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = line_dedup(named, 10).select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    assert Counter(map(tuple, out)) == Counter((None if i is None else str(i), len(a), len(a) - len(k), sha("\n".join(k))) for i, a, k in lines_left(rows, 10))
+
+
 def test_lines_keep_columns(docs):
     assert without_shared_lines(docs, 10).schema == docs.schema
 
