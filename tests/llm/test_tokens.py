@@ -112,7 +112,7 @@ def test_plan_is_best_fit_decreasing():
 def test_packing(docs, rows):
     tok = Tokenizer.from_str(BYTES.decode())
     ids = [(k, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for k, t in rows]
-    out = packed(docs, BYTES, P.PATTERN, 256).collect()
+    out = packed(docs, BYTES, 256).collect()
     by_crc = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
     want = Counter()
     for key, x in ids:
@@ -135,4 +135,4 @@ def test_packing(docs, rows):
 def test_empty_tables(no_docs):
     assert round_trip(no_docs, RANKS, P.PATTERN).count() == 0
     assert token_counts(no_docs, WORDS, 10).count() == 0
-    assert packed(no_docs, BYTES, P.PATTERN, 256).count() == 0
+    assert packed(no_docs, BYTES, 256).count() == 0
