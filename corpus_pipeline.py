@@ -23,29 +23,54 @@ SEQUENCE_TOKENS = 2048
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host is not condemned."""
+    """Documents that pass the base rules and whose host is not condemned.
+
+    A null or empty text fails; a null source is a host of its own; a null id
+    and repeated rows are judged like any other row; of a very long text every
+    word is judged; no documents give none.
+    """
     return passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more share."""
+    """Texts without the lines that ten documents or more share.
+
+    A null text is one empty line and becomes an empty text; repeated rows,
+    also those with a null id, count as a document each; texts are whole,
+    however long; no documents give none.
+    """
     return without_shared_lines(docs, min_docs=10)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each near-duplicate group (five words, similarity 0.8)."""
+    """One document, the one with the least id, of each near-duplicate group (five words, similarity 0.8).
+
+    Documents without words and rows with a null id stay; of equal texts the
+    least id stays; rows that share an id stay or go together; texts are whole,
+    however long; no documents give none.
+    """
     return one_of_each(docs, words=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of fifty words that a document with a smaller id has."""
+    """Texts without passages of fifty words that a document with a smaller id has.
+
+    Rows with a null id neither lose nor take words, rows that share an id do
+    not repeat each other; a text may become empty and stays a document; null
+    texts stay null; no documents give none.
+    """
     return without_repeats(docs, window=50)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in training sequences."""
+    """Pieces of all documents, placed in training sequences.
+
+    A null or empty text is the end token alone; repeated rows and null ids are
+    packed like any other; longer texts than a sequence are cut into pieces;
+    ties between equal lengths are placed by id; no documents give no pieces.
+    """
     vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes()
-    return packed(docs, vocabulary, public_tokenizers.PATTERN, SEQUENCE_TOKENS)
+    return packed(docs, vocabulary, SEQUENCE_TOKENS)
 
 
 STAGES = [
