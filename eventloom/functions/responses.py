@@ -14,6 +14,13 @@ TASKS = {
         "is_material": ("is_material", "boolean", False, False),
         "surprise_level": ("surprise_level", "string", "medium", "error"),
     },
+    "salience": {
+        "salience_score": ("salience_score", "double", 0.5, 0.5),
+        "impact_magnitude": ("impact_magnitude", "string", "moderate", "error"),
+        "time_horizon": ("time_horizon", "string", "short_term", "error"),
+        "uncertainty_level": ("uncertainty_level", "string", "medium", "high"),
+        "business_impact": ("business_impact", "string", "unclear", "error"),
+    },
     "tone": {
         "tone_score": ("tone_score", "double", 0.0, 0.0),
         "tone_confidence": ("confidence", "double", 0.5, 0.0),
@@ -30,7 +37,7 @@ TASKS = {
         "volatility_score": ("volatility_score", "double", 0.5, 0.5),
         "surprise_factor": ("surprise_factor", "string", "medium", "error"),
         "outcome_clarity": ("outcome_clarity", "string", "developing", "error"),
-        "guidance_impact": ("guidance_impact", "string", "none", "error"),
+        "event_type": ("event_type", "string", "continuous", "error"),
         "expected_reaction": ("expected_reaction", "string", "moderate", "error"),
     },
 }
@@ -163,6 +170,13 @@ def calibration_report(df: DataFrame, raw: str, calibrated: str, actual: str) ->
     return df.agg(F.count("*").alias("n"), share(raw).alias("raw_accuracy"), share(calibrated).alias("calibrated_accuracy"), F.count_if(~F.col(raw).eqNullSafe(F.col(calibrated))).alias("changed"))
 
 
+def accuracy_by_confidence(df: DataFrame, predicted: str, actual: str, confidence: str, levels: list[float], more_than: int = 3) -> DataFrame:
+    """Accuracy among the answers at least so sure, where there are enough."""
+    each = df.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).filter(F.col(confidence) >= F.col("level"))
+    hit = F.coalesce(F.col(predicted) == F.col(actual), F.lit(False)).cast("double")
+    return each.groupBy("level").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy")).filter(F.col("n") > more_than)
+
+
 def cost_columns(text: Column, tokens: Column, per_million: float = 0.25) -> tuple[Column, Column]:
     """Tokens, or a quarter of the characters where unknown, and their cost."""
     used = F.coalesce(tokens.cast("long"), F.floor(F.length(text) / 4))

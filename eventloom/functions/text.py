@@ -166,6 +166,12 @@ def drop_value(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(~F.col(column).eqNullSafe(value))
 
 
+def removed_count(df: DataFrame, column: str, value: str) -> DataFrame:
+    """How many rows ``drop_value`` keeps and removes."""
+    gone = F.col(column).eqNullSafe(value)
+    return df.agg(F.count("*").alias("n"), F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"))
+
+
 def with_item(df: DataFrame, items: str, code: str) -> DataFrame:
     return df.filter(F.array_contains(items, code))
 

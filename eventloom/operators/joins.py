@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_position
+
 
 def merge_on(a: DataFrame, b: DataFrame, key: str, suffix: str = "_right") -> DataFrame:
     """Inner join; clashing columns of the second side get a suffix."""
@@ -46,9 +48,10 @@ def verify_lineage(sample: DataFrame, source: DataFrame, keys: list[str]) -> Dat
     return found.agg(F.count("*").alias("n"), F.count_if("_found").alias("matched"), F.count_if(F.col("_found").isNull()).alias("unmatched"))
 
 
-def zip_by_index(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
-    """Rows of equal position, by an index column that both carry."""
-    return a.join(b, index)
+def zip_by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Rows of equal position in their own orders; the longer table's rest goes."""
+    left = global_position(a, order_a, "position").drop("_n")
+    return left.join(global_position(b, order_b, "position").drop("_n"), "position")
 
 
 def contrastive_pairs(df: DataFrame, group: str, id_col: str, ret: str, threshold: float, n: int, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import avg_rank
+from .ranking import avg_rank, cumulative, global_position, quantiles
 
 
 def merge_items(items: DataFrame, key: str, position: str, code: str, text: str, first: list[str]) -> DataFrame:
@@ -26,13 +26,21 @@ def value_counts(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
 
 def return_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     c = F.col(column)
-    return df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, 0.5).alias("median"))
+    facts = df.groupBy(F.struct(*by).alias("key")).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return facts.join(quantiles(df, column, [0.5], by), "key", "left").select("key.*", "n", "mean", "std", "min", "max", F.col("e")[0].alias("median"))
 
 
 def item_stats(items: DataFrame, key: str) -> DataFrame:
     return items.agg(F.count("*").alias("n"), F.countDistinct(key).alias("filings")).withColumn("per_filing", F.col("n") / F.col("filings"))
 
 
+def code_shares(items: DataFrame, code: str, k: int = 10) -> DataFrame:
+    """The k most frequent codes with their counts and shares of all rows."""
+    counts = items.groupBy(code).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.orderBy(F.desc("n"), code).limit(k).withColumn("share", F.col("n") / total)
+
+
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """The share of rows in which each column is there."""
     return df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
@@ -63,7 +71,8 @@ def majority_baseline(df: DataFrame, binary: str, three: str, by: str) -> DataFr
 def return_distribution(df: DataFrame, column: str, points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     c = F.col(column)
     share = lambda x: F.avg(x.cast("double"))
-    return df.agg(share(c > 0).alias("positive"), share(c < 0).alias("negative"), share(F.abs(c) <= 1).alias("within_one"), *[F.percentile(c, p).alias(f"p{round(100 * p)}") for p in points])
+    edges = quantiles(df, column, list(points)).scalar()
+    return df.agg(share(c > 0).alias("positive"), share(c < 0).alias("negative"), share(F.abs(c) <= 1).alias("within_one")).withColumns({f"p{round(100 * p)}": edges[i] for i, p in enumerate(points)})
 
 
 def group_baselines(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -87,6 +96,12 @@ def event_accuracy(df: DataFrame, group: str, actual: str, predicted: str, class
     return df.groupBy(group).agg(F.count("*").alias("n"), hit.alias("correct"), (hit / F.count("*")).alias("accuracy"), *[F.count_if(F.col(predicted) == c).alias(f"said_{c}") for c in classes])
 
 
+def best_and_worst(report: DataFrame, metric: str, name: str, k: int = 5) -> DataFrame:
+    """The k rows with the largest metric and the k with the least."""
+    side = lambda order, label: report.orderBy(order, name).limit(k).withColumn("side", F.lit(label))
+    return side(F.desc(metric), "best").union(side(F.asc(metric), "worst"))
+
+
 def confusion(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
     return df.filter(F.col(actual).isin(labels)).groupBy(actual).pivot(predicted, labels).count().na.fill(0)
 
@@ -112,8 +127,7 @@ def weighted_report(report: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve from average ranks (Mann-Whitney), by counts of distinct scores."""
     counts = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return cumulative(counts, [score], {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg")).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -125,6 +139,15 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return out.withColumn("r2", 1 - F.col("mse") / F.col("_v")).withColumn("rmse", F.sqrt("mse")).drop("_v")
 
 
+def regression_gaps(df: DataFrame, split: str, actual: str, predicted: str) -> DataFrame:
+    """Correlation, R2, MAE and RMSE of each split, and how far each falls behind those of ``train``."""
+    a, p = F.col(actual), F.col(predicted)
+    err = a - p
+    each = df.groupBy(split).agg(F.count("*").alias("n"), F.corr(a, p).alias("pearson"), (1 - F.avg(err * err) / F.var_pop(a)).alias("r2"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    train = each.filter(F.col(split) == "train").agg(F.first(F.struct("pearson", "r2", "mae", "rmse"))).scalar()
+    return each.withColumn("_t", train).select(*each.columns, *[(F.col(f"_t.{c}") - F.col(c)).alias(f"{c}_gap") for c in ("pearson", "r2", "mae", "rmse")])
+
+
 def magnitude_bucket(c: Column) -> Column:
     m = F.abs(c)
     return F.when(m < 1, "<1").when(m < 3, "1-3").when(m < 5, "3-5").otherwise(">=5")
@@ -138,8 +161,8 @@ def metrics_by_magnitude(df: DataFrame, actual: str, predicted: str) -> DataFram
 
 def extreme_metrics(df: DataFrame, actual: str, predicted: str, id_col: str) -> DataFrame:
     """Metrics of the tenth of rows (ten at least) with the largest predictions by absolute value."""
-    n = df.agg(F.greatest(F.lit(10), F.floor(F.count("*") / 10)).cast("int").alias("n")).first()["n"]
-    top = df.orderBy(F.abs(predicted).desc(), id_col).limit(n)
+    placed = global_position(df.withColumn("_size", F.coalesce(-F.abs(predicted), F.lit(float("inf")))), ["_size", id_col], "_r")
+    top = placed.filter(F.col("_r") < F.greatest(F.lit(10), F.floor(F.col("_n") / 10)))
     a, p = F.col(actual), F.col(predicted)
     return top.agg(F.count("*").alias("n"), F.corr(a, p).alias("corr"), F.avg(F.abs(a - p)).alias("mae"), F.avg((F.signum(a) == F.signum(p)).cast("double")).alias("sign_agreement"))
 
@@ -176,10 +199,13 @@ def directional_accuracy(df: DataFrame, actual: str, predicted: str) -> DataFram
     return df.agg(F.count("*").alias("n"), F.avg(((F.col(actual) >= 2) == (F.col(predicted) >= 2)).cast("double")).alias("direction_accuracy"))
 
 
-def processing_stats(df: DataFrame, year: str, status: str, value: str, cost: str) -> DataFrame:
-    """Totals, successes, failures, average value and cost by year, and an overall row (year null)."""
+def processing_stats(df: DataFrame, year: str, status: str, value: str, cost: str, label: str, tokens: str, labels: tuple[str, ...] = ("UP", "DOWN", "STAY")) -> DataFrame:
+    """Totals, successes, failures, labels, average value and tokens of what succeeded, and cost by year, and an overall row (year null)."""
     good = F.col(status) == "success"
-    return df.rollup(year).agg(F.count("*").alias("total"), F.count_if(good).alias("success"), F.count_if(~good).alias("failed"), F.avg(F.when(good, F.col(value))).alias("avg_value"), F.sum(cost).alias("cost"))
+    counts = [F.count_if(good & (F.col(label) == x)).alias(x.lower()) for x in labels]
+    return df.rollup(year).agg(
+        F.count("*").alias("total"), F.count_if(good).alias("success"), F.count_if(~good).alias("failed"), *counts, F.avg(F.when(good, F.col(value))).alias("avg_value"), F.floor(F.avg(F.when(good, F.col(tokens)))).alias("avg_tokens"), F.sum(F.when(good, F.col(cost))).alias("cost")
+    )
 
 
 def success_stats(df: DataFrame, status: str, value: str) -> DataFrame:

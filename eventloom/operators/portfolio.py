@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import cumulative, qcut_rank, qcut_value, running_max
+from .ranking import cumulative, qcut_rank, qcut_value, quantiles, running_max
 
 
 def position_size(df: DataFrame, predicted: str, base: float = 0.01, name: str = "position_size") -> DataFrame:
@@ -81,8 +81,8 @@ def win_rate_curve(df: DataFrame, confidence: str, pnl: str, levels: list[float]
 
 def straddle_payoff(df: DataFrame, predicted: str, actual: str, name: str = "payoff") -> DataFrame:
     """Rows whose prediction is in the top quarter earn what came true less the mean prediction; others nothing."""
-    facts = df.agg(F.struct(F.percentile(predicted, 0.75).alias("edge"), F.avg(predicted).alias("mean"))).scalar()
-    return df.withColumn(name, F.when(F.col(predicted) > facts["edge"], F.col(actual) - facts["mean"]).otherwise(0.0))
+    edge, mean = quantiles(df, predicted, [0.75]).scalar()[0], df.agg(F.avg(predicted)).scalar()
+    return df.withColumn(name, F.when(F.col(predicted) > edge, F.col(actual) - mean).otherwise(0.0))
 
 
 def payoff_by_quartile(df: DataFrame, predicted: str, payoff: str) -> DataFrame:

@@ -67,6 +67,30 @@ def avg_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, column)
 
 
+def quantiles(df: DataFrame, column: str, points: list[float], by: list[str] | None = None) -> DataFrame:
+    """A row (e, an array) of linear quantiles of a column's values; with ``by``, a row (key struct, e) for each group.
+
+    Made from counts of distinct values: sums in ranges plus the sums of the group's ranges before.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(group.alias("key"), F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cut = ordered_parts(counts, ["_v"])
+    inside = Window.partitionBy("key", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("key", "_part").agg(F.sum("_c").alias("_s"))
+    offsets = sums.select("key", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy("key")).alias("_n"))
+    placed = cut.withColumn("_end", F.sum("_c").over(inside)).join(offsets, ["key", "_part"]).withColumn("_end", F.col("_o") + F.col("_end"))
+
+    def value(p: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(p)
+        one = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_v")))
+        low, high = one(F.floor(at)), one(F.ceil(at))
+        return low + (high - low) * ((F.max("_n") - 1) * F.lit(p) - F.floor((F.max("_n") - 1) * F.lit(p)))
+
+    out = placed.groupBy("key").agg(F.array(*[value(p) for p in points]).alias("e"))
+    return out if by else out.select("e")
+
+
 def qcut_rank(df: DataFrame, column: str, tie: str, q: int = 10, name: str = "bin") -> DataFrame:
     """Bins of first-come ranks, from 1; not ntile where q does not divide the rows."""
     ranked = global_position(df, [column, tie], "_r")
@@ -88,20 +112,20 @@ def decile_spread(df: DataFrame, bin_col: str, value: str) -> DataFrame:
 
 def qcut_value(df: DataFrame, column: str, q: int = 5, name: str = "bin") -> DataFrame:
     """Right-closed bins, from 1, between linear quantiles of the values."""
-    edges = df.agg(F.percentile(column, [i / q for i in range(1, q)]).alias("e")).scalar()
+    edges = quantiles(df, column, [i / q for i in range(1, q)]).scalar()
     held = df.withColumn("_e", edges)
     return held.withColumn(name, sum(((F.col("_e")[i] < F.col(column)).cast("int") for i in range(q - 1)), F.lit(1))).drop("_e")
 
 
 def above_quantile(df: DataFrame, column: str, p: float, train: DataFrame | None = None, name: str = "high") -> DataFrame:
     """Add a flag for values over a quantile of the table itself or of a training table."""
-    edge = (df if train is None else train).agg(F.percentile(column, p)).scalar()
+    edge = quantiles(df if train is None else train, column, [p]).scalar()[0]
     return df.withColumn(name, (F.col(column) > edge).cast("int"))
 
 
 def vol_tertiles(df: DataFrame, column: str, name: str = "tertile") -> DataFrame:
     """How many of the 33rd and 67th percentiles a value reaches."""
-    edges = df.agg(F.percentile(column, [0.33, 0.67]).alias("e")).scalar()
+    edges = quantiles(df, column, [0.33, 0.67]).scalar()
     held = df.withColumn("_e", edges)
     return held.withColumn(name, (F.col("_e")[0] <= F.col(column)).cast("int") + (F.col("_e")[1] <= F.col(column)).cast("int")).drop("_e")
 
@@ -152,7 +176,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
     """The same share of each class to the test side; classes are cut at quantiles of the hash, not sorted whole."""
     share = (F.pmod(_hash(id_col, seed), F.lit(1_000_003)) / 1_000_003).alias("_u")
     hashed = df.withColumn("_u", share)
-    edges = hashed.groupBy(label).agg(F.percentile("_u", 1 - test).alias("_edge"))
+    edges = quantiles(hashed, "_u", [1 - test], [label]).select(F.col(f"key.{label}").alias(label), F.col("e")[0].alias("_edge"))
     return hashed.join(edges, label).withColumn("split", F.when(F.col("_u") > F.col("_edge"), "test").otherwise("train")).drop("_u", "_edge")
 
 
@@ -179,7 +203,7 @@ def top_groups(train: DataFrame, group: str, least: int = 100, k: int = 15) -> D
 
 def every_nth_above(df: DataFrame, column: str, order: list[str], p: float = 0.9, n: int = 30) -> DataFrame:
     """Of the rows over a quantile, every nth in order."""
-    edge = df.agg(F.percentile(column, p)).scalar()
+    edge = quantiles(df, column, [p]).scalar()[0]
     return global_position(df.filter(F.col(column) > edge), order, "_r").filter(F.col("_r") % n == 0).drop("_r", "_n")
 
 

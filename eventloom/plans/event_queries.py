@@ -60,36 +60,37 @@ def previous_days(t: Inputs) -> DataFrame:
     return market.prev_trading_day(t.filings, market.calendar(t.benchmark_days), "filing_date").select("accession", "prev_day")
 
 
-_SPARSE = "(SELECT * FROM cal WHERE idx % 3 = 0)"
+_WEEKLY = "(SELECT day FROM cal WHERE isodow(day) = 1)"
 
 
-def _sparse(t: Inputs) -> DataFrame:
-    return market.calendar(market.calendar(t.benchmark_days).filter("idx % 3 = 0"))
+def _weekly(t: Inputs) -> DataFrame:
+    """A sparse calendar: the first days of weeks."""
+    return market.calendar(market.calendar(t.benchmark_days).filter(F.weekday("day") == 0))
 
 
-@query(f"SELECT f.accession, s.close AS asof_value FROM filings f ASOF LEFT JOIN (SELECT b.ticker, b.day, b.close FROM bars b JOIN {_SPARSE} c ON c.day = b.day) s ON f.ticker = s.ticker AND f.filing_date >= s.day", "filings", "bars", "cal")
+@query(f"SELECT f.accession, CASE WHEN f.filing_date - s.day <= 4 THEN s.close END AS asof_value FROM filings f ASOF LEFT JOIN (SELECT b.ticker, b.day, b.close FROM bars b JOIN {_WEEKLY} c ON c.day = b.day) s ON f.ticker = s.ticker AND f.filing_date >= s.day", "filings", "bars", "cal")
 def asof_backward(t: Inputs) -> DataFrame:
-    """C6 on every third trading day."""
-    series = t.bars.join(_sparse(t).select("day"), "day").withColumnRenamed("day", "filing_date")
-    return market.asof_backward(t.filings.select("accession", "ticker", "filing_date"), series, "filing_date", "close", ["ticker"], 10).select("accession", "asof_value")
+    """C6 on weekly closes that hold for four days."""
+    series = t.bars.join(_weekly(t).select("day"), "day").withColumnRenamed("day", "filing_date")
+    return market.asof_backward(t.filings.select("accession", "ticker", "filing_date"), series, "filing_date", "close", ["ticker"], 4).select("accession", "asof_value")
 
 
-@query("SELECT f.accession, b.close AS level FROM filings f LEFT JOIN bench b ON b.day = f.filing_date", "filings", "bench")
+@query(f"SELECT f.accession, CASE WHEN f.filing_date - s.day <= 4 THEN s.close END AS level FROM filings f ASOF LEFT JOIN (SELECT b.day, b.close FROM bench b JOIN {_WEEKLY} c ON c.day = b.day) s ON f.filing_date >= s.day", "filings", "bench", "cal")
 def benchmark_levels(t: Inputs) -> DataFrame:
-    """D6."""
-    return market.level_asof(t.filings, t.benchmark_days, market.calendar(t.benchmark_days)).select("accession", "level")
+    """D6 on weekly closes that hold for four days, also past the last of them."""
+    return market.level_asof(t.filings, t.benchmark_days, _weekly(t), lookback=4).select("accession", "level")
 
 
-@query(f"SELECT accession, nearest_day FROM (SELECT f.accession, c.day AS nearest_day, row_number() OVER (PARTITION BY f.accession ORDER BY abs(c.day - f.filing_date), c.day DESC) AS k FROM filings f CROSS JOIN {_SPARSE} c) WHERE k = 1 AND accession IN (SELECT accession FROM filings WHERE filing_date BETWEEN (SELECT min(day) FROM {_SPARSE}) AND (SELECT max(day) FROM {_SPARSE}))", "filings", "cal")
+@query(f"SELECT accession, nearest_day FROM (SELECT f.accession, c.day AS nearest_day, row_number() OVER (PARTITION BY f.accession ORDER BY abs(c.day - f.filing_date), c.day DESC) AS k FROM filings f CROSS JOIN {_WEEKLY} c) WHERE k = 1", "filings", "cal")
 def nearest_days(t: Inputs) -> DataFrame:
-    """C8 on every third trading day."""
-    return market.asof_nearest(t.filings, _sparse(t), "filing_date").select("accession", "nearest_day").filter(F.col("nearest_day").isNotNull())
+    """C8 on a weekly calendar, also before its first and after its last day."""
+    return market.asof_nearest(t.filings, _weekly(t), "filing_date").select("accession", "nearest_day")
 
 
-@query("SELECT f.accession, s.ts AS bar_ts, s.value AS bar_value FROM filings f ASOF LEFT JOIN (SELECT event_type AS ticker, ts, min(value) AS value FROM events WHERE event_id % 5 = 0 GROUP BY ALL) s ON f.ticker = s.ticker AND f.ts < s.ts", "filings")
+@query("SELECT f.accession, CASE WHEN s.ts < CAST(f.ts AS DATE) + 2 THEN s.ts END AS bar_ts, CASE WHEN s.ts < CAST(f.ts AS DATE) + 2 THEN s.value END AS bar_value FROM filings f ASOF LEFT JOIN (SELECT event_type AS ticker, ts, min(value) AS value FROM events GROUP BY ALL) s ON f.ticker = s.ticker AND f.ts < s.ts", "filings")
 def intraday_bars(t: Inputs) -> DataFrame:
-    """C11: all events as filings, every fifth as a bar."""
-    bars = t.events.filter("event_id % 5 = 0").select(F.col("event_type").alias("ticker"), "ts", "value")
+    """C11: all events as filings and as bars."""
+    bars = t.events.select(F.col("event_type").alias("ticker"), "ts", "value")
     return market.next_intraday_bar(t.filings.select("accession", "ticker", "ts"), bars, "ticker").select("accession", "bar_ts", "bar_value")
 
 
@@ -205,10 +206,10 @@ def lineage(t: Inputs) -> DataFrame:
     return joins.verify_lineage(t.orders, t.orders.filter("o_custkey % 2 = 0"), ["o_custkey", "o_orderdate"])
 
 
-@query("SELECT a.id, a.score, b.ret FROM preds a JOIN preds b ON a.id = b.id", "preds")
+@query("SELECT a.k AS position, a.id, b.filing FROM (SELECT id, row_number() OVER (ORDER BY date, id) - 1 AS k FROM preds) a JOIN (SELECT filing, pos, row_number() OVER (ORDER BY filing, pos) - 1 AS k FROM items) b USING (k)", "preds", "items")
 def zipped(t: Inputs) -> DataFrame:
-    """C14."""
-    return joins.zip_by_index(t.predictions.select("id", "score"), t.predictions.select("id", "ret"), "id")
+    """C14: the n-th prediction in time beside the n-th item."""
+    return joins.zip_by_position(t.predictions.select("id", "date"), t.items.select("filing", "pos"), ["date", "id"], ["filing", "pos"]).select("position", "id", "filing")
 
 
 @query("SELECT a.g AS grp, round(a.m, 6) AS a, round(b.m, 6) AS b, round(b.m - a.m, 6) AS difference, CASE WHEN a.m > b.m THEN 'first' WHEN b.m > a.m THEN 'second' ELSE 'tie' END AS winner FROM (SELECT grp AS g, avg(CAST(up = said AS INT)) AS m FROM preds WHERE id % 2 = 0 GROUP BY 1) a JOIN (SELECT grp AS g, avg(CAST(up = said AS INT)) AS m FROM preds WHERE id % 2 = 1 GROUP BY 1) b ON a.g = b.g", "preds")
@@ -311,6 +312,12 @@ def item_stats(t: Inputs) -> DataFrame:
     return rounded(metrics.item_stats(t.items, "filing"))
 
 
+@query("SELECT code, count(*) AS n, round(count(*) / (SELECT count(*) FROM items), 6) AS share FROM items GROUP BY 1 ORDER BY n DESC, code LIMIT 10", "items")
+def code_shares(t: Inputs) -> DataFrame:
+    """E4, the most frequent codes."""
+    return rounded(metrics.code_shares(t.items, "code"))
+
+
 @query("SELECT round(count(quality) / count(*), 6) AS quality, round(count(lang) / count(*), 6) AS lang FROM documents LEFT JOIN labels USING (doc_id)")
 def label_coverage(t: Inputs) -> DataFrame:
     """E5."""
@@ -347,18 +354,36 @@ def event_accuracy(t: Inputs) -> DataFrame:
     return rounded(metrics.event_accuracy(t.predictions, "cls", "up", "said", [0, 1]))
 
 
+_BY_CUSTOMER = "(SELECT cust, count(*) AS n, count(*) FILTER (up = said) AS correct, count(*) FILTER (up = said) / count(*) AS accuracy, count(*) FILTER (said = 0) AS said_0, count(*) FILTER (said = 1) AS said_1 FROM preds GROUP BY 1)"
+
+
+@query(f"SELECT cust, n, correct, round(accuracy, 6) AS accuracy, said_0, said_1, side FROM (SELECT *, 'best' AS side, row_number() OVER (ORDER BY accuracy DESC, cust) AS k FROM {_BY_CUSTOMER} UNION ALL SELECT *, 'worst', row_number() OVER (ORDER BY accuracy, cust) FROM {_BY_CUSTOMER}) WHERE k <= 5", "preds")
+def extreme_groups(t: Inputs) -> DataFrame:
+    """E11, the five groups with the best and the worst accuracy."""
+    return rounded(metrics.best_and_worst(metrics.event_accuracy(t.predictions, "cust", "up", "said", [0, 1]), "accuracy", "cust"))
+
+
 @query("SELECT four, count(*) FILTER (said_four = 0) AS \"0\", count(*) FILTER (said_four = 1) AS \"1\", count(*) FILTER (said_four = 2) AS \"2\", count(*) FILTER (said_four = 3) AS \"3\" FROM preds GROUP BY 1", "preds")
 def confusion_matrix(t: Inputs) -> DataFrame:
     """E12."""
     return metrics.confusion(t.predictions, "four", "said_four", [0, 1, 2, 3])
 
 
-@query("SELECT class, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, tp + fn AS support FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (SELECT class, count(*) FILTER (three = class AND said2 = class) AS tp, count(*) FILTER (three <> class AND said2 = class) AS fp, count(*) FILTER (three = class AND said2 <> class) AS fn, count(*) FILTER (three <> class AND said2 <> class) AS tn FROM (SELECT three, said * 2 AS said2 FROM preds) CROSS JOIN (VALUES (0), (1), (2)) v(class) GROUP BY 1))", "preds")
+_REPORT = "SELECT class, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, tp + fn AS support FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (SELECT class, count(*) FILTER (three = class AND said2 = class) AS tp, count(*) FILTER (three <> class AND said2 = class) AS fp, count(*) FILTER (three = class AND said2 <> class) AS fn, count(*) FILTER (three <> class AND said2 <> class) AS tn FROM (SELECT three, said * 2 AS said2 FROM preds) CROSS JOIN (VALUES (0), (1), (2)) v(class) GROUP BY 1))"
+
+
+@query(_REPORT, "preds")
 def class_report(t: Inputs) -> DataFrame:
     """E13."""
     return rounded(metrics.class_report(t.predictions.withColumn("s", F.col("said") * 2), "three", "s", [0, 1, 2]))
 
 
+@query(f"SELECT round(sum(precision * support) / sum(support), 5) AS precision, round(sum(recall * support) / sum(support), 5) AS recall, round(sum(f1 * support) / sum(support), 5) AS f1 FROM ({_REPORT})", "preds")
+def weighted_report(t: Inputs) -> DataFrame:
+    """E13, averages weighted by support."""
+    return rounded(metrics.weighted_report(metrics.class_report(t.predictions.withColumn("s", F.col("said") * 2), "three", "s", [0, 1, 2])), 5)
+
+
 @query("SELECT round((sum(r) FILTER (up = 1) - count(*) FILTER (up = 1) * (count(*) FILTER (up = 1) + 1) / 2) / (count(*) FILTER (up = 1) * count(*) FILTER (up = 0)), 6) AS auc FROM (SELECT up, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2 AS r FROM preds)", "preds")
 def roc_auc(t: Inputs) -> DataFrame:
     """E14."""
@@ -374,6 +399,16 @@ def regression_metrics(t: Inputs) -> DataFrame:
     return rounded(metrics.regression_metrics(t.predictions, "ret", "score"))
 
 
+_SPLITS = "(SELECT CASE WHEN date < DATE '1998-01-01' THEN 'train' WHEN date < DATE '2000-01-01' THEN 'val' ELSE 'test' END AS split, count(*) AS n, corr(ret, score) AS pearson, 1 - avg((ret - score) ** 2) / var_pop(ret) AS r2, avg(abs(ret - score)) AS mae, sqrt(avg((ret - score) ** 2)) AS rmse FROM preds GROUP BY 1)"
+
+
+@query(f"SELECT s.split, s.n, " + ", ".join(f"round(s.{c}, 6) AS {c}, round(t.{c} - s.{c}, 6) AS {c}_gap" for c in ("pearson", "r2", "mae", "rmse")) + f" FROM {_SPLITS} s, {_SPLITS} t WHERE t.split = 'train'", "preds")
+def regression_gaps(t: Inputs) -> DataFrame:
+    """E15, the gap between training and later rows."""
+    split = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), "train").when(F.col("date") < F.lit("2000-01-01").cast("date"), "val").otherwise("test")
+    return rounded(metrics.regression_gaps(t.predictions.withColumn("split", split), "split", "ret", "score"))
+
+
 @query("SELECT bucket, count(*) AS n, round(avg(abs(ret - score)), 6) AS mae, round(coalesce(corr(ret, score), 0), 6) AS corr FROM (SELECT *, CASE WHEN abs(ret) < 1 THEN '<1' WHEN abs(ret) < 3 THEN '1-3' WHEN abs(ret) < 5 THEN '3-5' ELSE '>=5' END AS bucket FROM preds) GROUP BY 1", "preds")
 def magnitude_metrics(t: Inputs) -> DataFrame:
     """E16."""
@@ -404,11 +439,12 @@ def direction_accuracy(t: Inputs) -> DataFrame:
     return rounded(metrics.directional_accuracy(t.predictions, "four", "said_four"))
 
 
-@query("SELECT CAST(year(date) AS INT) AS year, count(*) AS total, count(*) FILTER (cls = 'F') AS success, count(*) FILTER (cls <> 'F') AS failed, round(avg(ret) FILTER (cls = 'F'), 6) AS avg_value, round(sum(vol), 6) AS cost FROM preds GROUP BY ROLLUP (year(date))", "preds")
+@query("SELECT CAST(year(date) AS INT) AS year, count(*) AS total, count(*) FILTER (cls = 'F') AS success, count(*) FILTER (cls <> 'F') AS failed, count(*) FILTER (cls = 'F' AND three = 2) AS up, count(*) FILTER (cls = 'F' AND three = 0) AS down, count(*) FILTER (cls = 'F' AND three = 1) AS stay, round(avg(ret) FILTER (cls = 'F'), 6) AS avg_value, CAST(floor(avg(cust) FILTER (cls = 'F')) AS BIGINT) AS avg_tokens, round(sum(vol) FILTER (cls = 'F'), 6) AS cost FROM preds GROUP BY ROLLUP (year(date))", "preds")
 def processing_stats(t: Inputs) -> DataFrame:
     """E22."""
-    rows = t.predictions.select(F.year("date").alias("year"), F.when(F.col("cls") == "F", "success").otherwise("error").alias("status"), "ret", "vol")
-    return rounded(metrics.processing_stats(rows, "year", "status", "ret", "vol"))
+    label = F.when(F.col("three") == 2, "UP").when(F.col("three") == 0, "DOWN").otherwise("STAY")
+    rows = t.predictions.select(F.year("date").alias("year"), F.when(F.col("cls") == "F", "success").otherwise("error").alias("status"), "ret", "vol", label.alias("label"), "cust")
+    return rounded(metrics.processing_stats(rows, "year", "status", "ret", "vol", "label", "cust"))
 
 
 @query("SELECT round(min(ret), 6) AS min, round(max(ret), 6) AS max, round(avg(ret), 6) AS avg, round(stddev_pop(ret), 6) AS std FROM preds WHERE cls = 'F'", "preds")

@@ -34,9 +34,9 @@ def calendar(benchmark: DataFrame, day: str = "day") -> DataFrame:
     return benchmark.select(day).distinct().withColumn("idx", F.row_number().over(Window.orderBy(day)) - 1)
 
 
-def trading_day_map(cal: DataFrame) -> DataFrame:
-    """For every date of the calendar's span: the next and previous trading days, so that lookups are equi-joins."""
-    span = cal.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+def trading_day_map(cal: DataFrame, beyond: int = 0) -> DataFrame:
+    """For every date of the calendar's span and ``beyond`` days: the next and previous trading days, so that lookups are equi-joins."""
+    span = cal.agg(F.min("day").alias("a"), F.date_add(F.max("day"), beyond).alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
     days = span.join(cal, span["date"] == cal["day"], "left").select("date", "day", "idx")
     back, ahead = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("date").rowsBetween(0, Window.unboundedFollowing)
     later = Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
@@ -65,43 +65,57 @@ def prev_trading_day(df: DataFrame, cal: DataFrame, date_col: str) -> DataFrame:
 
 
 def asof_backward(events: DataFrame, series: DataFrame, on: str, value: str, by: list[str], tolerance_days: int | None = None, name: str = "asof_value") -> DataFrame:
-    """Add the last value of ``series`` at or before each event's date: one shuffle by key, no inequality join."""
-    left = events.select(F.struct(*events.columns).alias("_e"), *by, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("date").alias("_day"), F.lit(None).cast("double").alias("_v"))
-    right = series.filter(F.col(value).isNotNull()).select(F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *by, F.col(on).alias("_at"), F.lit(0).alias("_side"), F.col(on).alias("_day"), F.col(value).cast("double").alias("_v"))
-    seen = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0) if by else Window.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumns({"_day": F.last("_day", True).over(seen), "_v": F.last("_v", True).over(seen)}).filter("_side = 1")
-    found = F.when(F.datediff("_at", "_day") <= tolerance_days, F.col("_v")) if tolerance_days is not None else F.col("_v")
-    return both.select("_e.*", found.alias(name))
+    """Add the last value of ``series`` at or before each event's date: one shuffle by key and month, no inequality join.
+
+    What a month begins with comes from a table of a row per key and month.
+    """
+    month = (F.year(on) * 12 + F.month(on)).alias("_m")
+    left = events.select(F.struct(*events.columns).alias("_e"), *by, month, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<_day:date,_v:double>").alias("_s"))
+    known = F.struct(F.col(on).cast("date").alias("_day"), F.col(value).cast("double").alias("_v"))
+    right = series.filter(F.col(value).isNotNull()).select(F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *by, month, F.col(on).alias("_at"), F.lit(0).alias("_side"), known.alias("_s"))
+    both = left.unionByName(right)
+    months = both.groupBy(*by, "_m").agg(F.max("_s").alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*by, "_m", F.last("_last", True).over(before).alias("_carried"))
+    seen = Window.partitionBy(*by, "_m").orderBy("_at", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_s", F.last("_s", True).over(seen)).filter("_side = 1").join(carried, [*by, "_m"], "left").withColumn("_s", F.coalesce("_s", "_carried"))
+    last = F.when(F.datediff("_at", "_s._day") <= tolerance_days, F.col("_s._v")) if tolerance_days is not None else F.col("_s._v")
+    return found.select("_e.*", last.alias(name))
 
 
 def level_asof(events: DataFrame, benchmark: DataFrame, cal: DataFrame, date_col: str = "filing_date", lookback: int = 10) -> DataFrame:
     """Add the benchmark's close as of each date, if at most ``lookback`` days old."""
-    at = trading_day_map(cal).select(F.col("date").alias(date_col), F.col("idx_on_or_before").alias("idx"))
+    at = trading_day_map(cal, lookback).select(F.col("date").alias(date_col), F.col("idx_on_or_before").alias("idx"))
     levels = cal.join(benchmark, "day").select("idx", "day", F.col("close").alias("level"))
     joined = events.join(F.broadcast(at.join(levels, "idx")), date_col, "left")
     return joined.withColumn("level", F.when(F.datediff(F.col(date_col), F.col("day")) <= lookback, F.col("level"))).drop("idx", "day")
 
 
 def asof_nearest(events: DataFrame, cal: DataFrame, date_col: str) -> DataFrame:
-    """Add nearest_day; of two equally near days the later."""
+    """Add nearest_day; of two equally near days the later, outside the calendar its first or last day."""
     at = trading_day_map(cal)
     days = lambda name: F.broadcast(cal.select(F.col("idx").alias(name), F.col("day").alias(name.replace("idx", "day"))))
     near = at.join(days("idx_on_or_before"), "idx_on_or_before", "left").join(days("idx_on_or_after"), "idx_on_or_after", "left")
     gap_back, gap_on = F.datediff("date", "day_on_or_before"), F.datediff("day_on_or_after", "date")
     day = F.when(F.col("day_on_or_after").isNull() | (gap_back < gap_on), F.col("day_on_or_before")).otherwise(F.col("day_on_or_after"))
-    return events.join(F.broadcast(near.select(F.col("date").alias(date_col), day.alias("nearest_day"))), date_col, "left")
+    joined = events.join(F.broadcast(near.select(F.col("date").alias(date_col), day.alias("nearest_day"))), date_col, "left")
+    first, last = (cal.agg(f("day")).scalar() for f in (F.min, F.max))
+    return joined.withColumn("nearest_day", F.coalesce("nearest_day", F.when(F.col(date_col) < first, first).when(F.col(date_col) > last, last)))
 
 
 def next_intraday_bar(events: DataFrame, bars: DataFrame, by: str, ts: str = "ts", value: str = "value", days: int = 2) -> DataFrame:
-    """Add the first bar strictly after an event's time and before the end of the following day: one shuffle by key."""
-    left = events.select(F.struct(*events.columns).alias("_e"), by, F.col(ts).alias("_at"), F.lit(1).alias("_side"))
-    right = bars.select(F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), by, F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.col(ts).alias("_bar"))
-    # at one time the bar comes first in ascending order, so that an event sees only later ones
-    later = Window.partitionBy(by).orderBy(F.col("_at").asc(), F.col("_side").asc(), F.col("_v").asc()).rowsBetween(1, Window.unboundedFollowing)
+    """Add the first bar strictly after an event's time and before the end of the following day.
+
+    One shuffle by key and day: a bar goes to its own day and to the days before from which it is in reach.
+    """
+    left = events.select(F.struct(*events.columns).alias("_e"), by, F.to_date(ts).alias("_d"), F.col(ts).alias("_at"), F.lit(1).alias("_side"))
+    reached = F.explode(F.sequence(F.date_sub(F.to_date(ts), days - 1), F.to_date(ts))).alias("_d")
+    right = bars.select(F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), by, reached, F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(ts).alias("at"), F.col(value).alias("v")).alias("_bar"))
+    # backwards in time an event comes before the bars of its own time, so that it has seen only later ones
+    later = Window.partitionBy(by, "_d").orderBy(F.desc("_at"), F.desc("_side"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True)
-    found = both.withColumns({"bar_ts": F.first("_bar", True).over(later), "bar_value": F.first("_v", True).over(later)}).filter("_side = 1")
-    inside = F.col("bar_ts") < F.date_add(F.to_date("_at"), days).cast("timestamp_ntz")
-    return found.select("_e.*", F.when(inside, F.col("bar_ts")).alias("bar_ts"), F.when(inside, F.col("bar_value")).alias("bar_value"))
+    found = both.withColumn("_bar", F.last("_bar", True).over(later)).filter("_side = 1")
+    return found.select("_e.*", F.col("_bar.at").alias("bar_ts"), F.col("_bar.v").alias("bar_value"))
 
 
 def with_bars(df: DataFrame, bars: DataFrame, benchmark: DataFrame, date_col: str, prefix: str, by: str = "ticker", how: str = "inner") -> DataFrame:
@@ -136,26 +150,27 @@ def close_return(events: DataFrame, bars: DataFrame, benchmark: DataFrame, n: in
     return full.withColumns({"stock_return_pct": F.round(stock, 3), "market_return_pct": F.round(market, 3), "adjusted_return_pct": F.round(stock - market, 3), "outperformed_market": (stock > market).cast("int")})
 
 
-def momentum(events: DataFrame, bars: DataFrame, benchmark: DataFrame, days: list[int], slack: int = 10, by: str = "ticker", id_col: str = "accession") -> DataFrame:
+def momentum(events: DataFrame, bars: DataFrame, benchmark: DataFrame, days: list[int], slack: int = 10, by: str = "ticker") -> DataFrame:
     """First to last close of the ``day + slack`` days before each event, less the benchmark's; null with fewer than two bars.
 
-    Events and bars meet on (key, month) of the months that a window overlaps; all windows are summed in one pass.
+    Each (key, date) that events ask for meets the bars of the months that its windows overlap, once for all windows
+    and for all its events.
     """
     reach = max(days) + slack
     month = lambda c: F.year(c) * 12 + F.month(c)
-    keyed = events.select(id_col, by, "filing_date").withColumn("_month", F.explode(F.sequence(month(F.date_sub("filing_date", reach)), month(F.date_sub("filing_date", 1)))))
 
     def changes(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        met = keyed.join(table.withColumn("_month", month(F.col("day"))), [*keys, "_month"]).filter((F.col("day") < F.col("filing_date")) & (F.col("day") >= F.date_sub("filing_date", reach)))
+        asked = events.select(*keys, "filing_date").distinct().withColumn("_month", F.explode(F.sequence(month(F.date_sub("filing_date", reach)), month(F.date_sub("filing_date", 1)))))
+        met = asked.join(table.withColumn("_month", month(F.col("day"))), [*keys, "_month"]).filter((F.col("day") < F.col("filing_date")) & (F.col("day") >= F.date_sub("filing_date", reach)))
         out = []
         for d in days:
             inside = F.col("day") >= F.date_sub("filing_date", d + slack)
             first, last = F.min_by("close", F.when(inside, F.col("day"))), F.max_by("close", F.when(inside, F.col("day")))
             out.append(F.when(F.count_if(inside) >= 2, percent_change(first, last)).alias(f"{prefix}_{d}"))
-        return met.groupBy(id_col).agg(*out)
+        return met.groupBy(*keys, "filing_date").agg(*out)
 
     own, market = changes(bars, [by], "own"), changes(benchmark, [], "market")
-    joined = events.join(own, id_col, "left").join(market, id_col, "left")
+    joined = events.join(own, [by, "filing_date"], "left").join(market, "filing_date", "left")
     return joined.select(*events.columns, *[F.round(F.col(f"own_{d}") - F.col(f"market_{d}"), 2).alias(f"momentum_{d}d") for d in days])
 
 

@@ -175,10 +175,16 @@ def traded(t: Inputs) -> DataFrame:
 
 @query(f"SELECT id, round(size, 8) AS position_size, round(equal, 8) AS equal, round(scaled, 8) AS scaled FROM {_STRATEGIES}", "preds")
 def strategies(t: Inputs) -> DataFrame:
-    """K1, K2, D17."""
+    """K1, K2."""
     return rounded(traded(t).select("id", "position_size", "equal", "scaled"), 8)
 
 
+@query("SELECT id, round(greatest(score, 0.1), 6) AS floored, round(greatest(-1, least(1, score)), 6) AS clamped FROM preds", "preds")
+def clipped_scores(t: Inputs) -> DataFrame:
+    """A prediction's floor and a score's clamp."""
+    return rounded(t.predictions.select("id", features.clip(F.col("score"), 0.1).alias("floored"), features.clip(F.col("score"), -1.0, 1.0).alias("clamped")))
+
+
 _METRICS = f"(SELECT 'equal' AS strategy, size, date, id, equal AS r FROM {_STRATEGIES} UNION ALL SELECT 'scaled', size, date, id, scaled FROM {_STRATEGIES})"
 _FALLS = f"(SELECT strategy, min((c - m) / (m + 0.01) * 100) AS max_drawdown FROM (SELECT *, max(c) OVER (PARTITION BY strategy ORDER BY date, id) AS m FROM (SELECT *, sum(r) OVER (PARTITION BY strategy ORDER BY date, id) AS c FROM {_METRICS})) GROUP BY 1)"
 _TABLE = f"SELECT strategy, sum(r) AS total, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(CAST(r > 0 AS INT)) AS win_rate, avg(size) AS avg_size, any_value(max_drawdown) AS max_drawdown FROM {_METRICS} JOIN {_FALLS} USING (strategy) GROUP BY 1"
@@ -329,6 +335,12 @@ def final_columns(t: Inputs) -> DataFrame:
     return text.final_columns(text.drop_value(t.documents, "source", "src0"), ["doc_id", "lang", "absent"], {"lang": "language"})
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (source = 'src0') AS removed, count(*) FILTER (source IS DISTINCT FROM 'src0') AS kept FROM documents")
+def routine_rows(t: Inputs) -> DataFrame:
+    """B19, the number of rows removed."""
+    return text.removed_count(t.documents, "source", "src0")
+
+
 @query("SELECT filing FROM items GROUP BY 1 HAVING bool_or(code = 'A.F')", "items")
 def filings_with_item(t: Inputs) -> DataFrame:
     """B20."""
@@ -359,18 +371,45 @@ def ensured_labels(t: Inputs) -> DataFrame:
 # model answers
 
 
-def answers(t: Inputs) -> DataFrame:
-    """Answers in JSON made of events: fenced, plain, broken, incomplete or failed, by id."""
-    k = F.col("event_id")
-    body = F.concat(F.lit('{"tone_score": '), (F.col("value") / 10 - 1).cast("string"), F.lit(', "confidence": 0.'), (k % 9 + 1).cast("string"), F.lit(', "quantitative_support": true, "tone_drivers": ["a", "b"]}'))
-    made = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 1, F.lit("not json")).when(k % 5 == 2, F.lit('{"confidence": 0.25}')).otherwise(body)
-    return t.events.select(k.alias("accession"), F.lit("tone").alias("task"), F.when(k % 11 == 0, "error").otherwise("success").alias("status"), made.alias("response"), (F.col("value") / 10 - 1).alias("given"))
+#: Six tasks' answers made of events: (field, how it is written in Spark, its value in SQL, column, SQL default, SQL value of a failed call).
+_LEVEL_SQL, _SCORE_SQL = "['low', 'medium', 'high'][event_id % 3 + 1]", "value / 100"
+ANSWERED = {
+    "subtopic": [("sub_topic", "level", _LEVEL_SQL, "sub_topic", "'routine_filing'", "'error'"), ("confidence", "score", _SCORE_SQL, "sub_topic_confidence", "0.5::DOUBLE", "0::DOUBLE")],
+    "novelty": [("novelty_score", "score", _SCORE_SQL, "novelty_score", "0.5::DOUBLE", "0.5::DOUBLE"), ("change_tags", "list", "'[\"a\",\"b\"]'", "change_tags", "'[]'", "'[]'"), ("is_material", "yes", "true", "is_material", "false", "false"), ("surprise_level", "level", _LEVEL_SQL, "surprise_level", "'medium'", "'error'")],
+    "salience": [("salience_score", "score", _SCORE_SQL, "salience_score", "0.5::DOUBLE", "0.5::DOUBLE"), ("impact_magnitude", "level", _LEVEL_SQL, "impact_magnitude", "'moderate'", "'error'"), ("time_horizon", "level", _LEVEL_SQL, "time_horizon", "'short_term'", "'error'"), ("uncertainty_level", "level", _LEVEL_SQL, "uncertainty_level", "'medium'", "'high'"), ("business_impact", "level", _LEVEL_SQL, "business_impact", "'unclear'", "'error'")],
+    "tone": [("tone_score", "signed", "greatest(-1, least(1, value / 10 - 1))", "tone_score", "0::DOUBLE", "0::DOUBLE"), ("confidence", "score", _SCORE_SQL, "tone_confidence", "0.5::DOUBLE", "0::DOUBLE"), ("tone_drivers", "list", "'[\"a\",\"b\"]'", "tone_drivers", "'[]'", "'[]'"), ("quantitative_support", "yes", "true", "quantitative_support", "false", "false")],
+    "risks": [("risk_factors", "list", "'[\"a\",\"b\"]'", "risk_factors", "'[]'", "'[]'"), ("positive_catalysts", "list", "'[\"a\",\"b\"]'", "positive_catalysts", "'[]'", "'[]'"), ("net_risk_assessment", "level", _LEVEL_SQL, "net_risk_assessment", "'balanced'", "'error'"), ("action_orientation", "level", _LEVEL_SQL, "action_orientation", "'neutral'", "'error'")],
+    "volatility": [("volatility_score", "score", _SCORE_SQL, "volatility_score", "0.5::DOUBLE", "0.5::DOUBLE"), ("surprise_factor", "level", _LEVEL_SQL, "surprise_factor", "'medium'", "'error'"), ("outcome_clarity", "level", _LEVEL_SQL, "outcome_clarity", "'developing'", "'error'"), ("event_type", "level", _LEVEL_SQL, "event_type", "'continuous'", "'error'"), ("expected_reaction", "level", _LEVEL_SQL, "expected_reaction", "'moderate'", "'error'")],
+}
 
 
-@query("SELECT event_id AS accession, round(CASE WHEN event_id % 11 = 0 OR event_id % 5 IN (1, 2) THEN 0 ELSE greatest(-1, least(1, value / 10 - 1)) END, 6)::DOUBLE AS tone_score, CASE WHEN event_id % 11 = 0 THEN 0::DOUBLE WHEN event_id % 5 = 1 THEN 0.5::DOUBLE WHEN event_id % 5 = 2 THEN 0.25::DOUBLE ELSE (event_id % 9 + 1) / 10 END AS tone_confidence, CASE WHEN event_id % 11 = 0 OR event_id % 5 IN (1, 2) THEN '[]' ELSE '[\"a\",\"b\"]' END AS tone_drivers, NOT (event_id % 11 = 0 OR event_id % 5 IN (1, 2)) AS quantitative_support FROM events")
+def answers(t: Inputs) -> DataFrame:
+    """Six tasks' answers in JSON made of events: fenced, plain, broken, with the first field alone, or failed."""
+    k, value = F.col("event_id"), F.col("value")
+    made = {"level": text.lookup((k % 3).cast("int"), {0: "low", 1: "medium", 2: "high"}), "score": value / 100, "signed": value / 10 - 1, "list": F.array(F.lit("a"), F.lit("b")), "yes": F.lit(True)}
+    rows = []
+    for j, (task, fields) in enumerate(ANSWERED.items()):
+        given = [made[kind].alias(field) for field, kind, *_ in fields]
+        whole, first, turn = F.to_json(F.struct(*given)), F.to_json(F.struct(given[0])), (k + j) % 5
+        body = F.when(turn == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(turn == 1, F.lit("not json")).when(turn == 2, first).otherwise(whole)
+        rows.append(F.struct(F.lit(task).alias("task"), F.when((k + j) % 11 == 0, "error").otherwise("success").alias("status"), body.alias("response")))
+    return t.events.select(k.alias("accession"), F.explode(F.array(*rows)).alias("x")).select("accession", "x.*")
+
+
+def _answered_sql() -> str:
+    columns = []
+    for j, fields in enumerate(ANSWERED.values()):
+        for i, (_, kind, said, name, default, bad) in enumerate(fields):
+            missing = "IN (1)" if i == 0 else "IN (1, 2)"
+            column = f"CASE WHEN (event_id + {j}) % 11 = 0 THEN {bad} WHEN (event_id + {j}) % 5 {missing} THEN {default} ELSE {said} END"
+            columns.append(f"{f'round({column}, 6)' if kind in ('score', 'signed') else column} AS {name}")
+    return f"SELECT event_id AS accession, {', '.join(columns)} FROM events"
+
+
+@query(_answered_sql())
 def parsed_responses(t: Inputs) -> DataFrame:
-    """J1, J2, J3."""
-    return rounded(responses.assemble_features(answers(t), "accession", ["tone"]))
+    """All six tasks."""
+    return rounded(responses.assemble_features(answers(t), "accession", list(responses.TASKS)))
 
 
 _SAID = "CASE WHEN role = 'assistant' THEN text ELSE 'UP or DOWN? STAY. ' || text END"
@@ -384,27 +423,65 @@ def parsed_directions(t: Inputs) -> DataFrame:
     return t.conversations.select("conv_id", "turn", label.alias("label"), sure.alias("confidence"))
 
 
-def spoken(t: Inputs) -> DataFrame:
-    """Predictions told in words, by id."""
-    k = F.col("id") % 6
-    said = F.when(k == 0, "Filing A outperformed the other.").when(k == 1, "Answer: B\nconfidence: 0.8").when(k == 2, "I think filing b is mentioned, 80% confident").when(k == 3, "Strong positive, clearly").when(k == 4, "negative; it might miss").otherwise("no idea")
-    return t.predictions.select("id", said.alias("said"), "truth", "ret")
+#: What is said before a turn's own text, by its number.
+LEADS = ["Filing A outperformed the other.", "Answer: B\nconfidence: 0.8", "I think filing b is mentioned, 80% confident", "Strong positive, clearly", "negative; it might miss", ""]
 
 
-@query("SELECT id, ['A', 'B', 'B', 'UNCLEAR', 'UNCLEAR', 'UNCLEAR'][id % 6 + 1] AS pair, [0.6::DOUBLE, 0.8::DOUBLE, 0.8::DOUBLE, 0.75::DOUBLE, 0.45::DOUBLE, 0.6::DOUBLE][id % 6 + 1] AS confidence, ['POSITIVE', 'NEGATIVE', 'NEGATIVE', 'POSITIVE', 'NEGATIVE', 'NEGATIVE'][id % 6 + 1] AS label, ['NEUTRAL', 'NEUTRAL', 'NEUTRAL', 'UP', 'DOWN', 'NEUTRAL'][id % 6 + 1] AS direction, ['HOLD', 'HOLD', 'HOLD', 'BUY', 'WEAK_SELL', 'HOLD'][id % 6 + 1] AS signal, [2, 2, 2, 3, 1, 2][id % 6 + 1] AS class_index, ['UP', 'STAY', 'STAY', 'STAY', 'STAY', 'STAY'][CASE WHEN false THEN 1 ELSE 2 END] AS prediction FROM preds", "preds")
+def spoken(t: Inputs) -> DataFrame:
+    """Answers in words: the turns of conversations behind a lead; what is true follows from the text's length."""
+    lead = text.lookup((F.col("turn") % len(LEADS)).cast("int"), dict(enumerate(LEADS)))
+    truth = F.when(F.length("text") % 2 == 0, "POSITIVE").otherwise("NEGATIVE")
+    return t.conversations.select("conv_id", "turn", F.concat(lead, F.lit("\n"), F.col("text")).alias("said"), truth.alias("truth"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _spoken_sql() -> str:
+    """The answers, and from them everything that the parsers find, step by step."""
+    leads = "[" + ", ".join(_quoted(x) for x in LEADS) + "][turn % 6 + 1]"
+    pair = ", ".join(f"nullif(upper(regexp_extract(first, {_quoted(p)}, 1)), '')" for p in responses.PAIR_PATTERNS)
+    number = lambda p: f"try_cast(nullif(regexp_extract(low, {_quoted(p)}, 1), '') AS DOUBLE)"
+    sure = ", ".join(number(p) + (" / 100" if v else "") if v in (None, 100) else f"CASE WHEN regexp_matches(low, {_quoted(p)}) THEN {v}::DOUBLE END" for p, v in responses.CONFIDENCE_PATTERNS)
+    words = lambda found: " + ".join(f"CAST(contains(low, {_quoted(w)}) AS INT)" for w in found)
+    times = lambda w: f"(length(lines) - length(replace(lines, '{w}', ''))) // {len(w)}"
+    return f"""(SELECT *, coalesce(raw, 'NEGATIVE') AS plain FROM (SELECT *,
+    coalesce({pair}, CASE WHEN na > nb THEN 'A' WHEN nb > na THEN 'B' WHEN pa > 0 AND (pb = 0 OR pa < pb) THEN 'A' WHEN pb > 0 THEN 'B' ELSE 'UNCLEAR' END) AS pair,
+    coalesce({sure}, CASE WHEN {words(responses.STRONG_WORDS)} > {words(responses.WEAK_WORDS)} THEN 0.75::DOUBLE WHEN {words(responses.WEAK_WORDS)} > {words(responses.STRONG_WORDS)} THEN 0.45::DOUBLE ELSE 0.6::DOUBLE END) AS confidence,
+    CASE WHEN contains(up, 'POSITIVE') THEN 'POSITIVE' WHEN contains(up, 'NEGATIVE') THEN 'NEGATIVE' WHEN contains(up, 'OUTPERFORM') OR contains(up, 'BEAT') THEN 'POSITIVE' WHEN contains(up, 'UNDERPERFORM') OR contains(up, 'MISS') THEN 'NEGATIVE' END AS raw,
+    contains(low, 'strong') AS strong, contains(low, 'negative') AS bad, contains(low, 'positive') AS good
+    FROM (SELECT *, {times('filing a')} AS na, {times('filing b')} AS nb, instr(low, 'filing a') AS pa, instr(low, 'filing b') AS pb FROM (SELECT conv_id, turn, truth, lower(said) AS low, upper(said) AS up, string_split(said, chr(10))[1] AS first, lower(array_to_string(string_split(said, chr(10))[1:3], ' ')) AS lines
+    FROM (SELECT conv_id, turn, {leads} || chr(10) || text AS said, CASE WHEN length(text) % 2 = 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS truth FROM conversations WHERE text IS NOT NULL)))))"""
+
+
+@query(f"SELECT conv_id, turn, pair, confidence, CASE WHEN raw = 'POSITIVE' AND confidence < 0.7 THEN 'NEGATIVE' ELSE plain END AS label, CASE WHEN bad THEN 'DOWN' WHEN good THEN 'UP' ELSE 'NEUTRAL' END AS direction, CASE WHEN strong AND bad THEN 'STRONG' WHEN bad THEN 'MODERATE' WHEN good AND NOT strong THEN 'MODERATE' WHEN strong AND good THEN 'STRONG' ELSE 'NONE' END AS magnitude, CASE WHEN strong AND bad THEN 'SELL' WHEN bad THEN 'WEAK_SELL' WHEN good AND NOT strong THEN 'WEAK_BUY' WHEN strong AND good THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN strong AND bad THEN 0 WHEN bad THEN 1 WHEN good AND NOT strong THEN 2 WHEN strong AND good THEN 3 ELSE 2 END AS class_index, CASE WHEN contains(up, 'UP') THEN 'UP' WHEN contains(up, 'DOWN') THEN 'DOWN' ELSE 'STAY' END AS prediction, CASE WHEN contains(up, 'POSITIVE') THEN 'POSITIVE' WHEN contains(up, 'NEGATIVE') THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment FROM {_spoken_sql()}")
 def parsed_answers(t: Inputs) -> DataFrame:
     """J5, J6, J7, J8, J12."""
     said = F.col("said")
-    strength = responses.parse_strength(said)
-    return spoken(t).select("id", responses.parse_pair(said).alias("pair"), responses.parse_confidence(said).alias("confidence"), responses.calibrated_label(said, 0.55).alias("label"), strength["direction"].alias("direction"), strength["signal"].alias("signal"), strength["class_index"].alias("class_index"), responses.parse_fallback(said)["prediction"].alias("prediction"))
+    parsed = responses.parse_strength(said) | responses.parse_fallback(said)
+    rows = spoken(t).filter(said.isNotNull())
+    return rows.select("conv_id", "turn", responses.parse_pair(said).alias("pair"), responses.parse_confidence(said).alias("confidence"), responses.calibrated_label(said, 0.7).alias("label"), *[c.alias(n) for n, c in parsed.items()])
 
 
-@query("SELECT count(*) AS n, round(avg(CAST(coalesce(raw = truth, false) AS INT)), 6) AS raw_accuracy, round(avg(CAST(c = truth AS INT)), 6) AS calibrated_accuracy, count(*) FILTER (raw IS DISTINCT FROM c) AS changed FROM (SELECT truth, ['POSITIVE', NULL, NULL, 'POSITIVE', 'NEGATIVE', NULL][id % 6 + 1] AS raw, ['NEGATIVE', 'NEGATIVE', 'NEGATIVE', 'POSITIVE', 'NEGATIVE', 'NEGATIVE'][id % 6 + 1] AS c FROM preds)", "preds")
+_CALIBRATED = f"(SELECT truth, raw, confidence, CASE WHEN raw = 'POSITIVE' AND confidence < 0.7 THEN 'NEGATIVE' ELSE plain END AS c FROM {_spoken_sql()})"
+
+
+def _judged(t: Inputs) -> DataFrame:
+    said = F.col("said")
+    return spoken(t).filter(said.isNotNull()).select("truth", responses.raw_label(said).alias("raw"), responses.parse_confidence(said).alias("confidence"), responses.calibrated_label(said, 0.7).alias("c"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(CAST(coalesce(raw = truth, false) AS INT)), 6) AS raw_accuracy, round(avg(CAST(c = truth AS INT)), 6) AS calibrated_accuracy, count(*) FILTER (raw IS DISTINCT FROM c) AS changed FROM {_CALIBRATED}")
 def calibration_report(t: Inputs) -> DataFrame:
     """J9."""
-    said = F.col("said")
-    rows = spoken(t).select("truth", responses.raw_label(said).alias("raw"), responses.calibrated_label(said, 0.7).alias("c"))
-    return rounded(responses.calibration_report(rows, "raw", "c", "truth"))
+    return rounded(responses.calibration_report(_judged(t), "raw", "c", "truth"))
+
+
+@query(f"SELECT level, count(*) AS n, round(avg(CAST(c = truth AS INT)), 6) AS accuracy FROM {_CALIBRATED} CROSS JOIN (VALUES (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE)) v(level) WHERE confidence >= level GROUP BY 1 HAVING count(*) > 3")
+def confident_accuracy(t: Inputs) -> DataFrame:
+    """J9, by confidence."""
+    return rounded(responses.accuracy_by_confidence(_judged(t), "c", "truth", "confidence", [0.6, 0.7, 0.8]))
 
 
 @query("SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, round(tokens * 0.25::DOUBLE / 1e6, 10) AS cost FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE length(text) // 4 END AS tokens FROM documents)")
@@ -623,15 +700,20 @@ FILE_ROWS = 5000
 
 
 def _folder(t: Inputs) -> str:
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    sc = t.spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
     return f"{root}/eventloom-{uuid.uuid4().hex}"
 
 
-@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000")
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders")
 def yearly_files(t: Inputs) -> DataFrame:
     """All orders are written with and without their priority; of the full table files per year are written and read, years that lack one are passed over, codes stay strings.
 
-    The SQL has the years 1996 to 2000 only, so it lacks the orders of the others. Orders without a date are year 0.
+    Orders without a date are year 0.
     """
     root = _folder(t)
     rows = t.orders.withColumn("year", F.coalesce(F.year("o_orderdate"), F.lit(0))).select("o_orderkey", "o_custkey", "o_orderpriority", "year")

@@ -161,3 +161,62 @@ def test_labels_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert one(spark.sql("SELECT session FROM labelled_events")) == [("market_hours",)]
+
+
+def dates(spark, days, name="filing_date"):
+    return spark.createDataFrame([(None if d is None else dt.date(2024, 1, 1) + dt.timedelta(days=d),) for d in days], f"{name} date")
+
+
+def test_lookups_outside_the_calendar(spark):
+    cal = market.calendar(dates(spark, [10, 12, 20], "day"))
+    day = lambda d: (d - dt.date(2024, 1, 1)).days if d else None
+    near = market.asof_nearest(dates(spark, [0, 9, 10, 11, 15, 16, 17, 20, 40, None]), cal, "filing_date").collect()
+    assert {(day(r["filing_date"]), day(r["nearest_day"])) for r in near} == {(0, 10), (9, 10), (10, 10), (11, 12), (15, 12), (16, 20), (17, 20), (20, 20), (40, 20), (None, None)}
+    bench = dates(spark, [10, 12, 20], "day").withColumn("close", F.dayofmonth("day").cast("double"))
+    levels = market.level_asof(dates(spark, [9, 10, 15, 16, 17, 20, 24, 25, None]), bench, cal, lookback=4).collect()
+    assert {(day(r["filing_date"]), r["level"]) for r in levels} == {(9, None), (10, 11.0), (15, 13.0), (16, 13.0), (17, None), (20, 21.0), (24, 21.0), (25, None), (None, None)}
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_asof_over_months(spark, by):
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    series = [("a", d(0), 1.0), ("a", d(40), 2.0), ("a", d(41), None), ("a", d(200), 3.0)] + ([("b", d(5), 9.0)] if by else [])
+    events = [("a", d(n)) for n in (-1, 0, 39, 40, 70, 199, 200, 300)] + ([("b", d(0)), ("b", d(90)), ("c", d(90))] if by else [])
+    s, e = spark.createDataFrame(series, "k string, day date, v double"), spark.createDataFrame(events, "k string, day date")
+    for tolerance in (None, 35):
+        got = {(r["k"], r["day"], r["asof_value"]) for r in market.asof_backward(e, s, "day", "v", by, tolerance).collect()}
+        want = set()
+        for k, at in events:
+            seen = [x for x in series if (not by or x[0] == k) and x[1] <= at and x[2] is not None]
+            want.add((k, at, seen[-1][2] if seen and (tolerance is None or (at - seen[-1][1]).days <= tolerance) else None))
+        assert got == want
+
+
+def test_next_bar_is_later_and_near(spark):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    bars = [("a", at(1, 9), 1.0), ("a", at(1, 12), 2.0), ("a", at(1, 12), 1.5), ("a", at(3, 1), 3.0), ("b", at(1, 10), 4.0)]
+    events = [("a", at(1, 8)), ("a", at(1, 9)), ("a", at(1, 12)), ("a", at(2, 0)), ("a", at(3, 1)), ("b", at(1, 9)), ("c", at(1, 9))]
+    df = market.next_intraday_bar(spark.createDataFrame(events, "k string, ts timestamp_ntz"), spark.createDataFrame(bars, "k string, ts timestamp_ntz, value double"), "k")
+    got = {(r["k"], r["ts"]): (r["bar_ts"], r["bar_value"]) for r in df.collect()}
+    none = (None, None)
+    assert got == {("a", at(1, 8)): (at(1, 9), 1.0), ("a", at(1, 9)): (at(1, 12), 1.5), ("a", at(1, 12)): none, ("a", at(2, 0)): (at(3, 1), 3.0), ("a", at(3, 1)): none, ("b", at(1, 9)): (at(1, 10), 4.0), ("c", at(1, 9)): none}
+
+
+def test_quantiles_of_groups(spark):
+    rows = [("a", float(x % 7)) for x in range(50)] + [("b", 3.0), ("c", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    got = {r["key"]["g"]: r["e"] for r in ranking.quantiles(df, "v", points, ["g"]).collect()}
+    want = {r["g"]: r["e"] for r in df.filter("v IS NOT NULL").groupBy("g").agg(F.percentile("v", points).alias("e")).collect()}
+    assert set(got) == {"a", "b", None} and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert ranking.quantiles(df, "v", [0.5]).first()["e"] == [pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])]
+    stats = {r["g"]: r["median"] for r in metrics.return_stats(df, "v", ["g"]).collect()}
+    assert stats == {"a": pytest.approx(want["a"][3]), "b": 3.0, "c": None, None: 1.5}
+
+
+def test_answers_of_all_tasks(spark):
+    rows = [(1, t, "success", "{}") for t in responses.TASKS] + [(2, t, "error", None) for t in responses.TASKS] + [(3, "salience", "success", '{"salience_score": 0.9, "uncertainty_level": "low"}')]
+    got = {r["id"]: r.asDict() for r in responses.assemble_features(spark.createDataFrame(rows, "id long, task string, status string, response string"), "id", list(responses.TASKS)).collect()}
+    assert len(got[1]) == 25 and got[1]["business_impact"] == "unclear" and got[1]["event_type"] == "continuous"
+    assert got[2]["uncertainty_level"] == "high" and got[2]["event_type"] == "error" and got[2]["salience_score"] == 0.5
+    assert (got[3]["salience_score"], got[3]["uncertainty_level"], got[3]["time_horizon"], got[3]["tone_score"]) == (0.9, "low", "short_term", None)
