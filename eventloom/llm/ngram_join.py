@@ -29,16 +29,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, pieces_of, shuffle_width
+from .common import discard, materialized, pieces_of, shuffle_width, stored
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
 #: A first-level partition differs in at most K2 shingles and has N2 parts, of which N2 - K2 agree.
 K2, N2 = 1, 3
+#: A signature of fewer shingles is shared by documents that have little in common; with some more partitions most documents need none.
+FEW, MORE_PARTS = 2, 0.15
 #: Buckets of signatures for each partition of the shuffle; a task holds one bucket at a time.
 BUCKETS = 8
 #: Longs of parities that are kept of a document's differences from a pivot.
 SKETCH = 8
+#: Bytes of pivots' parities that may be broadcast.
+BROADCAST_BYTES = 16_000_000
+#: Shingles that are told to be frequent (a broadcast of 8 bytes each); this orders work and changes no result.
+FREQUENT_SHINGLES = 1_000_000
 #: Ids that may be broadcast (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _CODE_BITS = 40
@@ -75,19 +81,34 @@ class PartEnum:
         found = [self.of_band(values, band) for band in self.bands(len(values)) if self.differing(band)]  # k = 0: equal sets only
         return np.concatenate(found) if found else np.zeros(0, _U)
 
+    def parts(self, band: int) -> int:
+        """First-level partitions: the least number of which one differs in at most K2 shingles, and some more."""
+        return int(np.ceil((1 + MORE_PARTS) * -(-(self.differing(band) + 1) // (K2 + 1))))
+
     def of_band(self, values: np.ndarray, band: int) -> np.ndarray:
-        k, k2, n2 = self.differing(band), K2, N2
-        n1 = -(-(k + 1) // (k2 + 1))
+        """Signatures of pairs of parts that hold FEW shingles or more; of all pairs, unless those alone are enough.
+
+        A partition of three such pairs agrees in none of them only if two of
+        its parts differ, one of fewer such pairs only if one part does. Where
+        k differing shingles are too few for that in all partitions, every
+        similar set shares one of these signatures.
+        """
+        n1 = self.parts(band)
         dealt = mixed(values ^ _U(band * MULTIPLIER & (1 << 64) - 1))
-        part = (dealt % _U(n1 * n2)).astype(np.int64)
+        part = (dealt % _U(n1 * N2)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         held = part[order]
         first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        sums = np.zeros(n1 * n2, _U)
+        sums = np.zeros(n1 * N2, _U)
         sums[held[first]] = np.add.reduceat(mixed(dealt[order] + _U(1)), first)
-        sums = mixed(sums + np.arange(n1 * n2, dtype=_U) + _U((band << 32) + 1)).reshape(n1, n2)
-        subsets = list(combinations(range(n2), n2 - k2))
-        return np.concatenate([mixed(sums[:, s].sum(axis=1, dtype=_U) + _U(i)) for i, s in enumerate(subsets)])
+        sums = mixed(sums + np.arange(n1 * N2, dtype=_U) + _U((band << 32) + 1)).reshape(n1, N2)
+        counts = np.bincount(part, minlength=n1 * N2).reshape(n1, N2)
+        pairs = list(combinations(range(N2), N2 - K2))
+        found = np.stack([mixed(sums[:, s].sum(axis=1, dtype=_U) + _U(i)) for i, s in enumerate(pairs)], axis=1)
+        large = np.stack([counts[:, s].sum(axis=1) >= FEW for s in pairs], axis=1)
+        many = large.sum(axis=1)
+        enough = (many > 0).sum() + (many == len(pairs)).sum() > self.differing(band)
+        return found[large] if enough else found.reshape(-1)
 
 
 def parity_bits(values: np.ndarray) -> bytes:
@@ -119,12 +140,12 @@ def is_far(differing: int, na: int, nb: int) -> bool:
     return 3 * differing > na + nb
 
 
-_EMITTED = "bucket int, kind int, codes binary, ids binary, base long, id long, n long, h1 long, h2 long, bits binary"
+_EMITTED = "bucket int, kind int, codes binary, ids binary, base long, id long, a long, b long, n long, h1 long, h2 long, bits binary"
 _PACKED, _SPREAD, _TWINNED, _INFO = 0, 1, 2, 3
 
 
 def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> DataFrame:
-    """One pass over (id, text): a row of facts per document, and signatures packed by bucket.
+    """One pass over (id, a, b, text): a row of facts per document, and signatures packed by bucket.
 
     Documents of a batch that share a signature in threes or more send one of
     them to the signature's bucket; the others are spread over all buckets,
@@ -137,15 +158,15 @@ def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> Data
         most = int(offsets.max())
         wide = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
         small = codes.astype(_U).view(np.uint8).reshape(-1, 8)
-        return (bucket, kind, (small if kind == _SPREAD else small[:, : _CODE_BITS // 8]).tobytes(), offsets.astype(wide).tobytes(), base, None, None, None, None, None)
+        return (bucket, kind, (small if kind == _SPREAD else small[:, : _CODE_BITS // 8]).tobytes(), offsets.astype(wide).tobytes(), base, *[None] * 7)
 
-    def gathered(ids: list, texts: list) -> pa.RecordBatch:
+    def gathered(ids: list, hashes: list[tuple], texts: list) -> pa.RecordBatch:
         rows: list[tuple] = []
         signatures, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for i, (key, text) in enumerate(zip(ids, texts)):
+        for i, (key, marks, text) in enumerate(zip(ids, hashes, texts)):
             values = shingles(text, words)
             both = (values.sum(dtype=_U), mixed(values + _U(3)).sum(dtype=_U))
-            rows.append(((i + (key or 0)) % buckets, _INFO, None, None, None, key, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
+            rows.append(((i + (key or 0)) % buckets, _INFO, None, None, None, key, *marks, len(values), *(int(x.astype(np.int64)) for x in both), parity_bits(values)))
             if key is not None and len(values):
                 signatures.append(scheme.signatures(values))
                 owners.append(np.full(len(signatures[-1]), key, np.int64))
@@ -168,21 +189,21 @@ def emitted(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> Data
         for a, b in zip(cuts, cuts[1:]):
             take = order[a:b]
             rows.append(packed(int(where[take[0]]), int(kind[take[0]]), code[take], owner[take]))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 7, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _EMITTED.split(", ")])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for piece in pieces_of(part, "text"):
-                yield gathered(piece.column("id").to_pylist(), piece.column("text").to_pylist())
+                yield gathered(piece.column("id").to_pylist(), list(zip(piece.column("a").to_pylist(), piece.column("b").to_pylist())), piece.column("text").to_pylist())
 
-    return docs.select("id", "text").mapInArrow(run, _EMITTED)
+    return docs.select("id", "a", "b", "text").mapInArrow(run, _EMITTED)
 
 
 def sharing(packed: DataFrame, width: int) -> DataFrame:
     """The facts of all documents, and (code, id) of all signatures that two documents or more have; a bucket is held at a time."""
     ordered = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
-    names = ["code", "id", "n", "h1", "h2", "bits"]
+    names = ["code", "id", "a", "b", "n", "h1", "h2", "bits"]
 
     def unpacked(bucket: int, kind: int, codes: bytes, ids: bytes, base: int) -> tuple[np.ndarray, np.ndarray]:
         step = 8 if kind == _SPREAD else _CODE_BITS // 8
@@ -196,7 +217,7 @@ def sharing(packed: DataFrame, width: int) -> DataFrame:
         return code, np.frombuffer(ids, wide).astype(np.int64) + base
 
     def links(code: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(owner), *[pa.nulls(len(code), pa.int64())] * 3, pa.nulls(len(code), pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(owner), *[pa.nulls(len(code), pa.int64())] * 5, pa.nulls(len(code), pa.binary())], names)
 
     def groups(held: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
         code, owner = (np.concatenate([h[i] for h in held]) for i in (0, 1))
@@ -229,19 +250,27 @@ def sharing(packed: DataFrame, width: int) -> DataFrame:
         if held:
             yield groups(held)
 
-    return ordered.mapInArrow(run, "code long, id long, n long, h1 long, h2 long, bits binary")
+    return ordered.mapInArrow(run, "code long, id long, a long, b long, n long, h1 long, h2 long, bits binary")
+
+
+def rare_prefix(n: int, num: int, den: int) -> int:
+    """So many of a set's shingles, in an order that all sets share, that a similar set has one of its own first ones among them."""
+    return n + (-n * num) // den + 1
 
 
-def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
-    """(shingle, n): of all documents' shingles those that two or more have, counted in slices before they are shuffled."""
+def frequent_shingles(docs: DataFrame, words: int, num: int, den: int) -> np.ndarray:
+    """The most frequent of the shingles that come first by their hash in any document, half as many again as a prefix has; counted over all documents."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for piece in pieces_of(part, "text"):
-                values, n = np.unique(np.concatenate([np.zeros(0, _U), *[shingles(t, words) for t in piece.column("text").to_pylist()]]), return_counts=True)
+                sets = [shingles(t, words) for t in piece.column("text").to_pylist()]
+                values, n = np.unique(np.concatenate([np.zeros(0, _U), *[x[: rare_prefix(len(x), num, den) * 3 // 2] for x in sets]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).select("shingle").toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(_U))
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -320,7 +349,9 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
     """
     keys = found.columns
     side = lambda x: facts.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
-    probed = found.join(side("id"), "id").join(side("p"), "p").select(*keys, "nid", "np", "bitsid", "bitsp")
+    pivots = materialized(side("p").join(found.select("p").distinct(), "p", "left_semi"))
+    few = (pivots.agg(F.sum(F.octet_length("bitsp"))).first()[0] or 0) <= BROADCAST_BYTES
+    probed = found.join(side("id"), "id").join(F.broadcast(pivots) if few else pivots, "p").select(*keys, "nid", "np", "bitsid", "bitsp")
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -328,7 +359,7 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
             near = pa.array([is_near(parity_distance(a, b), n, m, num, den) for a, b, n, m in zip(*columns)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], near], [*keys, "near"])
 
-    told = materialized(probed.mapInArrow(probe, "p long, p_size long, id long, component long, near boolean").groupBy(*keys).agg(F.max("near").alias("near")))
+    told = stored(probed.mapInArrow(probe, "p long, p_size long, id long, component long, near boolean").groupBy(*keys).agg(F.max("near").alias("near")))
     near = told.filter("near").drop("near")
     needed = picked(docs, near.select(F.explode(F.array("p", "id")).alias("id")))
     text = lambda x: needed.select(F.col("id").alias(x), F.col("text").alias("text" + x))
@@ -355,7 +386,7 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
 
     compared = full.mapInArrow(compare, _DIFFERENCES)
     unlike = told.filter("NOT near").drop("near").select(*keys, *[F.lit(None).cast("long").alias(c) for c in names[4:8]], F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(False).alias("inner"), *[F.lit(None).cast("array<bigint>").alias(c) for c in names[11:]])
-    return materialized(compared.union(unlike))
+    return stored(compared.union(unlike))
 
 
 def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
@@ -368,20 +399,23 @@ def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
     before the last that many of both. X and Y also differ in no fewer
     shingles than their parities do.
     """
-    own = ["p", "id", "component", "mark", "n", "d", "inner", *[f"s{i}" for i in range(SKETCH)]]
-    near = told.filter("near").dropDuplicates(["p", "id", "mark"]).withColumns({f"s{i}": F.col("sketch")[i] for i in range(SKETCH)})
+    key = ["p", "id", "mark"]
+    near = told.filter("near").dropDuplicates(key)
+    sides = [near.select(*key, "component", "inner", F.explode(c).alias("shingle"), F.lit(c == "lost").alias("lost")) for c in ("added", "lost")]
+    each = sides[0].union(sides[1])
+    spots = each.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("inner").alias("all_inner"), F.count("*").alias("times"))
+    spots = materialized(spots.filter("low < high AND NOT all_inner").select("p", "shingle", "times"))
+    at_spots = each.select(*key, "shingle", "lost").join(F.broadcast(spots) if spots.count() <= BROADCAST_IDS else spots, ["p", "shingle"])
+    # all other shingles come before these: no document of another component has them
+    order = Window.partitionBy(*key).orderBy("lost", "times", "shingle")
+    facts = near.select(*key, "component", "n", "m", "d", "inner", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    placed = at_spots.withColumn("pos", F.row_number().over(order) - F.count("*").over(Window.partitionBy(*key)) - 1).join(facts, key).withColumn("pos", F.col("d") + F.col("pos"))
     least = F.floor((F.ceil(F.col("n") * num / den) + F.col("m")) * (den - num) / (den + num)) + 1  # of an outer document's differences
     most = largest_sharing(num, den)
     other = F.greatest(F.col("d") - most, F.when(F.col("inner"), least).otherwise(0))
     needed = F.greatest(F.ceil((F.col("d") + other - most) / 2), F.lit(1))
-    sides = [near.select(*own, "m", F.explode(c).alias("shingle"), F.lit(c == "lost").alias("lost")) for c in ("added", "lost")]
-    each = materialized(sides[0].union(sides[1]))
-    spots = each.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("inner").alias("all_inner"), F.count("*").alias("times")).filter("low < high AND NOT all_inner").select("p", "shingle", "times")
-    # what no document of another component has can hold no first common place; it comes last
-    order = Window.partitionBy("p", "id", "mark").orderBy(F.col("times").isNull(), "lost", "times", "shingle")
-    placed = each.join(materialized(spots), ["p", "shingle"], "left").withColumn("pos", F.row_number().over(order) - 1)
-    kept = materialized(placed.filter(F.col("times").isNotNull() & (F.col("pos") <= F.col("d") - needed)).select(*own, "shingle", "pos"))
-    again = kept.select("p", "shingle", *[F.col(c).alias("other_" + c) for c in own[1:] + ["pos"] if c != "mark"])
+    kept = materialized(placed.filter(F.col("pos") <= F.col("d") - needed).drop("m", "lost", "times", "mark"))
+    again = kept.select("p", "shingle", *[F.col(c).alias("other_" + c) for c in kept.columns if c not in ("p", "shingle")])
     most = F.floor((F.col("n") + F.col("other_n")) * (den - num) / (den + num))
     total = F.col("d") + F.col("other_d") - most
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"other_s{i}"))) for i in range(SKETCH)])
@@ -404,28 +438,34 @@ def pairs_of_strangers(told: DataFrame, docs: DataFrame, words: int, num: int, d
     """
     homes = told.groupBy("p", "p_size", "id").agg(F.min("near").alias("near")).filter("near").groupBy("id").agg(F.max(F.struct("p_size", (-F.col("p")).alias("back"))).alias("home")).select("id", (-F.col("home.back")).alias("home"))
     far = materialized(told.filter("far").select("id", "component").distinct().join(homes, "id", "left"))
-    own = picked(docs, far)
-    counted = materialized(shared_shingles(own, words))
+    own = docs.join(F.broadcast(far) if far.count() <= BROADCAST_IDS else far, "id")
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(own, words, num, den))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = held.value
         for part in parts:
             for piece in pieces_of(part, "text"):
-                sets = [shingles(t, words) for t in piece.column("text").to_pylist()]
-                sizes = [len(x) for x in sets]
-                marks = [int(mixed(x.sum(dtype=_U, keepdims=True))[0].astype(np.int64)) for x in sets]
-                flat = np.concatenate([np.zeros(0, _U), *sets])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *[pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (piece.column("id").to_pylist(), marks, sizes)]], ["shingle", "id", "mark", "n"])
-
-    each = own.select("id", "text").mapInArrow(run, "shingle long, id long, mark long, n long").join(counted.withColumnRenamed("n", "times"), "shingle")
-    order = Window.partitionBy("id", "mark").orderBy("times", "shingle")
-    # shingles that no other document has come first, and aren't rows: shared ones take their places from the end
-    placed = each.withColumn("after", F.count("*").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    rare = placed.filter(F.col("after") * den >= F.col("n") * num).join(far, "id")
-    spots = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("two"), F.count("home").alias("at_home"), F.count("*").alias("all"))
-    spots = spots.filter("low < high AND (at_home < all OR one < two)").select("shingle")
-    rare = materialized(rare.join(spots, "shingle", "left_semi"))
-    again = rare.select("shingle", *[F.col(c).alias("other_" + c) for c in ("id", "component", "home", "n", "after")])
-    may = (F.col("after") * (den + num) >= num * (F.col("n") + F.col("other_n"))) & (F.col("other_after") * (den + num) >= num * (F.col("n") + F.col("other_n")))
+                out: list[np.ndarray] = []
+                sizes = []
+                for text in piece.column("text").to_pylist():
+                    values = shingles(text, words)
+                    common = np.zeros(len(values), bool)
+                    if len(frequent):
+                        common = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
+                    out.append(values[np.lexsort((values, common))[: rare_prefix(len(values), num, den)]])
+                    sizes.append(len(values))
+                taken = np.array([len(x) for x in out], np.int64)
+                owner = pa.array(np.repeat(np.arange(len(out)), taken))
+                flat = np.concatenate([np.zeros(0, _U), *out]).view(np.int64)
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(taken) - taken, taken)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *[piece.column(c).take(owner) for c in ("id", "component", "home")], pa.array(np.repeat(np.array(sizes, np.int32), taken)), pa.array(pos.astype(np.int32))], ["shingle", "id", "component", "home", "n", "pos"])
+
+    rare = own.select("id", "component", "home", "text").mapInArrow(run, "shingle long, id long, component long, home long, n int, pos int")
+    spot = Window.partitionBy("shingle")
+    marked = rare.withColumns({"low": F.min("component").over(spot), "high": F.max("component").over(spot), "one": F.min("home").over(spot), "two": F.max("home").over(spot), "at_home": F.count("home").over(spot), "all": F.count("*").over(spot)})
+    rare = materialized(marked.filter("low < high AND (at_home < all OR one < two)").select(*rare.columns))
+    again = rare.select("shingle", *[F.col(c).alias("other_" + c) for c in ("id", "component", "home", "n", "pos")])
+    may = ((F.col("n") - F.col("pos")) * (den + num) >= num * (F.col("n") + F.col("other_n"))) & ((F.col("other_n") - F.col("other_pos")) * (den + num) >= num * (F.col("n") + F.col("other_n")))
     strangers = F.col("home").isNull() | F.col("other_home").isNull() | (F.col("home") != F.col("other_home"))
     met = rare.join(again, "shingle").filter((F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & strangers & near_size("n", "other_n", num, den) & may)
     return met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
@@ -441,34 +481,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     null id is in no component (null); an empty table gives no rows; other
     columns are not read.
 
-    Equal sets are one node. Signatures go to buckets packed, nine bytes each;
-    links and components stay in tables. No step emits all pairs of a group.
+    Of equal texts the first alone goes on; equal sets are one node. Signatures
+    go to buckets packed, seven bytes each as a rule; links and components stay
+    in tables. No step emits all pairs of a group.
     """
     scheme, width = PartEnum(percent, 100), shuffle_width(docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text", F.length("text")).alias("b")]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", "text", *marks)
     known = texts.filter(F.col("id").isNotNull())
-    first_pass = materialized(sharing(emitted(texts, words, scheme, BUCKETS * width), width))
+    # of equal texts the first alone goes on
+    worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    first_texts = worded.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("a", "b", "first")
+    text_copies = stored(worded.select("id", "a", "b").join(materialized(first_texts), ["a", "b"]).filter("id > first"))
+    gone = text_copies.select("id", "a", "b").distinct()
+    own = texts.join(F.broadcast(gone) if text_copies.count() <= BROADCAST_IDS else gone, ["id", "a", "b"], "left_anti")
+    first_pass = stored(sharing(emitted(own, words, scheme, BUCKETS * width), width))
     facts = first_pass.filter("code IS NULL").drop("code")
     equal = materialized(facts.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     copies = materialized(facts.join(equal, ["n", "h1", "h2"]).select("id", "first").distinct())
     of_first = copies.groupBy("id").agg(F.min("first").alias("first"))
-    doubled = copies.join(of_first.withColumnRenamed("first", "least"), "id").filter("first > least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # rows that share an id
-
-    shared = first_pass.filter("code IS NOT NULL").select("code", "id").join(of_first, "id", "left").select("code", F.coalesce("first", "id").alias("id")).distinct()
-    shared = materialized(shared)
-    firsts = materialized(shared.groupBy("code").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last"))
-    starred = shared.join(firsts, "code").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    # rows that share an id
+    doubled = copies.join(of_first.withColumnRenamed("first", "least"), "id").filter("first > least").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    node = lambda x: F.coalesce("first", x)
+    again = text_copies.select("id", F.col("first").alias("other")).join(facts.select("id").union(text_copies.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")).distinct(), "id", "left_semi")
+    again = again.join(of_first, "id", "left").select(node("id").alias("x"), "other").join(of_first.withColumnRenamed("id", "other"), "other", "left").select("x", node("other").alias("y")).filter("x <> y")
+    doubled = doubled.union(again.select(F.least("x", "y"), F.greatest("x", "y")))
+
+    shared = first_pass.filter("code IS NOT NULL").select("code", "id").join(of_first, "id", "left").select("code", node("id").alias("id")).distinct()
+    firsts = shared.groupBy("code").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
+    shared = stored(shared.join(firsts, "code"))
+    starred = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
     links = verified(starred, facts, known, words, percent, 100).union(doubled)
     label = components(links)
 
-    told = differences(incidences(shared.join(firsts, "code", "left_semi"), label), facts, known, words, percent, 100)
+    told = differences(incidences(shared.drop("a"), label), facts, known, words, percent, 100)
+    discard(shared)
     more = told.filter("inner").select("p", "id").union(verified(pairs_of_families(told, percent, 100), facts, known, words, percent, 100)).union(verified(pairs_of_strangers(told, known, words, percent, 100), facts, known, words, percent, 100))
     more = materialized(more)
     if more.limit(1).count():
         label = components(links.union(more))
 
-    named = facts.join(of_first, "id", "left").select("id", "n", F.coalesce("first", "id").alias("node"))
-    return named.join(label.withColumnRenamed("id", "node"), "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    named = facts.join(of_first, "id", "left").select("id", "a", "b", "n", node("id").alias("node"))
+    copied = text_copies.join(named.select(F.col("id").alias("first"), "a", "b", "n", "node").distinct(), ["first", "a", "b"]).select("id", "a", "b", "n", "node")
+    whole = named.union(copied).join(label.withColumnRenamed("id", "node"), "node", "left")
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
