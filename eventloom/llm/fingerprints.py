@@ -176,7 +176,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = F.create_map(*[x for i, (_, head) in enumerate(heads) for x in (F.lit(head), F.lit(heads[i - 1][0]))])
     sent = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("guard")))
     sent = F.when(before[F.col("key")].isNotNull(), F.concat(sent, F.array(F.struct(before[F.col("key")].alias("part"), F.lit(True).alias("guard"))))).otherwise(sent)
-    return split.select(F.explode(sent).alias("to"), "key", "id", "text").select("to.part", "to.guard", "key", "id", "text").repartition(width, "part").sortWithinPartitions("part", "guard", "key", "text")
+    return split.select(F.explode(sent).alias("to"), "key", "id", "text").select("to.part", "to.guard", "key", "id", "text").repartitionByRange(width, "part").sortWithinPartitions("part", "guard", "key", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
