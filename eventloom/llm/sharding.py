@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, shuffle_width
+from .common import materialized
 
-#: Rows of a block at most, about; blocks grow in number, not in size.
-BLOCK_ROWS = 1_000_000
+#: Rows of a block at most, about; blocks grow in number, not in size. Blocks that are drawn together.
+BLOCK_ROWS, FAN = 2_000, 64
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -43,25 +43,32 @@ def hypergeometric_sql(good: str, bad: str, draws: str, uniform: str) -> str:
     return _let("h", f"named_struct('good', {good}, 'bad', {bad}, 'draws', {draws})", body)
 
 
-def communication_matrix(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+def communication_matrix(blocks: DataFrame, n_blocks: int, shards: int, seed: int) -> DataFrame:
     """From (block, n) to (block, bounds): bounds[s] is the last place, counted from 1, of the block's rows for shard s.
 
-    The block counts meet in one row; there is a count for each million rows.
+    A tree of draws: the rows of FAN ranges of blocks are drawn from the whole,
+    those of FAN ranges inside each from what the range got, down to single
+    blocks. A task holds FAN rows of counts at a time, whatever the size.
     """
-    uniform = f"((shiftrightunsigned(xxhash64({seed}L, b.block, s), 11) + 0.5D) / 9007199254740992D)"
-    draw = hypergeometric_sql("m.left[s]", "(d.total - m.left[s])", "d.todo", uniform)
-    row = (
-        f"aggregate(sequence(0, {shards - 1}), named_struct('todo', b.n, 'total', aggregate(m.left, 0L, (x, y) -> x + y), 'row', CAST(array() AS ARRAY<BIGINT>)), "
-        f"(d, s) -> {_let('x', draw, "named_struct('todo', d.todo - x, 'total', d.total - m.left[s], 'row', concat(d.row, array(x)))")}, d -> d.row)"
-    )
-    into = "named_struct('left', zip_with(m.left, drawn, (x, y) -> x - y), 'rows', concat(m.rows, array(named_struct('block', b.block, 'row', drawn))))"
-    start = (
-        f"named_struct('left', transform(sequence(0, {shards - 1}), s -> total DIV {shards} + if(s < total % {shards}, 1L, 0L)), "
-        "'rows', CAST(array() AS ARRAY<STRUCT<block: INT, row: ARRAY<BIGINT>>>))"
-    )
-    whole = blocks.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks"), F.sum("n").alias("total")).filter("total > 0")
-    drawn = whole.select(F.explode(F.expr(f"aggregate(blocks, {start}, (m, b) -> {_let('drawn', row, into)}, m -> m.rows)")).alias("r"))
-    return drawn.select("r.block", F.expr(f"transform(sequence(1, {shards}), k -> aggregate(slice(r.row, 1, k), 0L, (x, y) -> x + y))").alias("bounds"))
+    depth = 1
+    while FAN**depth < n_blocks:
+        depth += 1
+    whole = blocks.agg(F.sum("n").alias("total")).filter("total > 0")
+    drawn = whole.select(F.lit(0).cast("long").alias("parent"), F.expr(f"transform(sequence(0, {shards - 1}), s -> total DIV {shards} + if(s < total % {shards}, 1L, 0L))").alias("left"))
+    for level in reversed(range(depth)):
+        uniform = f"((shiftrightunsigned(xxhash64({seed}L, {level}, b.block, s), 11) + 0.5D) / 9007199254740992D)"
+        draw = hypergeometric_sql("m.left[s]", "(d.total - m.left[s])", "d.todo", uniform)
+        row = (
+            f"aggregate(sequence(0, {shards - 1}), named_struct('todo', b.n, 'total', aggregate(m.left, 0L, (x, y) -> x + y), 'row', CAST(array() AS ARRAY<BIGINT>)), "
+            f"(d, s) -> {_let('x', draw, "named_struct('todo', d.todo - x, 'total', d.total - m.left[s], 'row', concat(d.row, array(x)))")}, d -> d.row)"
+        )
+        into = "named_struct('left', zip_with(m.left, drawn, (x, y) -> x - y), 'rows', concat(m.rows, array(named_struct('block', b.block, 'row', drawn))))"
+        start = "named_struct('left', left, 'rows', CAST(array() AS ARRAY<STRUCT<block: BIGINT, row: ARRAY<BIGINT>>>))"
+        ranges = blocks.groupBy(F.expr(f"block DIV {FAN**level}").alias("block")).agg(F.sum("n").alias("n"))
+        children = ranges.groupBy(F.expr(f"block DIV {FAN}").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks"))
+        each = children.join(drawn, "parent").select(F.explode(F.expr(f"aggregate(blocks, {start}, (m, b) -> {_let('drawn', row, into)}, m -> m.rows)")).alias("r"))
+        drawn = materialized(each.select(F.col("r.block").alias("parent"), F.col("r.row").alias("left")))
+    return drawn.select(F.col("parent").alias("block"), F.expr(f"transform(sequence(1, {shards}), k -> aggregate(slice(left, 1, k), 0L, (x, y) -> x + y))").alias("bounds"))
 
 
 def sharded(docs: DataFrame, shards: int, seed: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,21 +81,21 @@ def sharded(docs: DataFrame, shards: int, seed: int = 20, id_col: str = "doc_id"
     places); an empty table gives no rows; other columns are not read.
 
     The text never leaves its scan: 20 bytes a row are exchanged. A block, and
-    a bucket of a shard, hold about a million rows at any size of the input.
+    a bucket of a shard, hold about 2000 rows at any size of the input, and the
+    result does not depend on the cluster's.
     """
-    width = shuffle_width(docs)
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
     n = docs.count()
-    blocks = max(width, -(-n // BLOCK_ROWS))
+    blocks = max(1, -(-n // BLOCK_ROWS))
     buckets = -(-blocks // shards)
 
     def pick(step: int) -> F.Column:
         return F.xxhash64(F.lit(seed + step), "id", "crc")
 
-    dealt = rows.withColumn("block", F.pmod(pick(1), F.lit(blocks)).cast("int"))
-    matrix = materialized(communication_matrix(dealt.groupBy("block").agg(F.count("*").alias("n")), shards, seed))
+    dealt = rows.withColumn("block", F.pmod(pick(1), F.lit(blocks)).cast("long"))
+    matrix = communication_matrix(materialized(dealt.groupBy("block").agg(F.count("*").alias("n"))), blocks, shards, seed)
     inside = Window.partitionBy("block").orderBy(pick(2), "id", "size", "crc")
     placed = dealt.withColumn("place", F.row_number().over(inside)).join(matrix, "block")
     sent = placed.select("id", "size", "crc", F.expr("size(filter(bounds, b -> b < place))").alias("shard"), F.pmod(pick(3), F.lit(buckets)).cast("int").alias("bucket"))

@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.llm import sharding
 from eventloom.llm import substring_dedup as sub
 from eventloom.llm.fingerprints import anchors, code_points, edited_anchors, fingerprints, hashes_in, in_order, likeness, scheme_of, syncmers, written
 from eventloom.llm.line_dedup import LineRuns, line_dedup, without_shared_lines
 from eventloom.llm.ngram_join import PartEnum, may_link, near_duplicates, one_of_each, parity_bits
 from eventloom.llm.quality_rules import passing, quality_rules
 from eventloom.llm.sharding import hypergeometric_sql, sharded
+from eventloom.llm.words import Runs, mixed
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -125,6 +127,42 @@ def test_sharding(docs, rows):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_matrix_is_a_tree_of_draws(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 3)
+    sizes = {b: 5 + b % 4 for b in range(20)}
+    counts = spark.createDataFrame(list(sizes.items()), "block long, n long")
+    sums = np.zeros(4)
+    for seed in range(12):
+        rows = {r["block"]: np.diff([0, *r["bounds"]]) for r in sharding.communication_matrix(counts, 20, 4, seed).collect()}
+        assert {b: int(x.sum()) for b, x in rows.items()} == sizes and all((x >= 0).all() for x in rows.values())
+        got = sum(rows.values())
+        assert got.tolist() == [33, 33, 32, 32]
+        sums += rows[0]
+    assert (sums > 0).all()
+
+
+def test_shards_do_not_depend_on_the_cluster(docs, spark):
+    rows = lambda: sorted((r["text_crc32"], r["shard"], r["slot"]) for r in sharded(docs.filter("doc_id < 9000"), 16).collect())
+    first = rows()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert rows() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_shuffle_is_uniform(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 8)
+    df = spark.range(30).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    together, places = 0, np.zeros(3)
+    for seed in range(40):
+        shard = {r["doc_id"]: r["shard"] for r in sharded(df, 3, seed).collect()}
+        together += sum(shard[i] == shard[i + 1] for i in range(0, 30, 2))
+        places[shard[7]] += 1
+    assert abs(together / 600 - 9 / 29) < 0.07  # two rows of a uniform permutation into shards of ten
+    assert (places > 3).all()
+
+
 def test_hypergeometric_draws(spark):
     good, bad, draws, n = 30, 50, 20, 4000
     x = spark.range(n).select(F.expr(hypergeometric_sql(f"{good}L", f"{bad}L", f"{draws}L", f"((id + 0.5D) / {n})")).alias("x")).toPandas()["x"]
@@ -149,6 +187,35 @@ def test_fingerprints(docs, rows):
     assert Counter(map(tuple, fingerprints(docs).collect())) == want
 
 
+def test_syncmers_by_a_plain_loop():
+    rng = np.random.default_rng(6)
+    for k, s in ((48, 12), (12, 4), (3, 2)):
+        for text in (rng.integers(97, 123, 300), rng.integers(97, 99, 120), np.resize(rng.integers(97, 123, 5), 130)):
+            points = text.astype(np.uint64)
+            value = lambda p, n: int(mixed(Runs(mixed(points[p : p + n])).at(np.zeros(1, np.int64), n))[0])
+            want = []
+            for p in range(len(points) - k + 1):
+                inner = [value(p + i, s) for i in range(k - s + 1)]
+                if min(inner) in (inner[0], inner[-1]):
+                    want.append((p, value(p, k) >> 34))
+            at, found = syncmers(points, k, s)
+            assert list(zip(at.tolist(), (found & (1 << 30) - 1).tolist())) == want
+
+
+def test_likeness_by_the_textbook():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(0, 30)).tolist() for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        want = 1.0 if a == b else 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+        assert likeness(a, b) == want
+
+
 def test_syncmers_do_not_depend_on_context():
     rng = np.random.default_rng(5)
     text = rng.integers(97, 105, 2000).astype(np.uint64)
