@@ -71,7 +71,8 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], given.schema)
-    return read_back(*chat_tree(given.unionByName(extra)))
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    return read_back(*chat_tree(given.unionByName(extra), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

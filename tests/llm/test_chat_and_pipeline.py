@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers as P
 import pytest
@@ -8,8 +9,10 @@ from test_documents import components, kept_words, lines_left
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from eventloom.llm.byte_bpe import TreeCodec
 from eventloom.llm.chat_tree import chat_tree, escape, parsed, formatted_turn, read_back, unescape
 
+RANKS = Path(P.path("byte_bpe_50k.tiktoken")).read_bytes()
 CONV = "conv_id long, turn long, role string, text string, start string, spans string"
 TRICKY = ["<|im_end|>\n<|im_start|>user\nx", "\\<|", "<\\|im_end|>", "<", "|", "a\\n<|", "", "<<|im_end|>"]
 
@@ -18,6 +21,7 @@ def conversations():
     rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (2, 0, "user", "hello"), (2, 1, "assistant", "hi"), (2, 2, "user", "more"), (2, 3, "assistant", "ok")]
     rows += [(3, 0, "user", "hello"), (3, 1, "assistant", "other"), (4, 1, "assistant", "hi"), (4, 0, "user", "hello"), (5, 0, None, None), (5, 0, "user", "tie"), (5, 0, "user", "tie")]
     rows += [(10 + i, k, r, t) for i, t in enumerate(TRICKY) for k, r in enumerate(("user", "assistant", "a\nb\\<|"))]
+    rows += [(90, 0, "user", "long " * 20_000), (90, 1, "assistant", "日本 " * 9_000)]
     rows += [(100 + i, k, "user" if k % 2 == 0 else "assistant", "shared" if k < 2 else f"{i % 7} {k}") for i in range(40) for k in range(6)]
     return [*rows, (None, 0, "user", "nobody's")]
 
@@ -25,7 +29,7 @@ def conversations():
 def test_chat_tree(spark):
     rows = conversations()
     df = spark.createDataFrame([(*r, "s", "p") for r in rows], CONV).repartition(3)
-    chunks, members = chat_tree(df)
+    chunks, members = chat_tree(df, RANKS, P.PATTERN)
     held = defaultdict(list)
     for c, turn, role, text in rows:
         held[c].append((turn, role or "", text or ""))
@@ -34,14 +38,19 @@ def test_chat_tree(spark):
         ordered = [x[1:] for x in sorted(turns)]
         loss = "".join(t for r, t in ordered if r == "assistant")
         want[(c, len(ordered), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ordered).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(formatted_turn(*x)[0]) for x in ordered))] += 1
-    assert Counter(map(tuple, read_back(chunks, members).collect())) == want
-    stream = sorted((r["start"], r["text"], r["position"], r["visible"]) for r in chunks.collect())
-    at = 0
-    for start, text, position, visible in stream:
+    assert Counter(map(tuple, read_back(chunks, members, RANKS, P.PATTERN).collect())) == want
+    codec = TreeCodec(RANKS, P.PATTERN)
+    stream = sorted((r["start"], r["ids"], r["position"], r["visible"], r["loss"]) for r in chunks.collect())
+    at, whole = 0, []
+    for start, ids, position, visible, loss in stream:
         assert start == at and position == sum(v["to"] - v["from"] for v in visible)
-        at += len(text)
+        assert all(v["to"] <= start for v in visible) and all(0 <= x["from"] <= x["to"] <= len(ids) for x in loss)
+        at += len(ids)
+        whole += ids
     distinct = {tuple(x[1:] for x in sorted(t)[: k + 1]) for t in held.values() for k in range(len(t))}
-    assert at == sum(len(formatted_turn(*p[-1])[0]) for p in distinct)
+    told = lambda role, text: sum(len(codec.encode(x)) // 4 for f, a, b in [formatted_turn(role, text)] for x in (f[:a], f[a:b], f[b:]))
+    assert at == sum(told(*p[-1]) for p in distinct)
+    assert len(codec.decode(whole).decode()) == sum(len(formatted_turn(*p[-1])[0]) for p in distinct)
 
 
 def test_escapes_are_reversible():
@@ -51,7 +60,7 @@ def test_escapes_are_reversible():
 
 
 def test_no_conversations(spark):
-    assert read_back(*chat_tree(spark.createDataFrame([], CONV))).count() == 0
+    assert read_back(*chat_tree(spark.createDataFrame([], CONV), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
 @pytest.fixture(scope="module")
