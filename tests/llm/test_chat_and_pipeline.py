@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -63,38 +64,76 @@ def test_no_conversations(spark):
     assert read_back(*chat_tree(spark.createDataFrame([], CONV), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
+CLASHING = ("_gone", "row", "key", "a", "b", "code", "id", "mark", "drop", "copy", "spans", "host", "bucket", "rank", "component")
+
+
+def documents(spark, folder, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), *CLASHING) for i, t, s in rows], schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     text = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
     shared = text("s", 70)
     rows = [(i, text(i, 60 + i), "a") for i in range(20)] + [(20, "too short", "a"), (21, None, None), (22, text(3, 63), "b"), (23, text(4, 64) + " one more", "b")]
-    rows += [(30, f"{text(30, 200)} {shared}", "b"), (31, f"{shared} {text(31, 200)}", "c"), *[(40 + i, f"Shared Line\n{text(40 + i, 80)}", "c") for i in range(10)]]
-    folder = str(tmp_path_factory.mktemp("small"))
-    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    return folder, [(i, t) for i, t, _ in rows]
+    rows += [(30, f"{text(30, 200)} {shared}", "b"), (31, f"{shared}\n {text(31, 200)}", "c"), *[(40 + i, f"Shared Line\n{text(40 + i, 80)}", "c") for i in range(10)]]
+    rows += [(100 + i, text(100 + i, 70) if i % 12 == 0 else "junk", "bad host") for i in range(60)]  # a host that hardly passes
+    rows += [(None, f"{text('n', 90)} {shared}", "b"), (None, f"{text('n', 90)} {shared}", "b"), (7, text(7, 67), "a"), (200, " ".join(f"l{j}" for j in range(30_000)), None), (201, text(200, 51), None)]
+    return documents(spark, str(tmp_path_factory.mktemp("small")), rows), rows
+
+
+def passed(rows):
+    """Rows that quality rules keep, by plain loops."""
+    fails, hosts = [], defaultdict(list)
+    for _, t, s in rows:
+        w = (t or "").split()
+        grams = Counter(tuple(w[p : p + 3]) for p in range(len(w) - 2))
+        covered = {p + d for p in range(len(w) - 2) for d in range(3) if grams[tuple(w[p : p + 3])] > 1}
+        fails.append(len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        hosts[s or ""].append(fails[-1])
+    n, bad = len(rows), sum(fails)
+    m = bad / n
+    surplus = max(sum(sum(v) ** 2 / len(v) for v in hosts.values()) / n - m * m - m * (1 - m) * len(hosts) / n, 1e-9)
+    strength = max(m * (1 - m) / surplus - 1, 1.0)
+    rate = {h: (sum(v) + m * strength) / (len(v) + strength) for h, v in hosts.items()}
+    return [(i, t) for (i, t, s), f in zip(rows, fails) if not f and rate[s or ""] <= 0.75]
 
 
 def test_pipeline(spark, small):
     folder, rows = small
-    rows = [(i, t) for i, t in rows if len((t or "").split()) >= 50]
-    rows = [(i, "\n".join(k)) for i, _, k in lines_left(rows, 10)]
-    rows = [(i, t) for i, t in rows if components(rows, 5, 80)[(i, len(set(zip(*[t.lower().split()[j:] for j in range(5)]))), i)]]
-    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    left = passed(rows)
+    assert {i for i, _ in left}.isdisjoint(range(100, 160))
+    left = [(i, "\n".join(k)) for i, _, k in lines_left(left, 10)]
+    first = {i: root for i, _, root in components(left, 5, 80)}
+    left = [(i, t) for i, t in left if i is None or first[i] == i]
+    tok, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Counter()
+    cut = []
+    for (i, t), (_, n_words, gone, kept) in zip(left, kept_words(left, 50)):
+        if gone:  # each kept word with the white space behind it
+            at, words, out = 0, re.split(r"([^\x20\x09-\x0D]+)", t), []
+            for word, space in zip(words[1::2], words[2::2]):
+                if at < len(kept) and word.encode() == kept[at]:
+                    out.append(word + space)
+                    at += 1
+            t = words[0] + "".join(out)
+            cut.append(i)
+        want[i] += len(tok.encode(t, add_special_tokens=False).ids) + 1
     out = corpus_pipeline.run(spark, folder)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "substring_dedup", "best_fit_packing"]
-    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
-    want = {}
-    for (i, t), (_, _, gone, kept) in zip(rows, kept_words(rows, 50)):
-        left = t if not gone else None
-        want[i] = len(tok.encode(left, add_special_tokens=False).ids) + 1 if left is not None else None
-    assert set(got) == set(want)
-    assert 22 not in got and 23 not in got and 20 not in got and 21 not in got
-    assert all(n is None or got[i] == n for i, n in want.items())
-    assert want[31] is None and got[31] < len(tok.encode(dict(rows)[31]).ids)
+    assert {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == dict(want)
+    assert cut == [31] and not {20, 21, 22, 23} & set(want) and None in want and 7 in want
 
 
 def test_stages_keep_columns(spark, small):
     folder, _ = small
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns, name
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(*CLASHING).distinct().collect()} == {CLASHING}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, documents(spark, str(tmp_path), [])).count() == 0
