@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_position
+
 #: A short stop list; callers pass their own where results must match another tool's.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]
 
@@ -33,7 +35,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, m
     # as the variable of a one-element transform, the words are made once for all grams of a text
     each = F.transform(F.array(tokens(F.col(text_col), stop)), lambda words: grams(words, most))[0]
     terms = df.select(id_col, F.explode(each).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))  # one exchange serves the vocabulary and the weights
     n = df.agg(F.count("*")).scalar()
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)).orderBy(F.desc("total"), "term").limit(max_features)
     idf = vocabulary.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -42,11 +44,16 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, m
 
 
 def label_encode(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
-    """Alphabetical codes of a training table's values; null is 'unknown', unseen values get 0."""
+    """Alphabetical codes of a training table's values; null is 'unknown', unseen values get 0.
+
+    The distinct values are numbered by ranges and joined, not held in one array.
+    """
     for c in columns:
         value = F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-        codes = (df if train is None else train).select(value.alias("_v")).distinct().agg(F.array_sort(F.collect_set("_v"))).scalar()
-        df = df.withColumn(f"{c}_code", F.greatest(F.array_position(codes, value) - 1, F.lit(0)).cast("int"))
+        values = (df if train is None else train).select(value.alias("_v")).distinct()
+        numbered = values.repartitionByRange("_v").sortWithinPartitions("_v").select("_v", F.monotonically_increasing_id().alias("_at"))
+        codes = global_position(numbered, ["_at"], "_code").select("_v", "_code")
+        df = df.withColumn("_v", value).join(codes, "_v", "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(0)).cast("int")).drop("_v", "_code")
     return df
 
 
@@ -77,4 +84,4 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     facts = counts.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k"))).scalar()
     weights = counts.select(label, (facts["n"] / (facts["k"] * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)  # a row per class
+    return df.join(weights, label)

@@ -51,23 +51,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def scored(chunks: DataFrame, queries: DataFrame, vector: str, query_vector: str, query_id: str) -> DataFrame:
-    """Each chunk with its similarity to each of a stated set of queries, which travel as one array."""
-    held = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("v")))).scalar()
-    return chunks.withColumn("_q", F.explode(held)).withColumn("query_id", F.col("_q.q")).withColumn("score", cosine(F.col(vector), F.col("_q.v"))).drop("_q")
+#: Queries that a chunk meets at a time.
+QUERY_BLOCK = 256
+
 
+def unit(v: Column) -> Column:
+    """A vector of length 1; null for a zero vector."""
+    length = F.sqrt(dot(v, v))
+    return F.transform(F.array(length), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))[0]
 
-def retrieve_sum(chunks: DataFrame, queries: DataFrame, group: str, chunk: str, vector: str, query_vector: str, query_id: str, k: int) -> DataFrame:
-    """The k chunks of each group with the largest summed similarity to all queries."""
-    sums = scored(chunks, queries, vector, query_vector, query_id).groupBy(group, chunk).agg(F.sum("score").alias("score"))
+
+def scored(chunks: DataFrame, queries: DataFrame, vector: str, query_vector: str, query_id: str) -> DataFrame:
+    """Each chunk with its similarity to each of a stated set of queries, which travel in blocks; lengths are taken once."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    held = queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), unit(F.col(query_vector)).alias("v"))).alias("_q")).select("_q")
+    each = chunks.withColumn("_u", unit(F.col(vector))).crossJoin(F.broadcast(held) if blocks == 1 else held).withColumn("_q", F.explode("_q"))
+    return each.withColumn("query_id", F.col("_q.q")).withColumn("score", dot(F.col("_u"), F.col("_q.v"))).drop("_q", "_u")
+
+
+def retrieve_sum(chunks: DataFrame, queries: DataFrame, group: str, chunk: str, vector: str, query_vector: str, k: int) -> DataFrame:
+    """The k chunks of each group with the largest summed similarity to all queries: that to the sum of the queries' unit vectors."""
+    parts = queries.select(F.posexplode(unit(F.col(query_vector))).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    whole = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])).scalar()
+    sums = chunks.withColumn("_w", whole).select(group, chunk, dot(unit(F.col(vector)), F.col("_w")).alias("score"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), chunk))
     return sums.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def keyword_score(weights: DataFrame, query: DataFrame, id_col: str) -> DataFrame:
-    """Cosine of documents and one query from their unit term weights (term, weight)."""
-    q = query.select("term", F.col("weight").alias("_q"))
-    return weights.join(q, "term").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("_q")).alias("keyword"))
+def keyword_score(weights: DataFrame, queries: DataFrame, id_col: str, k: int = 10) -> DataFrame:
+    """The k documents with the largest cosine to each query, from unit term weights (term, weight); queries have query_id."""
+    q = queries.select("query_id", "term", F.col("weight").alias("_q"))
+    scores = weights.join(q, "term").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("weight") * F.col("_q")), 9).alias("keyword"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("keyword"), id_col))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def hybrid_search(semantic: DataFrame, keyword: DataFrame, keys: list[str], alpha: float = 0.7, top: int = 10) -> DataFrame:
