@@ -23,7 +23,7 @@ import base64
 import hashlib
 import heapq
 import re
-import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +35,7 @@ from .common import WHITE_SPACE, arrow_map
 
 LEAF_CHARS, LEAF_IDS, LEAF_BYTES = 1024, 512, 6
 #: Units (of KEPT_CHARS at most), nodes (of KEPT_BYTES) and pairs whose ids a Python worker keeps; beyond that it starts afresh.
-CACHED_UNITS, CACHED_NODES, KEPT_CHARS, KEPT_BYTES = 400_000, 200_000, 64, 16
+CACHED_UNITS, CACHED_NODES, KEPT_CHARS, KEPT_BYTES = 400_000, 150_000, 64, 10
 #: A leaf without these is cut at its single spaces.
 _ODD = re.compile(r"[ ]\s|[\x1c-\x1f]|\A\s|\s\Z")
 _UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -140,10 +140,11 @@ class TreeCodec:
 
     def unit(self, text: str) -> bytes:
         """Ids of a unit, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for match in self.matches.findall(text):
-            ids += self.vocabulary.match(match.encode())
-        code = struct.pack(f"<{len(ids)}I", *ids)
+        if text.removeprefix(" ").isalpha():  # letters are one match
+            ids = self.vocabulary.match(text.encode())
+        else:
+            ids = [i for match in self.matches.findall(text) for i in self.vocabulary.match(match.encode())]
+        code = array("I", ids).tobytes()
         if len(text) <= KEPT_CHARS:
             if len(self.known) >= CACHED_UNITS:
                 self.known.clear()

@@ -74,6 +74,13 @@ def pieces_of(part: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iter
         start = end
 
 
+def slices_of(part: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes, so that the Python objects made of one stay few."""
+    step = max(1, part.num_rows * limit // max(part.nbytes, 1))
+    for start in range(0, part.num_rows, step):
+        yield part.slice(start, step)
+
+
 def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """mapInArrow with one function from columns to columns.
 
@@ -88,8 +95,8 @@ def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            if batch.num_rows:
-                out = apply({name: batch.column(name).to_pylist() for name in batch.schema.names})
+            for part in slices_of(batch):
+                out = apply({name: part.column(name).to_pylist() for name in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, slices_of
 from .words import Runs, mixed
 
 #: (k, s) for texts, for short texts and for those too short even for these; the lengths from and below which each is used.
@@ -204,7 +204,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             out: list[tuple] = []
             for to, guard, key, text in zip(*(part.column(c).to_pylist() for c in ("part", "guard", "id", "text"))):
                 if guard and last is not None and last[1]:

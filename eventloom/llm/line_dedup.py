@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ASCII_SPACE, materialized
+from .common import ASCII_SPACE, materialized, slices_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("h1", "h2")
@@ -164,7 +164,7 @@ def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: in
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices_of(whole)):
             texts, sizes, dropped = [], [], []
             for text, drop in zip(part.column("text").to_pylist(), part.column("drop").to_pylist()):
                 lines = (text or "").split("\n")

@@ -11,21 +11,22 @@ each piece's bin and offset from the plan.
 
 from __future__ import annotations
 
-import os
-import struct
+import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .byte_bpe import _ODD, _UNIT, CACHED_UNITS, KEPT_CHARS
+from .byte_bpe import _ODD, _UNIT, KEPT_CHARS
 from .common import arrow_map, materialized, shuffle_width
+from .token_counts import byte_symbols
 
-#: Documents whose new units are encoded at once.
-DOCUMENTS = 100
+#: Units that a worker keeps (of KEPT_CHARS at most); marks that end a word.
+CACHED_UNITS, MARKS = 250_000, ".,;:!?"
 
 
 class CapacityTree:
@@ -103,40 +104,60 @@ def units_of(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+def halves(unit: str) -> tuple[str, str] | None:
+    """A word and the mark behind it, which are matches of their own."""
+    return (unit[:-1], unit[-1]) if unit[-1] in MARKS and unit[:-1].removeprefix(" ").isalpha() else None
+
+
+def byte_ranks(vocabulary: bytes) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks by bytes, and special tokens, of a tokenizers file whose byte-level ids are in the order of its merges."""
+    spec = json.loads(vocabulary)
+    vocab = spec["model"]["vocab"]
+    byte_of = {s: b for b, s in enumerate(byte_symbols())}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError("the ids of this vocabulary are not in the order of its merges")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items() if token not in special}, special
+
+
 class UnitEncoder:
-    """Token ids of whole texts by the tokenizers library, which encodes each unit of a text when it is first met.
+    """Token ids of whole texts; each unit of a text is encoded when it is first met.
 
     Units are cut where the split pattern always starts a new match (between a
     non-space and a space), so their ids do not depend on their surroundings.
     """
 
-    def __init__(self, vocabulary: bytes):
-        self.library = Tokenizer.from_str(vocabulary.decode())
+    def __init__(self, vocabulary: bytes, pattern: str):
+        ranks, special = byte_ranks(vocabulary)
+        self.library = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known, parts = self.known, [units_of(t) for t in texts]
-        if len(known) >= CACHED_UNITS:
-            known.clear()
-        new = list({u: None for units in parts for u in units if u not in known})
-        for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[unit] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        out = [b"".join([known[u] for u in units]) for units in parts]
-        for unit in new:
-            if len(unit) > KEPT_CHARS:
-                del known[unit]
-        return out
+    def unit(self, text: str) -> bytes:
+        if both := halves(text):
+            code = self.known.get(both[0]) or self.unit(both[0])
+            code += self.known.get(both[1]) or self.unit(both[1])
+        else:
+            code = array("I", self.library.encode(text, allowed_special="all")).tobytes()
+        if len(text) <= KEPT_CHARS:
+            if len(self.known) >= CACHED_UNITS:
+                self.known.clear()
+            self.known[text] = code
+        return code
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        get, unit = self.known.get, self.unit
+        return b"".join([get(u) or unit(u) for u in units_of(text)])
 
 
 @lru_cache(maxsize=4)
-def shared_encoder(vocabulary: bytes) -> UnitEncoder:
+def shared_encoder(vocabulary: bytes, pattern: str) -> UnitEncoder:
     """One encoder for each Python worker, so that later tasks start with its known units."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return UnitEncoder(vocabulary)
+    return UnitEncoder(vocabulary, pattern)
 
 
-def token_pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: bytes, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece of each document's ids (``end_id`` last): doc_id, piece, start, length, ids, ids_crc32.
 
     Only documents longer than the capacity are cut; of those the first piece
@@ -146,14 +167,12 @@ def token_pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = shared_encoder(held.value)
+        encoder = shared_encoder(held.value, pattern)
 
         def apply(batch: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-            texts = [t or "" for t in batch["text"]]
-            codes = (code for i in range(0, len(texts), DOCUMENTS) for code in encoder.encode(texts[i : i + DOCUMENTS]))
-            for key, code in zip(batch["id"], codes):
-                code += end
+            for key, text in zip(batch["id"], batch["text"]):
+                code = encoder.encode(text or "") + end
                 n = len(code) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -167,7 +186,7 @@ def token_pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int
     return arrow_map(rows, f"id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long", make)
 
 
-def packed(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary: bytes, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     One row per piece: id, piece (from 0), start (its document's ids before
@@ -182,7 +201,7 @@ def packed(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int = 0, i
     as many buckets as the shuffle is wide.
     """
     spark, width = docs.sparkSession, shuffle_width(docs)
-    pieces = materialized(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(width)).cast("int")))
+    pieces = materialized(token_pieces(docs, vocabulary, pattern, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(width)).cast("int")))
     counted = materialized(pieces.groupBy("length", "bucket").count())
     plan = best_fit_plan({r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

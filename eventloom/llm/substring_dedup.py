@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialized, shuffle_width
+from .common import materialized, shuffle_width, slices_of
 from .words import MULTIPLIER, Runs, mixed, split_words, word_hashes
 
 #: Words of an anchor; documents of an anchor in one group, about; words of the groups that a task holds at a time, about.
 ANCHOR_WORDS = 8
 GROUP_DOCUMENTS = 5_000
 HELD_WORDS = 200_000
+SLICE_BYTES = 4_000_000
 _PLACE = np.uint64(30)  # bits for a place in a document
 
 
@@ -61,7 +62,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, id, mark): the anchors of each document's windows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             found, ids, marks = [], [], []
             for key, mark, text in zip(*(part.column(c).to_pylist() for c in ("id", "mark", "text"))):
                 words = split_words(text)
@@ -86,11 +87,16 @@ def suffix_slices(docs: DataFrame, window: int) -> DataFrame:
     ``salts`` groups.
     """
 
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["anchor", "salt", "salts", "id", "mark", "pos", "words"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows: list[tuple] = []
             lists = part.column("anchors")
             bounds, flat = lists.offsets.to_numpy(), lists.values
+            made = 0
             hashes, sizes = (flat.field(x).to_numpy() for x in ("anchor", "docs"))
             columns = (part.column(c) for c in ("id", "mark", "text", "copy"))
             for i, (key, mark, text, copy) in enumerate(zip(*columns)):
@@ -109,9 +115,12 @@ def suffix_slices(docs: DataFrame, window: int) -> DataFrame:
                 for a, b in zip(opens, [*opens[1:], len(pos)]):
                     first, salts = int(pos[a]), int(-(-freq[at[pos[a]]] // GROUP_DOCUMENTS))
                     rows.append((int(wanted[first]), (key * MULTIPLIER >> 20) % salts, salts, key, mark, first, b" ".join(words[first : int(pos[b - 1]) + window])))
+                    made += len(rows[-1][-1])
+                if made > SLICE_BYTES:
+                    yield written(rows)
+                    rows, made = [], 0
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["anchor", "salt", "salts", "id", "mark", "pos", "words"])
+                yield written(rows)
 
     return docs.mapInArrow(run, "anchor long, salt int, salts int, id long, mark int, pos int, words binary")
 
@@ -272,7 +281,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             out: list[list] = [[] for _ in range(4)]
             for text, froms, tos, copy in zip(*(part.column(c).to_pylist() for c in ("text", "froms", "tos", "copy"))):
                 words = split_words(text)

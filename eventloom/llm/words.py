@@ -9,7 +9,7 @@ _U = np.uint64
 #: An odd multiplier and the steps of the splitmix64 finalizer.
 MULTIPLIER = 0x9E3779B97F4A7C15
 MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
-CACHED_WORDS = 150_000
+CACHED_WORDS = 80_000
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from eventloom.llm import byte_bpe
 from eventloom.llm.byte_bpe import ByteRanks, TreeCodec, decoded, encoded, round_trip
-from eventloom.llm.packing import best_fit_plan, packed
+from eventloom.llm.packing import UnitEncoder, best_fit_plan, packed
 from eventloom.llm.token_counts import token_counts
 
 RANKS = Path(P.path("byte_bpe_50k.tiktoken")).read_bytes()
@@ -112,7 +112,7 @@ def test_plan_is_best_fit_decreasing():
 def test_packing(docs, rows):
     tok = Tokenizer.from_str(BYTES.decode())
     ids = [(k, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for k, t in rows]
-    out = packed(docs, BYTES, 256).collect()
+    out = packed(docs, BYTES, P.PATTERN, 256).collect()
     by_crc = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
     want = Counter()
     for key, x in ids:
@@ -132,7 +132,16 @@ def test_packing(docs, rows):
     assert len(bins) <= 1.02 * -(-sum(len(x) for _, x in ids) // 256) + 1
 
 
+def test_units_equal_tokenizers():
+    tok, encoder, rng = Tokenizer.from_str(BYTES.decode()), UnitEncoder(BYTES, P.PATTERN), random.Random(3)
+    for alphabet in ("ab. ", "a,b!? \n", "é1'.s t", "<|endoftext|> x.", "日本. ,", "Zz;:a ", "\x1c .a\x85"):
+        for n in (1, 2, 7, 60, 500):
+            for _ in range(8):
+                text = "".join(rng.choice(alphabet) for _ in range(n))
+                assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_empty_tables(no_docs):
     assert round_trip(no_docs, RANKS, P.PATTERN).count() == 0
     assert token_counts(no_docs, WORDS, 10).count() == 0
-    assert packed(no_docs, BYTES, 256).count() == 0
+    assert packed(no_docs, BYTES, P.PATTERN, 256).count() == 0

@@ -7,7 +7,7 @@ from eventloom.functions import responses, text
 from eventloom.operators import features, metrics, models, ranking, retrieval
 from eventloom.plans import market, registry, study_queries  # noqa: F401
 from eventloom.sources import tables
-from eventloom.streaming.labels import labelled
+from eventloom.streaming.labels import labelled, session_counts
 
 
 def one(df):
@@ -220,3 +220,15 @@ def test_answers_of_all_tasks(spark):
     assert len(got[1]) == 25 and got[1]["business_impact"] == "unclear" and got[1]["event_type"] == "continuous"
     assert got[2]["uncertainty_level"] == "high" and got[2]["event_type"] == "error" and got[2]["salience_score"] == 0.5
     assert (got[3]["salience_score"], got[3]["uncertainty_level"], got[3]["time_horizon"], got[3]["tone_score"]) == (0.9, "low", "short_term", None)
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 3, h),) for h in (5, 10, 11, 17)] + [(dt.datetime(2024, 1, 4, 10),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = session_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("counted_events").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(str(r["window"]["start"])[:10], r["session"], r["count"]) for r in spark.table("counted_events").collect()}
+    assert got == {("2024-01-03", "pre_market", 1), ("2024-01-03", "market_hours", 2), ("2024-01-03", "after_hours", 1), ("2024-01-04", "market_hours", 1)}
