@@ -21,7 +21,8 @@ def value_counts(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     """Counts and shares of non-null values, overall or in each group."""
     by = by or []
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
+    totals = counts.groupBy(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g")).agg(F.sum("n").alias("_t"))
+    return counts.withColumn("_g", F.struct(*by) if by else F.lit(0)).join(totals, "_g").withColumn("share", F.col("n") / F.col("_t")).drop("_g", "_t")
 
 
 def return_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -235,8 +236,9 @@ def lift_vs_baseline(df: DataFrame, name: str, metric: str, baseline: str, kind:
 def importance_by_group(df: DataFrame, group: str, name: str, coefficient: str, k: int) -> DataFrame:
     """The k largest coefficients by absolute value in each group, and the group's mean."""
     size = F.abs(coefficient)
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(size.desc(), name))).withColumn("mean_abs", F.avg(size).over(Window.partitionBy(group)))
-    return ranked.filter(F.col("rank") <= k)
+    means = df.groupBy(F.struct(group).alias("_g")).agg(F.avg(size).alias("mean_abs"))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(size.desc(), name))).filter(F.col("rank") <= k)  # Spark cuts each partition to k first
+    return ranked.withColumn("_g", F.struct(group)).join(means, "_g").drop("_g")
 
 
 def chunk_stats(chunks: DataFrame, key: str, text: str) -> DataFrame:

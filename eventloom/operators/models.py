@@ -68,14 +68,20 @@ def mlp(inputs: int, classes: int = 2, hidden: tuple[int, ...] = (256, 128), **k
     return MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], seed=42, **kw)
 
 
-def fit_per_group(train: DataFrame, test: DataFrame, group: str, values: Iterable, make: Callable[[int], Estimator], least_train: int = 50, least_test: int = 10) -> dict[str, DataFrame]:
-    """Predictions of a model of each listed group that has enough rows on both sides. The list is short (top_groups)."""
-    sizes = lambda df: {r[group]: r["count"] for r in df.filter(F.col(group).isin(list(values))).groupBy(group).count().collect()}
+def adaptive_features(n: int) -> dict[str, int]:
+    """Vocabulary and least document frequency for a group of n training rows."""
+    return {"vocabulary": max(1, min(2000, n // 2)), "min_df": max(2, min(5, n // 100))}
+
+
+def fit_per_group(train: DataFrame, test: DataFrame, group: str, values: Iterable, make: Callable[[int], Estimator], least_train: int = 50, least_test: int = 10, label: str | None = None) -> dict[str, DataFrame]:
+    """Predictions of a model of each listed group that has enough rows on both sides and, with ``label``, both classes in the test rows. The list is short (top_groups)."""
+    kinds = F.countDistinct(label) if label else F.lit(2)
+    sizes = lambda df: {r[group]: (r["n"], r["kinds"]) for r in df.filter(F.col(group).isin(list(values))).groupBy(group).agg(F.count("*").alias("n"), kinds.alias("kinds")).collect()}
     a, b = sizes(train), sizes(test)
     out = {}
     for v in values:
-        if a.get(v, 0) >= least_train and b.get(v, 0) >= least_test:
-            out[v] = make(a[v]).fit(train.filter(F.col(group) == v)).transform(test.filter(F.col(group) == v))
+        if a.get(v, (0, 0))[0] >= least_train and b.get(v, (0, 0))[0] >= least_test and b[v][1] > 1:
+            out[v] = make(a[v][0]).fit(train.filter(F.col(group) == v)).transform(test.filter(F.col(group) == v))
     return out
 
 

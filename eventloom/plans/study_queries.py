@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -642,7 +643,7 @@ def nearest_chunks(t: Inputs) -> DataFrame:
 
 
 def _labelled(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.join(t.labels, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("size", F.log1p(F.col("n_chars")))
+    docs = t.documents.join(t.labels, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("size", F.log1p(F.col("n_chars"))).withColumn("toxic", F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)))
     side = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     return docs.filter(~side).cache(), docs.filter(side)
 
@@ -654,7 +655,7 @@ def text_model_grid(t: Inputs) -> DataFrame:
     n, judge = train.count(), MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     words = models.text_stages("text", 500, 2)
     base = Pipeline(stages=words).fit(train)
-    runs = {f"{name} C={c}": [s, models.logreg(n, c, labelCol="y")] for name, s in models.feature_sets(["size"], []).items() for c in (0.1, 0.3, 1.0)}
+    runs = {f"{name} C={c}": [s, models.logreg(n, c, labelCol="y")] for name, s in models.feature_sets(["size"], ["toxic"]).items() for c in (0.1, 0.3, 1.0)}
     results = models.run_experiments(base.transform(train), base.transform(test), {name: Pipeline(stages=stages) for name, stages in runs.items()}, judge.evaluate)
     best = models.grid_search(results, 0.15).first()
     if best is None:
@@ -689,11 +690,23 @@ def group_models(t: Inputs) -> DataFrame:
     rows = t.embeddings.withColumn("y", (F.col("label") % 2).cast("double")).withColumn("size", F.col("embedding")[0].cast("double"))
     ready = models.embed_features(rows, "embedding", ["size"]).withColumn("part", F.col("vec_id") % 2)
     train, test = ready.filter(F.pmod(F.xxhash64("vec_id"), F.lit(4)) > 0).cache(), ready.filter(F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0)
-    fitted = models.fit_per_group(train, test, "part", [0, 1], lambda n: models.mlp(65, 2, labelCol="y"))
+    fitted = models.fit_per_group(train, test, "part", [0, 1], lambda n: models.mlp(65, 2, labelCol="y"), label="y")
     out = [df.groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")) for df in fitted.values()]
     return out[0].unionByName(out[1])
 
 
+@query()
+def group_text_models(t: Inputs) -> DataFrame:
+    """H13 with features that follow a group's size: a classifier of texts for each language with enough labelled documents."""
+    train, test = _labelled(t)
+    groups = [r["lang"] for r in ranking.top_groups(train, "lang", 20).collect()]
+    make = lambda n: Pipeline(stages=[*models.text_stages("text", **models.adaptive_features(n)), models.feature_sets([], [])["text"], models.logreg(n, 1.0, labelCol="y")])
+    fitted = models.fit_per_group(train, test, "lang", groups, make, 20, 5, "y")
+    rows = [df.groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")) for df in fitted.values()]
+    empty = t.spark.createDataFrame([], "lang string, n long, accuracy double")
+    return reduce(DataFrame.unionByName, rows, empty)
+
+
 # sources and sinks, through files in a folder that lasts as long as the session's scratch space
 
 
