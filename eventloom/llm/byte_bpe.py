@@ -41,6 +41,15 @@ _ODD = re.compile(r"[ ]\s|[\x1c-\x1f]|\A\s|\s\Z")
 _UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 
+#: Marks that end a word.
+MARKS = ".,;:!?"
+
+
+def halves(unit: str) -> tuple[str, str] | None:
+    """A word and the mark behind it, which are matches of their own."""
+    return (unit[:-1], unit[-1]) if unit[-1] in MARKS and unit[:-1].removeprefix(" ").isalpha() else None
+
+
 class ByteRanks:
     """A vocabulary of ranks, and the encoding of single matches under it."""
 
@@ -140,11 +149,12 @@ class TreeCodec:
 
     def unit(self, text: str) -> bytes:
         """Ids of a unit, as little-endian unsigned 32-bit integers."""
-        if text.removeprefix(" ").isalpha():  # letters are one match
-            ids = self.vocabulary.match(text.encode())
+        if both := halves(text):
+            code = b"".join([self.known.get(x) or self.unit(x) for x in both])
+        elif text.removeprefix(" ").isalpha():  # letters are one match
+            code = array("I", self.vocabulary.match(text.encode())).tobytes()
         else:
-            ids = [i for match in self.matches.findall(text) for i in self.vocabulary.match(match.encode())]
-        code = array("I", ids).tobytes()
+            code = array("I", [i for match in self.matches.findall(text) for i in self.vocabulary.match(match.encode())]).tobytes()
         if len(text) <= KEPT_CHARS:
             if len(self.known) >= CACHED_UNITS:
                 self.known.clear()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialized, pieces_of, shuffle_width, stored
+from .common import discard, materialized, pieces_of, shuffle_width, slices_of, stored
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
@@ -285,7 +285,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, nu
     probed = pairs.join(side("a"), "a").filter(F.col("na") > 0).join(side("b"), "b")
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             columns = [part.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")]
             keep = pa.array([may_link(*x, num, den) for x in zip(*columns)], pa.bool_())
             yield part.select(["a", "b"]).filter(keep)
@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, nu
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             out = []
             for a, b, one, other in zip(*(part.column(c).to_pylist() for c in ("a", "b", "texta", "textb"))):
                 if kept[0] != one:
@@ -354,7 +354,7 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
     probed = found.join(side("id"), "id").join(F.broadcast(pivots) if few else pivots, "p").select(*keys, "nid", "np", "bitsid", "bitsp")
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             columns = [part.column(c).to_pylist() for c in ("bitsid", "bitsp", "nid", "np")]
             near = pa.array([is_near(parity_distance(a, b), n, m, num, den) for a, b, n, m in zip(*columns)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], near], [*keys, "near"])
@@ -369,7 +369,7 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices_of(batch)):
             rows = []
             for *row, own, other in zip(*(part.column(c).to_pylist() for c in (*keys, "textid", "textp"))):
                 if kept[0] != other:

@@ -21,12 +21,12 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import _ODD, _UNIT, KEPT_CHARS
+from .byte_bpe import _ODD, _UNIT, KEPT_CHARS, halves
 from .common import arrow_map, materialized, shuffle_width
 from .token_counts import byte_symbols
 
-#: Units that a worker keeps (of KEPT_CHARS at most); marks that end a word.
-CACHED_UNITS, MARKS = 250_000, ".,;:!?"
+#: Units that a worker keeps (of KEPT_CHARS at most).
+CACHED_UNITS = 250_000
 
 
 class CapacityTree:
@@ -104,11 +104,6 @@ def units_of(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def halves(unit: str) -> tuple[str, str] | None:
-    """A word and the mark behind it, which are matches of their own."""
-    return (unit[:-1], unit[-1]) if unit[-1] in MARKS and unit[:-1].removeprefix(" ").isalpha() else None
-
-
 def byte_ranks(vocabulary: bytes) -> tuple[dict[bytes, int], dict[str, int]]:
     """Ranks by bytes, and special tokens, of a tokenizers file whose byte-level ids are in the order of its merges."""
     spec = json.loads(vocabulary)
