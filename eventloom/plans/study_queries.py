@@ -659,9 +659,11 @@ def text_model_grid(t: Inputs) -> DataFrame:
     results = models.run_experiments(base.transform(train), base.transform(test), {name: Pipeline(stages=stages) for name, stages in runs.items()}, judge.evaluate)
     best = models.grid_search(results, 0.15).first()
     if best is None:
+        train.unpersist()
         return results
     loaded = models.save_pipeline([*words, *runs[best["model"]]], train, _folder(t) + "-model")
     a, b = (float(judge.evaluate(loaded.transform(x))) for x in (train, test))
+    train.unpersist()
     return t.spark.createDataFrame([(best["model"], a, b, a - b)], results.schema).unionByName(results)
 
 
@@ -672,7 +674,9 @@ def tree_models(t: Inputs) -> DataFrame:
     train, test = rows.filter("date < DATE '2000-01-01'").cache(), rows.filter("date >= DATE '2000-01-01'")
     n, judge = train.count(), RegressionEvaluator(labelCol="y", predictionCol="predicted", metricName="mae")
     fits = {"ridge": models.linear("ridge", 1.0, n, labelCol="y"), "lasso": models.linear("lasso", 0.01, n, labelCol="y"), "elastic": models.linear("elastic", 0.01, n, labelCol="y"), "forest": models.forest("strong", True, labelCol="y"), "boosted": models.boosted(labelCol="y")}
-    return models.run_experiments(train, test, fits, judge.evaluate, models.score)
+    out = models.run_experiments(train, test, fits, judge.evaluate, models.score)
+    train.unpersist()
+    return out
 
 
 @query()
