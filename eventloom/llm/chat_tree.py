@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import shared_codec
-from .common import materialized, shuffle_width, stored
+from .common import materialized, shuffle_width, small_batches, stored
 
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -62,7 +62,7 @@ def chained_turns(conversations: DataFrame, rank_file: bytes, pattern: str, loss
     The rows of a conversation are met one after another in sorted order; only
     the last key is held.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(conversations).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition(shuffle_width(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     names = ["conv_id", "k", "node", "ids", "n", "loss_from", "loss_to"]
     held = conversations.sparkSession.sparkContext.broadcast(rank_file)

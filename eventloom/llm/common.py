@@ -62,6 +62,18 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch between the JVM and Python; with texts, Spark's 10,000 are tens of megabytes, held four times over.
+ARROW_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session sends Python at most ARROW_ROWS rows at a time, or fewer if it is set so."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def pieces_of(part: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about ``limit`` bytes, so that what is made of them stays small."""
     sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy()
@@ -99,5 +111,5 @@ def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
                 out = apply({name: part.column(name).to_pylist() for name in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return small_batches(df).mapInArrow(run, kind)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ASCII_SPACE, materialized, slices_of
+from .common import ASCII_SPACE, materialized, slices_of, small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("h1", "h2")
@@ -176,7 +176,7 @@ def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: in
                 texts.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(run, schema)
 
 
 def without_shared_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

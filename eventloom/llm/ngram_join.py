@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialized, pieces_of, shuffle_width, slices_of, stored
+from .common import discard, materialized, pieces_of, shuffle_width, slices_of, small_batches, stored
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
@@ -487,7 +487,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     scheme, width = PartEnum(percent, 100), shuffle_width(docs)
     marks = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text", F.length("text")).alias("b")]
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", "text", *marks)
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", "text", *marks)
     known = texts.filter(F.col("id").isNotNull())
     # of equal texts the first alone goes on
     worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -26,7 +26,7 @@ from .common import arrow_map, materialized, shuffle_width
 from .token_counts import byte_symbols
 
 #: Units that a worker keeps (of KEPT_CHARS at most).
-CACHED_UNITS = 250_000
+CACHED_UNITS = 150_000
 
 
 class CapacityTree:
