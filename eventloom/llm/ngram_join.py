@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialized, pieces_of, shuffle_width, slices_of, small_batches, stored
+from .common import discard, materialized, pieces_of, release, shuffle_width, slices_of, small_batches, stored
 from .words import MULTIPLIER, Runs, mixed, word_hashes
 
 _U = np.uint64
@@ -386,7 +386,9 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
 
     compared = full.mapInArrow(compare, _DIFFERENCES)
     unlike = told.filter("NOT near").drop("near").select(*keys, *[F.lit(None).cast("long").alias(c) for c in names[4:8]], F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(False).alias("inner"), *[F.lit(None).cast("array<bigint>").alias(c) for c in names[11:]])
-    return stored(compared.union(unlike))
+    out = stored(compared.union(unlike))
+    discard(told)
+    return out
 
 
 def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
@@ -496,7 +498,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     gone = text_copies.select("id", "a", "b").distinct()
     own = texts.join(F.broadcast(gone) if text_copies.count() <= BROADCAST_IDS else gone, ["id", "a", "b"], "left_anti")
     first_pass = stored(sharing(emitted(own, words, scheme, BUCKETS * width), width))
-    facts = first_pass.filter("code IS NULL").drop("code")
+    facts = stored(first_pass.filter("code IS NULL").drop("code"))
     equal = materialized(facts.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     copies = materialized(facts.join(equal, ["n", "h1", "h2"]).select("id", "first").distinct())
     of_first = copies.groupBy("id").agg(F.min("first").alias("first"))
@@ -510,12 +512,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = first_pass.filter("code IS NOT NULL").select("code", "id").join(of_first, "id", "left").select("code", node("id").alias("id")).distinct()
     firsts = shared.groupBy("code").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
     shared = stored(shared.join(firsts, "code"))
+    discard(first_pass)
+    del firsts
+    release(docs.sparkSession)
     starred = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
     links = verified(starred, facts, known, words, percent, 100).union(doubled)
     label = components(links)
+    release(docs.sparkSession)
 
     told = differences(incidences(shared.drop("a"), label), facts, known, words, percent, 100)
     discard(shared)
+    release(docs.sparkSession)
     more = told.filter("inner").select("p", "id").union(verified(pairs_of_families(told, percent, 100), facts, known, words, percent, 100)).union(verified(pairs_of_strangers(told, known, words, percent, 100), facts, known, words, percent, 100))
     more = materialized(more)
     if more.limit(1).count():
