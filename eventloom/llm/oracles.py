@@ -57,3 +57,47 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'a
 CAST(sum(length('<|im_start|>') + length(replace({_ESCAPED.format('role')}, chr(10), '\n')) + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
 FROM t GROUP BY 1
 """
+
+
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, one after the other."""
+    far = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': CAST({far} AS BIGINT), 'c': c.c}}) AS m FROM kept x, c{i} c GROUP BY 1)")
+        if i < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            steps.append(f"s{i} AS (SELECT m.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i} JOIN kept USING (r), range(1, 65) t(i) GROUP BY 1, 2)")
+            steps.append(f"m{i} AS (SELECT c, list(CAST({mean} AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY 1)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))")
+    return f"""
+WITH kept AS MATERIALIZED (
+SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM kept QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = m.c
+"""
+
+
+OP11 = _op11()
+
+_CRC_STEP = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END"
+
+OP12 = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda a, b: {_CRC_STEP}, i)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+bytes AS (SELECT *, hex(encode(id || ':' || run)) AS x FROM counted),
+hashed AS (SELECT run, times, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY 1 HAVING sum(times) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS part FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b USING (i, part) WHERE a.word <> b.word UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON b.word = a.part UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON b.word = a.part),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY 1),
+told AS MATERIALIZED (SELECT word, CASE WHEN most >= 5 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS spot FROM told UNION ALL SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.spot WHERE told.form IS NOT NULL),
+roots AS (SELECT chain.word, spot AS root FROM chain JOIN told ON told.word = chain.spot WHERE told.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .byte_bpe import round_trip
 from .chat_tree import chat_tree, read_back
+from .clustering import centroid_clusters
 from .common import table
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
@@ -19,6 +20,8 @@ from .ngram_join import near_duplicates
 from .packing import packed
 from .quality_rules import quality_rules
 from .sharding import sharded
+from .simhash_join import simhash_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -75,9 +78,21 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(*chat_tree(given.unionByName(extra), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, length=64, scale=1024, salt="3")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_chars=6, least_count=5, ratio=5, drop_modulus=199)
+
+
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": oracles.OP2, "op7_quality_rules": oracles.OP7, "op8_substring_dedup": oracles.OP8, "op9_ngram_jaccard_join": oracles.OP9, "op10_chat_tree": oracles.OP10}
+    return {"op2_line_dedup": oracles.OP2, "op7_quality_rules": oracles.OP7, "op8_substring_dedup": oracles.OP8, "op9_ngram_jaccard_join": oracles.OP9, "op10_chat_tree": oracles.OP10, "op11_centroid_clusters": oracles.OP11, "op12_spelling_variants": oracles.OP12}
