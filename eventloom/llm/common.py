@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="eventloom-"))
     return sc.getCheckpointDir()
@@ -65,6 +65,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a lookup table that may be broadcast (some dozen bytes each); what has more is shuffled, but for its hot keys.
+BROADCAST_ROWS = 500_000
+#: A key is hot with over a ten-thousandth of all rows (and so many at least): there are 10,000 of them at most.
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table of one row per key, whose column ``n`` counts the key's rows and is dropped.
+
+    A table counted to be small is broadcast. Otherwise its hot keys are, and
+    only rows of other keys are shuffled, so that no task gathers a hot key.
+    """
+    told = facts.drop(n)
+    size, total = facts.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(told), key)
+    hot = facts.filter(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(told, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ASCII_SPACE, materialized, slices_of, small_batches
+from .common import ASCII_SPACE, BROADCAST_ROWS, materialized, slices_of, small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("h1", "h2")
@@ -109,29 +109,6 @@ def batches(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
     return [docs.filter(x) for x in spans]
 
 
-def shared_lines(self) -> DataFrame:
-        """(h1, h2) of all lines in at least ``min_docs`` documents of all batches."""
-        left = [(level, run) for level, runs in enumerate(self.levels) for run in runs]
-        found = list(self.sealed)
-        if len(left) > 1:
-            whole = reduce(DataFrame.unionAll, [run for _, run in left]).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
-            found.append(whole.filter(F.col("docs") >= self.min_docs).select(*KEY))
-        elif left and left[0][0] == 0:  # a run that a compaction made has no line over the limit
-            found.append(left[0][1].filter(F.col("docs") >= self.min_docs).select(*KEY))
-        return materialized(reduce(DataFrame.unionAll, found).sortWithinPartitions(*KEY))
-
-
-def batches(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
-    """Cut the documents into ranges of ids, which a sorted table's scan prunes by; together they are all rows."""
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    if n < 2 or low is None or not isinstance(low, int):
-        return [docs]
-    cuts = [low + (high - low + 1) * i // n for i in range(1, n)]
-    at = F.col(id_col)
-    spans = [(at < cuts[0]) | at.isNull(), *[(at >= a) & (at < b) for a, b in zip(cuts, cuts[1:])], at >= cuts[-1]]
-    return [docs.filter(x) for x in spans]
-
-
 def shared_lines(batched: Iterable[DataFrame], spark: SparkSession, min_docs: int, min_chars: int = 1, text_col: str = "text", fanout: int = FANOUT) -> DataFrame:
     runs = LineRuns(spark, min_docs, min_chars, fanout)
     for batch in batched:
@@ -151,14 +128,17 @@ def line_dedup(docs: DataFrame, min_docs: int, min_chars: int = 1, n_batches: in
     ``row``, their names can't clash.
 
     Counts are pre-aggregated before each shuffle, so a line that most documents
-    hold is one row per task. Only hashes travel to the counting and to the
-    verdicts; the text moves once, to meet the positions that it loses.
+    hold is one row per task. The lines that are shared are broadcast where they
+    are counted to be few, so that a line of most documents is no hot key. Only
+    hashes travel to the counting, and to the verdicts where the shared lines
+    are many; the text moves once, to meet the positions that it loses.
     """
     shared = shared_lines(batches(docs, id_col, n_batches), docs.sparkSession, min_docs, min_chars, text_col)
+    few = shared.count() <= BROADCAST_ROWS  # lines that most documents hold then meet it where they are
     mark = F.xxhash64(F.col(text_col))  # what a text loses depends on the text alone, should rows share an id
-    lost = exploded(docs.withColumn(id_col, F.struct(F.col(id_col).alias("id"), mark.alias("mark"))), id_col, text_col, min_chars).join(shared, list(KEY), "left_semi")
+    lost = exploded(docs.withColumn(id_col, F.struct(F.col(id_col).alias("id"), mark.alias("mark"))), id_col, text_col, min_chars).join(F.broadcast(shared) if few else shared, list(KEY), "left_semi")
     drops = lost.groupBy("id").agg(F.collect_set("pos").alias("drop"))
-    rest = [F.col(c) for c in docs.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(*rest).alias("row"), F.struct(F.col(id_col).alias("id"), mark.alias("mark")).alias("id"), F.col(text_col).alias("text"))
     joined = whole.join(drops, "id", "left").select("row", "text", "drop")
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialized
+from .common import ASCII_SPACE, BROADCAST_ROWS, looked_up, materialized
 
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, text_col: str, min_words: int, max_repeat_percent:
 
 
 def host_verdicts(judged: DataFrame, max_host_rate: float) -> DataFrame:
-    """(host, host_rate, host_kept) from rows (host, base_failed).
+    """(host, n, host_rate, host_kept) from rows (host, base_failed).
 
     The prior's mean is the overall failure rate and its strength follows, by
     the method of moments, from how much more the hosts' rates vary than
@@ -88,7 +88,7 @@ def host_verdicts(judged: DataFrame, max_host_rate: float) -> DataFrame:
     surplus = F.greatest(F.col("var") - within * F.col("noise"), F.lit(1e-9))
     prior = moments.select(F.struct("mean", F.greatest(within / surplus - 1, F.lit(1.0)).alias("strength"))).scalar()
     rate = (F.col("bad") + F.col("prior.mean") * F.col("prior.strength")) / (F.col("n") + F.col("prior.strength"))
-    return hosts.withColumn("prior", prior).select("host", rate.alias("host_rate"), (rate <= max_host_rate).alias("host_kept"))
+    return hosts.withColumn("prior", prior).select("host", "n", rate.alias("host_rate"), (rate <= max_host_rate).alias("host_kept"))
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.75) -> DataFrame:
@@ -97,24 +97,26 @@ def quality_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_
     A null text has no words and fails; null hosts count as the host ''; null
     ids and repeated rows each give a row; an empty table gives no rows; other
     columns are not read. Documents are reduced to their measures before any
-    exchange, and hosts to two sums before the shuffle, so a host with a third
-    of all documents costs no more than another.
+    exchange, and hosts to two sums before the shuffle; verdicts come back by a
+    broadcast, of all hosts if they are few, else of those with very many
+    documents, so a host with a third of all documents costs no more than
+    another.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     judged = materialized(measured(rows, "text", min_words, max_repeat_percent).drop("text"))
-    verdicts = host_verdicts(judged, max_host_rate)
-    return judged.join(verdicts, "host").select(F.col("id").alias(id_col), "n_words", *BASE, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_rate")
+    verdicts = materialized(host_verdicts(judged, max_host_rate))
+    return looked_up(judged, verdicts, "host", "n").select(F.col("id").alias(id_col), "n_words", *BASE, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_rate")
 
 
 def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.75) -> DataFrame:
     """The rows of ``docs``, unchanged, that the rules and their hosts' verdicts keep.
 
     The documents are measured twice rather than stored; their rows meet the
-    hosts' verdicts in a join that Spark broadcasts if they are few and splits
-    where a host is hot.
+    condemned hosts by a broadcast where these are counted to be few.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     failed = fails(F.col(text_col), min_words, max_repeat_percent)
     bad = host_verdicts(docs.select(host.alias("host"), failed.alias("base_failed")), max_host_rate).filter(~F.col("host_kept"))
-    whole = docs.filter(~failed).select(F.struct(*docs.columns).alias("row"), host.alias("host"))
-    return whole.join(bad.select("host"), "host", "left_anti").select("row.*")
+    whole = docs.filter(~failed).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host.alias("host"))
+    gone = materialized(bad.select("host"))
+    return whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "host", "left_anti").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialized, pieces_of, small_batches, stored
+from .common import discard, looked_up, materialized, pieces_of, small_batches, stored
 from .ngram_join import components
 
 _U = np.uint64
@@ -37,8 +37,6 @@ GROUP_POINTS = 40_000
 BUCKET, TRIED, CELLS = 128, 8, 1 << 21
 #: A cut must leave at most so much of the comparisons.
 WORTH = 0.95
-#: Rows of a fingerprint from which on it is named by a broadcast: a ten-thousandth of all rows, so that it has 10,000 rows at most.
-HOT_SHARE, HOT_LEAST = 10_000, 1_000
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_BYTES = 1 << 20
 
@@ -230,8 +228,8 @@ def simhash_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: s
 
     Equal fingerprints are one node from the first shuffle on, which counts
     them in each task first. Shards have their size counted, and one that is
-    too large is compared by pairs of blocks; the fingerprints of very many
-    rows get their component by a broadcast of at most 10,000 rows.
+    too large is compared by pairs of blocks; rows with a fingerprint of very
+    many rows get their component by a broadcast, not by a shuffle.
     """
     own = stored(fingerprinted(docs, words, id_col, text_col))
     distinct = materialized(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
@@ -240,7 +238,5 @@ def simhash_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: s
     least = label.join(distinct, "fp").groupBy("component").agg(F.min("first").alias("least"))
     known = label.join(least, "component").select("fp", "least")
     named = materialized(distinct.join(known, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
-    hot = named.filter(F.col("n") > max(HOT_LEAST, own.count() // HOT_SHARE)).select("fp", "component_id")
-    rest = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.select("fp", "component_id"), "fp")
-    both = own.join(F.broadcast(hot), "fp").select("id", "fp", "component_id").unionAll(rest.select("id", "fp", "component_id"))
+    both = looked_up(own, named, "fp", "n")
     return both.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -273,7 +273,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     executors go anchors (one in about 22 words), slices of words around
     shared anchors, and the text once.
     """
-    own = small_batches(docs).select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
     dealt = own.repartition(shuffle_width(docs), "id", "mark")  # one exchange of the text for both joins
     found, copies = repeats(own, dealt, window)
     spans = found.groupBy("id", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("froms", "tos")])

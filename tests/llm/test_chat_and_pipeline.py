@@ -64,11 +64,11 @@ def test_no_conversations(spark):
     assert read_back(*chat_tree(spark.createDataFrame([], CONV), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
-CLASHING = ("_gone", "row", "key", "a", "b", "code", "id", "mark", "drop", "copy", "spans", "host", "bucket", "rank", "component")
+CLASHING = ("_gone", "row", "key", "a", "b", "code", "id", "mark", "drop", "copy", "spans", "host", "bucket", "rank", "component", "meta.url", "n", "text.row")
 
 
 def documents(spark, folder, rows):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
     spark.createDataFrame([(i, t, "en", s, len(t or ""), *CLASHING) for i, t, s in rows], schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
     return folder
 
@@ -132,7 +132,16 @@ def test_stages_keep_columns(spark, small):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns, name
-        assert {tuple(r) for r in out.select(*CLASHING).distinct().collect()} == {CLASHING}
+        assert {tuple(r) for r in out.select(*[f"`{c}`" for c in CLASHING]).distinct().collect()} == {CLASHING}
+
+
+def test_pipeline_keeps_no_stage(spark, small, monkeypatch):
+    folder, _ = small
+    kept = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, f=corpus_pipeline.stored: kept.append(f(df)) or kept[-1])
+    corpus_pipeline.run(spark, folder).count()
+    left = [len(list(Path(x.inputFiles()[0].removeprefix("file:")).parent.glob("*.parquet"))) for x in kept]
+    assert left[:-1] == [0] * 3 and left[-1] > 0
 
 
 def test_pipeline_of_nothing(spark, tmp_path):

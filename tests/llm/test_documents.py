@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import sharding
+import eventloom.llm.line_dedup as line_dedup_module
+from eventloom.llm import common, sharding
 from eventloom.llm import substring_dedup as sub
 from eventloom.llm.fingerprints import anchors, code_points, edited_anchors, fingerprints, hashes_in, in_order, likeness, scheme_of, syncmers, written
 from eventloom.llm.line_dedup import LineRuns, line_dedup, without_shared_lines
@@ -67,10 +68,19 @@ def test_later_batches_meet_sealed_lines(spark, monkeypatch):
     assert len(met) == 9 and met[3] == 1 and met[-1] == 1 and levels[-1] == 3
 
 
-def test_line_dedup_by_other_ids(docs, rows):
+def test_line_dedup_by_other_ids(docs, rows, monkeypatch):
+    held = []
+    monkeypatch.setattr(LineRuns, "add", lambda self, batch, text_col="text", f=LineRuns.add: held.append(batch.count()) or f(self, batch, text_col))
     named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     out = line_dedup(named, 10).select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
     assert Counter(map(tuple, out)) == Counter((None if i is None else str(i), len(a), len(a) - len(k), sha("\n".join(k))) for i, a, k in lines_left(rows, 10))
+    assert len(held) == 9 and min(held) > 0 and sum(held) == len(rows)
+
+
+def test_many_shared_lines_are_not_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup_module, "BROADCAST_ROWS", 0)
+    out = line_dedup(docs, 10).select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    assert Counter(map(tuple, out)) == Counter((i, len(a), len(a) - len(k), sha("\n".join(k))) for i, a, k in lines_left(rows, 10))
 
 
 def test_lines_keep_columns(docs):
@@ -104,7 +114,11 @@ def test_quality_rules(docs, rows):
     assert kept.count() == sum(k[7] * n for k, n in got.items())
 
 
-def test_bad_host_goes(spark):
+@pytest.mark.parametrize("many", [False, True])
+def test_bad_host_goes(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_LEAST", 30)
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "junk" if h == "bad" and i % 10 else good, h) for h in ("bad", "fine", "ok") for i in range(40)]
     out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from eventloom.llm import clustering, queries, simhash_join, spelling
+from eventloom.llm import clustering, common, queries, simhash_join, spelling
 from eventloom.llm.clustering import centroid_clusters, coefficients, components, nearest
 from eventloom.llm.simhash_join import Tree, fingerprint, linked_within, near_links, simhash_duplicates
 from eventloom.llm.spelling import near_words, spelling_variants
@@ -296,7 +296,8 @@ def test_links_over_shards(spark, monkeypatch, group):
 
 
 def test_fingerprints_of_very_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(simhash_join, "HOT_LEAST", 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
     rows = [(i, "the same few words in each of these") for i in range(60)] + [(100 + i, f"some other text number {i} of its own") for i in range(20)] + [(None, None), (3000, None), (50, "one")]
     out = simhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(map(tuple, out.collect())) == simhash_components(rows)
