@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,27 +73,49 @@ STRONG_WORDS = ["definitely", "clearly", "obviously", "strong", "significant"]
 WEAK_WORDS = ["might", "possibly", "perhaps", "may", "could", "uncertain"]
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unfenced(c: Column) -> Column:
     """JSON without a code fence around it."""
-    inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(c))
+    inner = lambda x: F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.trim(F.when(c.contains("```"), _once(inner(c), lambda x: F.when(x != "", x).otherwise(c))).otherwise(c))
+
+
+def _schema(tasks: list[str]) -> str:
+    """All fields of some tasks; lists are kept as their JSON text."""
+    kinds = {field: "string" if kind.startswith("array") else kind for t in tasks for field, kind, _, _ in TASKS[t].values()}
+    return ", ".join(f"{field} {kind}" for field, kind in kinds.items())
 
 
-def parse_response(c: Column, status: Column, task: str) -> dict[str, Column]:
-    """A task's typed columns, with defaults for missing fields and broken JSON, and others where the call failed."""
-    fields = TASKS[task]
-    schema = ", ".join(f"{field} {'string' if kind.startswith('array') else kind}" for field, kind, _, _ in fields.values())
-    parsed, failed = F.from_json(unfenced(c), schema), ~status.eqNullSafe("success")
-    out = {name: F.when(failed, F.lit(bad)).otherwise(F.coalesce(parsed[field], F.lit(default))) for name, (field, _, default, bad) in fields.items()}
+def _columns(parsed: Column, status: Column, task: str) -> dict[str, Column]:
+    failed = ~status.eqNullSafe("success")
+    out = {name: F.when(failed, F.lit(bad)).otherwise(F.coalesce(parsed[field], F.lit(default))) for name, (field, _, default, bad) in TASKS[task].items()}
     if task == "tone":
         out["tone_score"] = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), out["tone_score"]))
     return out
 
 
+def parse_response(c: Column, status: Column, task: str) -> Column:
+    """A task's typed fields as one struct, with defaults for missing fields and broken JSON, and others where the call failed."""
+    return _once(F.from_json(unfenced(c), _schema([task])), lambda p: F.struct(*[v.alias(k) for k, v in _columns(p, status, task).items()]))
+
+
 def assemble_features(responses: DataFrame, key: str, tasks: list[str]) -> DataFrame:
-    """One wide row per key from its tasks' answers (key, task, status, response)."""
-    values = [F.struct(*[v.alias(k) for k, v in parse_response(F.col("response"), F.col("status"), t).items()]).alias(t) for t in tasks]
-    wide = responses.select(key, "task", *values).groupBy(key).agg(*[F.max(F.when(F.col("task") == t, F.col(t))).alias(t) for t in tasks])
+    """One wide row per key from its tasks' answers (key, task, status, response).
+
+    An answer is parsed once, with the fields of all tasks, and its own task's
+    are taken from it; of several answers to a task the largest holds.
+    """
+    task, said = F.col("task"), F.when(F.col("task").isin(tasks), F.col("response"))
+
+    def by_task(parsed: Column) -> Column:
+        return F.struct(*[F.when(task == t, F.struct(*[v.alias(k) for k, v in _columns(parsed, F.col("status"), t).items()])).alias(t) for t in tasks])
+
+    each = responses.select(key, _once(F.from_json(unfenced(said), _schema(tasks)), by_task).alias("_a"))
+    wide = each.groupBy(key).agg(*[F.max(f"_a.{t}").alias(t) for t in tasks])
     return wide.select(key, *[F.col(f"{t}.{name}").alias(name) for t in tasks for name in TASKS[t]])
 
 
