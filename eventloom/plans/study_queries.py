@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import responses, text
-from eventloom.operators import features, models, portfolio, ranking, retrieval
+from eventloom.operators import features, models, portfolio, ranking, retrieval, vector_index
 from eventloom.sources import tables
 
 from .fixtures import Inputs
@@ -639,6 +639,31 @@ def nearest_chunks(t: Inputs) -> DataFrame:
     return rounded(retrieval.nearest(t.embeddings, [i % 7 - 3 for i in range(64)], "embedding", "vec_id", 10, F.col("label") != 3).select("vec_id", "score"))
 
 
+def _vector_index(t: Inputs) -> vector_index.VectorIndex:
+    return vector_index.build_index(t.embeddings, "vec_id", "embedding", _folder(t) + "-vectors", 32, ["label"])
+
+
+@query("SELECT vec_id, CAST(1 AS BIGINT) AS lists FROM embeddings")
+def vector_lists(t: Inputs) -> DataFrame:
+    """I10's index: every vector is in exactly one list."""
+    stored = _vector_index(t).vectors()
+    return stored.groupBy(F.col("id").alias("vec_id")).agg(F.count("list").alias("lists"))
+
+
+@query(f"SELECT q, vec_id, round(score, 6) AS score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS k FROM (SELECT q.q, e.vec_id, round({_COS}, 9) AS score FROM embeddings e, {_Q} q)) WHERE k <= 10")
+def indexed_neighbours(t: Inputs) -> DataFrame:
+    """I10 for every twentieth vector against all, by the index's exact way."""
+    found = vector_index.search(_vector_index(t), _queries(t), "q", "v", 10, 8, exact=True)
+    return rounded(found.withColumnRenamed("id", "vec_id"))
+
+
+@query(f"SELECT q, vec_id, round(score, 6) AS score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS k FROM (SELECT q.q, e.vec_id, round({_COS}, 9) AS score FROM embeddings e, {_Q} q WHERE e.label <> 3)) WHERE k <= 10")
+def filtered_neighbours(t: Inputs) -> DataFrame:
+    """I10 with a condition on what the index keeps beside the vectors."""
+    found = vector_index.search(_vector_index(t), _queries(t), "q", "v", 10, 8, exact=True, where="label <> 3")
+    return rounded(found.withColumnRenamed("id", "vec_id"))
+
+
 # models (rows only)
 
 
@@ -722,7 +747,7 @@ def _folder(t: Inputs) -> str:
     sc = t.spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.gettempdir()
     return f"{root}/eventloom-{uuid.uuid4().hex}"
