@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import responses, text
-from eventloom.operators import features, models, portfolio, ranking, retrieval, vector_index
+from eventloom.operators import features, models, portfolio, postings, ranking, retrieval, vector_index
 from eventloom.sources import tables
 
 from .fixtures import Inputs
@@ -503,13 +503,14 @@ def derived_features(t: Inputs) -> DataFrame:
 # features
 
 
-def _tfidf_sql() -> str:
+def _tfidf_sql(places: int | None = 6) -> str:
     stop = ", ".join(f"'{w}'" for w in features.STOP_WORDS)
     words = f"(SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]{{2,}}'), lambda w: w NOT IN ({stop})) AS w FROM documents)"
     terms = f"(SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {words})"
     tf = f"(SELECT doc_id, term, count(*) AS tf FROM {terms} GROUP BY ALL)"
     vocabulary = f"(SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {tf}, (SELECT count(*) AS n FROM documents) GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.7 * n ORDER BY sum(tf) DESC, term LIMIT 500)"
-    return f"SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM {tf} JOIN {vocabulary} USING (term))"
+    weight = "w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))"
+    return f"SELECT doc_id, term, {weight if places is None else f'round({weight}, {places})'} AS weight FROM (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM {tf} JOIN {vocabulary} USING (term))"
 
 
 def _weights(t: Inputs) -> DataFrame:
@@ -530,6 +531,21 @@ def keyword_scores(t: Inputs) -> DataFrame:
     return found.groupBy("query_id").agg(F.round(F.max("keyword"), 3).alias("best"), F.count("*").alias("n"))
 
 
+@query(f"WITH w AS MATERIALIZED ({_tfidf_sql(None)}) SELECT query_id, doc_id, score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM (SELECT b.doc_id AS query_id, a.doc_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (term) WHERE b.doc_id % 20 = 0 GROUP BY 1, 2)) WHERE k <= 10")
+def keyword_search(t: Inputs) -> DataFrame:
+    """I5 by posting blocks: every twentieth document as a query against all, with ranks."""
+    return _found_by_keywords(t)
+
+
+def _found_by_keywords(t: Inputs) -> DataFrame:
+    path = _folder(t)
+    _weights(t).write.parquet(path + "-weights")
+    weights = t.spark.read.parquet(path + "-weights")
+    postings.posting_blocks(weights, "doc_id").write.parquet(path + "-blocks")
+    queries = weights.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return postings.keyword_search(t.spark.read.parquet(path + "-blocks"), weights, queries, "doc_id", 10)
+
+
 @query("SELECT id, CASE WHEN cls = 'P' THEN 0 ELSE CAST((SELECT count(DISTINCT cls) FROM preds q WHERE cls <> 'P' AND q.cls < preds.cls) AS INT) END AS cls_code FROM preds", "preds")
 def encoded_labels(t: Inputs) -> DataFrame:
     """H2 (N12): codes of a table that lacks one class."""
@@ -627,6 +643,15 @@ def hybrid_scores(t: Inputs) -> DataFrame:
     return rounded(retrieval.hybrid_search(p.select("grp", "id", F.col("prob").alias("semantic")), p.filter("vol > 5").select("grp", "id", F.col("vol").alias("keyword")), ["grp", "id"]))
 
 
+@query(f"WITH w AS MATERIALIZED ({_tfidf_sql(None)}), sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS k FROM (SELECT q.q, e.vec_id AS id, round({_COS}, 9) AS s FROM embeddings e, {_Q} q)) WHERE k <= 10), kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS k FROM (SELECT b.doc_id AS q, a.doc_id AS id, round(sum(a.weight * b.weight), 6) AS s FROM w a JOIN w b USING (term) WHERE b.doc_id % 20 = 0 GROUP BY 1, 2)) WHERE k <= 10) SELECT q, id, semantic, keyword, CAST(round(1e7 * (0.7::DOUBLE * semantic + 0.3::DOUBLE * keyword)) AS BIGINT) AS score_e7 FROM (SELECT q, id, round(coalesce(sem.s, 0), 6) AS semantic, coalesce(kw.s, 0) AS keyword FROM sem FULL JOIN kw USING (q, id))")
+def hybrid_retrieval(t: Inputs) -> DataFrame:
+    """I4 to I6 end to end: a document and the vector of its number are one chunk; every twentieth is a query by both."""
+    semantic = vector_index.search(_vector_index(t), _queries(t), "q", "v", 10, 8, exact=True).select("q", "id", F.round("score", 6).alias("semantic"))
+    keyword = _found_by_keywords(t).select(F.col("query_id").alias("q"), F.col("doc_id").alias("id"), F.col("score").alias("keyword"))
+    both = retrieval.hybrid_search(semantic, keyword, ["q", "id"])
+    return both.select("q", "id", "semantic", "keyword", F.round(F.col("score") * 1e7).cast("long").alias("score_e7"))
+
+
 @query("SELECT filing, string_agg(substr(text, 1, 600), ' [SEP] ' ORDER BY pos) AS context, round(avg(part), 6) AS mean_score, count(*) AS n FROM items GROUP BY 1", "items")
 def contexts(t: Inputs) -> DataFrame:
     """I9."""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .json_splits import json_entries
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, in whatever file system it names."""
@@ -30,14 +32,15 @@ def read_years(spark: SparkSession, pattern: str, years: list[int], schema: Stru
 
 
 def read_json_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files that hold one JSON array of records each."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Files that hold one JSON array of records each, of any size: a file is read in splits."""
+    kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
+    rows = json_entries(spark, path).select(F.explode(F.from_json(F.concat(F.lit("["), "entry", F.lit("]")), f"array<struct<{kind}>>")).alias("_r"))
+    return rows.select("_r.*")
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "accession") -> DataFrame:
-    """Files that hold one JSON object keyed by id: a row per key."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias(key, "_v"))
+    """Files that hold one JSON object keyed by id, of any size: a row per key, read in splits."""
+    rows = json_entries(spark, path).select(F.explode(F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string,{value_schema}>")).alias(key, "_v"))
     return rows.select(key, "_v.*")
 
 

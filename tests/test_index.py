@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import vector_index
+from eventloom.operators.postings import blocks_read, keyword_search, posting_blocks
 from eventloom.operators.vector_index import build_index, recall, search
 
 
@@ -79,3 +80,50 @@ def test_index_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "i long, v array<double>")
     index = build_index(empty, "i", "v", str(tmp_path / "index"), 4)
     assert search(index, spark.createDataFrame([(1, [1.0])], "q long, w array<double>"), "q", "w").count() == 0
+
+
+# keyword search
+
+
+def weighted(n=600, terms=60, seed=5):
+    draw = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        held = np.unique(np.minimum(draw.geometric(0.12, 12), terms))
+        w = draw.random(len(held)) * held  # frequent terms weigh little
+        rows += [(i, f"t{t}", float(x)) for t, x in zip(held, w / np.linalg.norm(w))]
+    return rows + [(5000 + i, "t1", 1.0) for i in range(300)]  # a common term, in many equal rows
+
+
+def best_by_loops(rows, asked, k):
+    by_doc, out = {}, set()
+    for i, t, w in rows:
+        by_doc.setdefault(i, {})[t] = w
+    queries = {}
+    for q, t, w in asked:
+        queries.setdefault(q, {})[t] = w
+    for q, terms in queries.items():
+        scores = sorted((-round(sum(w * d[t] for t, w in terms.items() if t in d), 6), i) for i, d in by_doc.items() if terms.keys() & d.keys())
+        out |= {(q, i, r + 1, -s) for r, (s, i) in enumerate(scores[:k])}
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 10])
+def test_keyword_search_reads_fewer_postings(spark, k):
+    rows = weighted()
+    weights = spark.createDataFrame(rows, "i long, term string, weight double").cache()
+    asked = [(i, t, w) for i, t, w in rows if i % 20 == 0 and i < 5000] + [(9000, "t1", 1.0), (9001, "absent", 1.0)]
+    queries = spark.createDataFrame(asked, "query_id long, term string, weight double").cache()
+    blocks = posting_blocks(weights, "i", 16).cache()
+    assert blocks.agg(F.sum("n")).first()[0] == len(rows) and blocks.agg(F.max("n")).first()[0] < 60
+    got = {(r["query_id"], r["i"], r["rank"], r["score"]) for r in keyword_search(blocks, weights, queries, "i", k).collect()}
+    assert {x[:3] for x in got} == {x[:3] for x in best_by_loops(rows, asked, k)}
+    known = spark.createDataFrame([(q, min(s for p, _, _, s in got if p == q)) for q in {x[0] for x in got}], "query_id long, least double")
+    postings = lambda read: read.agg(F.sum("n")).first()[0]
+    assert postings(blocks_read(blocks, queries, known)) < (0.35 if k == 1 else 0.6) * postings(blocks_read(blocks, queries, known.limit(0)))
+
+
+def test_keyword_search_of_nothing(spark):
+    weights = spark.createDataFrame([], "i long, term string, weight double")
+    queries = spark.createDataFrame([(1, "a", 1.0)], "query_id long, term string, weight double")
+    assert keyword_search(posting_blocks(weights, "i"), weights, queries, "i").count() == 0
