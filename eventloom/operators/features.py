@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .ranking import global_position
 
@@ -27,20 +33,94 @@ def grams(words: Column, most: int) -> Column:
     return F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
+def _terms(df: DataFrame, id_col: str, text_col: str, most: int, stop: list[str], distinct: bool = False) -> DataFrame:
+    """(id, term, tf, df): a row with tf 1 for each n-gram and, where it is asked for, one with df 1 for each that a document has."""
+    one = lambda g, tf, n: F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(n).alias("df")))
+    # as the variable of a one-element transform, the words are made once for all grams of a text
+    both = lambda g: F.concat(one(g, 1, 0), one(F.array_distinct(g), 0, 1)) if distinct else one(g, 1, 0)
+    each = F.transform(F.transform(F.array(tokens(F.col(text_col), stop)), lambda words: grams(words, most)), both)[0]
+    return df.select(id_col, F.explode(each).alias("_t")).select(id_col, "_t.*")
+
+
+#: A sketch that tracks m items misses none with over 3.5 / m of all occurrences, nor shows one unless it has so many beyond its own error.
+SKETCH_ERROR = 7.0
+#: Terms that a sketch tracks for each of the vocabulary's: a term's share falls about with its rank.
+TRACKED = 140
+#: Tasks whose sketches meet in a first step.
+MERGED = 64
+
+
+def candidates(terms: DataFrame, tracked: int) -> tuple[DataFrame, float]:
+    """Terms (at most ``tracked``) that mergeable sketches of frequent items show, and how often any other may occur at most."""
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_g")
+    parts = terms.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("s"), F.count("*").alias("n"))
+    whole = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"), "n").first()
+    if whole is None or not whole["n"]:
+        return terms.select("term").limit(0), 0.0
+    found = terms.sparkSession.createDataFrame([(r["item"],) for r in whole["top"]], "term string")
+    return found, SKETCH_ERROR / tracked * whole["n"]
+
+
+def vocabulary(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, min_df: int = 1, max_df: float = 1.0, most: int = 2, stop: list[str] = STOP_WORDS, tracked: int | None = None) -> DataFrame:
+    """(term, df, total, idf): the ``max_features`` terms of most occurrences among those in at least ``min_df`` and at most a share ``max_df`` of the documents.
+
+    Sketches of each task's frequent terms are merged, and what they show is
+    counted exactly; if the last term taken has more occurrences than any that
+    the sketches did not show, that is the vocabulary. Otherwise all terms are
+    counted. Either way the result is exact. Only candidates are shuffled, one
+    row for each task; ``tracked`` (a power of two by default) bounds them, and
+    they are broadcast.
+    """
+    n = df.count()
+    m = tracked or 1 << max(14, (TRACKED * max_features - 1).bit_length())
+    shown, unseen = candidates(_terms(df, id_col, text_col, most, stop), m)
+    each = _terms(df, id_col, text_col, most, stop, distinct=True)
+
+    def counted(rows: DataFrame) -> list:
+        counts = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
+        return counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "term").limit(max_features).collect()  # max_features rows
+
+    rows = counted(each.join(F.broadcast(shown), "term"))
+    # a term that was not shown is in fewer documents than it occurs
+    if unseen >= max(1, min_df) and (len(rows) < max_features or rows[-1]["total"] <= unseen):
+        rows = counted(each)
+    known = df.sparkSession.createDataFrame([(r["term"], r["df"], r["total"]) for r in rows], "term string, df long, total long")
+    return known.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+
+
+def term_weights(df: DataFrame, id_col: str, text_col: str, known: DataFrame, most: int = 2, sublinear: bool = True, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(id, term, weight) over a vocabulary (term, idf) that may be another table's: optional sublinear tf, rows of length 1. Ids are distinct."""
+    tf = _terms(df, id_col, text_col, most, stop).join(F.broadcast(known.select("term", "idf")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    raw = tf.withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf"))
+    return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, min_df: int = 1, max_df: float = 1.0, most: int = 2, sublinear: bool = True, stop: list[str] = STOP_WORDS) -> DataFrame:
     """(id, term, weight): smooth idf, optional sublinear tf, rows of length 1; the top terms by corpus count.
 
-    Counts are summed before they are shuffled further; the vocabulary has at most ``max_features`` rows.
+    The vocabulary is known before a document's terms are shuffled, so that only its own are.
     """
-    # as the variable of a one-element transform, the words are made once for all grams of a text
-    each = F.transform(F.array(tokens(F.col(text_col), stop)), lambda words: grams(words, most))[0]
-    terms = df.select(id_col, F.explode(each).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))  # one exchange serves the vocabulary and the weights
-    n = df.agg(F.count("*")).scalar()
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = vocabulary.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(idf), "term").withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf"))
-    return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
+    return term_weights(df, id_col, text_col, vocabulary(df, id_col, text_col, max_features, min_df, max_df, most, stop), most, sublinear, stop)
+
+
+def term_vectors(df: DataFrame, id_col: str, weights: DataFrame, known: DataFrame, name: str = "text_vector") -> DataFrame:
+    """``df`` with a sparse vector of its term weights, places by the vocabulary's alphabetical order; a document without any has an empty one."""
+    order = {r["term"]: i for i, r in enumerate(known.select("term").orderBy("term").collect())}  # the vocabulary's max_features rows
+    size, kind = len(order), StructType([*df.schema.fields, StructField(name, VectorUDT())])
+    places = df.sparkSession.createDataFrame(list(order.items()), "term string, _i int")
+    held = weights.join(F.broadcast(places), "term").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_w"))
+    empty = F.array().cast("array<struct<_i: int, weight: double>>")
+    rows = df.join(held, id_col, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.transform(F.coalesce("_w", empty), lambda x: x["_i"]).alias("_at"), F.transform(F.coalesce("_w", empty), lambda x: x["weight"]).alias("_of"))
+
+    columns = df.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:  # as Spark ML stores a sparse vector
+            n = part.num_rows
+            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), part.column("_at"), part.column("_of")], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], vector], [*columns, name])
+
+    return rows.mapInArrow(run, kind)
 
 
 def label_encode(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:

@@ -523,6 +523,16 @@ def tfidf(t: Inputs) -> DataFrame:
     return rounded(_weights(t))
 
 
+@query(_tfidf_sql())
+def tfidf_vectors(t: Inputs) -> DataFrame:
+    """H5's text side: the vectors that models are fitted on, taken apart again."""
+    known = features.vocabulary(t.documents, "doc_id", "text", 500, 5, 0.7)
+    terms = known.select("term").orderBy("term").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    vectors = models.with_text_vector(t.documents.select("doc_id", "text"), "doc_id", "text", known).select("doc_id", F.unwrap_udt("text_vector").alias("v"))
+    each = vectors.crossJoin(F.broadcast(terms)).select("doc_id", "terms", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("weight"))).alias("x"))
+    return rounded(each.select("doc_id", F.col("terms")[F.col("x.i")].alias("term"), F.col("x.weight").alias("weight")))
+
+
 @query(f"WITH w AS ({_tfidf_sql()}), scores AS (SELECT b.doc_id AS query_id, a.doc_id, round(sum(a.weight * b.weight), 4) AS keyword FROM w a JOIN w b USING (term) WHERE b.doc_id % 20 = 0 GROUP BY 1, 2) SELECT query_id, round(max(keyword), 3) AS best, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC) AS k FROM scores) WHERE k <= 10 GROUP BY 1")
 def keyword_scores(t: Inputs) -> DataFrame:
     """Every twentieth document as a query against all; ties in the tenth place are not told apart."""
@@ -700,21 +710,23 @@ def _labelled(t: Inputs) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def text_model_grid(t: Inputs) -> DataFrame:
-    """Logistic regressions on three feature sets with several C; before them the best of a gap under 0.15, as scored by the pipeline that was saved and loaded again."""
+    """Logistic regressions on three feature sets with several C; before them the best of a gap under 0.15, as scored by the model that was saved and loaded again."""
     train, test = _labelled(t)
     n, judge = train.count(), MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    words = models.text_stages("text", 500, 2)
-    base = Pipeline(stages=words).fit(train)
+    known = features.vocabulary(train, "doc_id", "text", 2000, 2, 0.8)
+    sides = [models.with_text_vector(x, "doc_id", "text", known).drop("text").cache() for x in (train, test)]
     runs = {f"{name} C={c}": [s, models.logreg(n, c, labelCol="y")] for name, s in models.feature_sets(["size"], ["toxic"]).items() for c in (0.1, 0.3, 1.0)}
-    results = models.run_experiments(base.transform(train), base.transform(test), {name: Pipeline(stages=stages) for name, stages in runs.items()}, judge.evaluate)
+    results = models.run_experiments(*sides, {name: Pipeline(stages=stages) for name, stages in runs.items()}, judge.evaluate)
     best = models.grid_search(results, 0.15).first()
-    if best is None:
-        train.unpersist()
-        return results
-    loaded = models.save_pipeline([*words, *runs[best["model"]]], train, _folder(t) + "-model")
-    a, b = (float(judge.evaluate(loaded.transform(x))) for x in (train, test))
-    train.unpersist()
-    return t.spark.createDataFrame([(best["model"], a, b, a - b)], results.schema).unionByName(results)
+    if best is not None:
+        path = _folder(t) + "-model"
+        models.TextModel.fit(train, "doc_id", "text", runs[best["model"]], known).save(path)
+        loaded = models.TextModel.load(t.spark, path, "doc_id", "text")
+        a, b = (float(judge.evaluate(loaded.transform(x))) for x in (train, test))
+        results = t.spark.createDataFrame([(best["model"], a, b, a - b)], results.schema).unionByName(results)
+    for held in (train, *sides):
+        held.unpersist()
+    return results
 
 
 @query()
@@ -749,18 +761,44 @@ def group_models(t: Inputs) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query("SELECT grp AS g, count(*) AS n, round(regr_slope(abs(ret), vol), 6) AS vol, round(regr_intercept(abs(ret), vol), 6) AS intercept FROM preds GROUP BY 1", "preds")
+def linear_groups(t: Inputs) -> DataFrame:
+    """A least-squares fit for every group in one scan."""
+    return rounded(models.linear_groups(t.predictions.withColumn("y", F.abs("ret")), "grp", ["vol"], "y"))
+
+
+@query()
+def logistic_groups(t: Inputs) -> DataFrame:
+    """A logistic regression for every group, all groups in each scan."""
+    return rounded(models.logistic_groups(t.predictions, "grp", ["vol", "prob", "score"], "up", 1.0))
+
+
 @query()
 def group_text_models(t: Inputs) -> DataFrame:
     """H13 with features that follow a group's size: a classifier of texts for each language with enough labelled documents."""
     train, test = _labelled(t)
     groups = [r["lang"] for r in ranking.top_groups(train, "lang", 20).collect()]
-    make = lambda n: Pipeline(stages=[*models.text_stages("text", **models.adaptive_features(n)), models.feature_sets([], [])["text"], models.logreg(n, 1.0, labelCol="y")])
-    fitted = models.fit_per_group(train, test, "lang", groups, make, 20, 5, "y")
+    make = lambda n: Pipeline(stages=[models.feature_sets([], [])["text"], models.logreg(n, 1.0, labelCol="y")])
+
+    def prepare(own: DataFrame, other: DataFrame, n: int) -> tuple[DataFrame, ...]:
+        known = features.vocabulary(own, "doc_id", "text", **models.adaptive_features(n))
+        return tuple(models.with_text_vector(x, "doc_id", "text", known) for x in (own, other))
+
+    fitted = models.fit_per_group(train, test, "lang", groups, make, 20, 5, "y", prepare)
     rows = [df.groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")) for df in fitted.values()]
     empty = t.spark.createDataFrame([], "lang string, n long, accuracy double")
     return reduce(DataFrame.unionByName, rows, empty)
 
 
+@query("SELECT id, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split, up FROM (SELECT id, up, row_number() OVER (ORDER BY date, id) AS k, count(*) OVER () AS n FROM preds)", "preds")
+def split_files(t: Inputs) -> DataFrame:
+    """The splits written as CSV and as JSON; rows that both files hold alike."""
+    path = _folder(t) + "-splits"
+    tables.write_splits(ranking.temporal_split(t.predictions.select("id", "date", "up"), ["date", "id"]).drop("date"), path)
+    read = lambda fmt: t.spark.read.schema("id LONG, up INT").option("header", True).format(fmt).load(f"{path}/{fmt}").select("id", "split", "up")
+    return read("csv").intersect(read("json"))
+
+
 # sources and sinks, through files in a folder that lasts as long as the session's scratch space
 
 

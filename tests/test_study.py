@@ -139,10 +139,10 @@ def test_source_queries_use_their_operators(spark, monkeypatch):
 
 def test_grid_saves_its_best_model(spark, monkeypatch):
     saved = []
-    monkeypatch.setattr(models, "save_pipeline", lambda *a, f=models.save_pipeline: saved.append(a[-1]) or f(*a))
+    monkeypatch.setattr(models.TextModel, "save", lambda self, path, f=models.TextModel.save: saved.append(path) or f(self, path))
     first, *runs = one(registry.QUERIES["text_model_grid"](spark, "/root/testdata/sf0.001"))
     assert len(runs) == 9 and all(r[3] >= 0.15 or r[2] <= first[2] for r in runs)
-    assert first in runs and first[3] < 0.15 and spark.read.text(saved[0] + "/metadata").count() == 1
+    assert first in runs and first[3] < 0.15 and spark.read.text(saved[0] + "/stages/metadata").count() == 1 and 0 < spark.read.parquet(saved[0] + "/vocabulary").count() <= 2000
 
 
 def test_scores_are_clipped(spark):
