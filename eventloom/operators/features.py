@@ -120,7 +120,7 @@ def term_vectors(df: DataFrame, id_col: str, weights: DataFrame, known: DataFram
             vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), part.column("_at"), part.column("_of")], ["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], vector], [*columns, name])
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind).withMetadata(name, {"ml_attr": {"num_attrs": size}})  # its length, as Spark ML looks for it
 
 
 def label_encode(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_position
+from .ranking import draw, global_position
 
 
 def merge_on(a: DataFrame, b: DataFrame, key: str, suffix: str = "_right") -> DataFrame:
@@ -55,17 +55,19 @@ def zip_by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: lis
 
 
 def contrastive_pairs(df: DataFrame, group: str, id_col: str, ret: str, threshold: float, n: int, seed: int = 42) -> DataFrame:
-    """For each group ``n`` pairs of a high and a low performer, each side drawn with replacement by hash."""
+    """For each group ``n`` pairs of a high and a low performer, each side drawn with replacement."""
 
     def side(rows: DataFrame, name: str, salt: int) -> tuple[DataFrame, DataFrame]:
-        order = Window.partitionBy(group).orderBy(F.xxhash64(id_col, F.lit(seed + salt)), id_col)
-        ranked = rows.select(group, F.col(id_col).alias(f"{name}_id"), F.col(ret).alias(f"{name}_return"), (F.row_number().over(order) - 1).cast("long").alias(f"{name}_at"))
-        return ranked, ranked.groupBy(group).agg(F.count("*").alias(f"{name}_n"))
+        """Rows numbered within their group by ranges over all groups, so that a large group is many tasks."""
+        placed = global_position(rows.select(group, id_col, ret, draw(seed + salt, id_col).alias("_h")), [group, "_h", id_col], "_at")
+        facts = placed.groupBy(group).agg(F.count("*").alias(f"{name}_n"), F.min("_at").alias("_first"))
+        numbered = placed.join(facts, group).select(group, F.col(id_col).alias(f"{name}_id"), F.col(ret).alias(f"{name}_return"), (F.col("_at") - F.col("_first")).alias(f"{name}_at"))
+        return numbered, facts.drop("_first")
 
     high, highs = side(df.filter(F.col(ret) > threshold), "high", 1)
     low, lows = side(df.filter(F.col(ret) < -threshold), "low", 2)
     draws = highs.join(lows, group).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pick = lambda name, salt: F.pmod(F.xxhash64(group, "k", F.lit(seed + salt)), F.col(f"{name}_n")).alias(f"{name}_at")
+    pick = lambda name, salt: F.pmod(draw(seed + salt, group, "k"), F.col(f"{name}_n")).alias(f"{name}_at")
     drawn = draws.select(group, "k", pick("high", 3), pick("low", 4))
     return drawn.join(high, [group, "high_at"]).join(low, [group, "low_at"]).select(group, "k", "high_id", "low_id", "high_return", "low_return")
 

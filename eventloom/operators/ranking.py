@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows sampled for each range that an order is cut into.
+SAMPLED = 100
+
+
+def splitters(df: DataFrame, order: list[str], parts: int, seed: int = 42) -> list[tuple]:
+    """Keys, of all ordering columns, that cut the rows into about equal ranges; from a sample of SAMPLED rows a range, about."""
+    keys = df.select(*order)
+    n = keys.count() if parts > 1 else 0
+    if not n:
+        return []
+    share = parts * SAMPLED / n
+    found = (keys if share >= 1 else keys.sample(share, seed)).orderBy(*order).collect()
+    cuts = [tuple(found[len(found) * i // parts]) for i in range(1, parts)] if found else []
+    return list(dict.fromkeys(cuts))
+
+
 def ordered_parts(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """Add ``_part``, a range of the order: ranges cut at quantiles of the first column, which is a number or a date.
+    """Add ``_part``, a range of the order: ranges are cut at keys of all ordering columns, nulls first.
 
-    Rows that tie in the first column share a range, so ranges are only uneven where ties are.
+    Rows that tie in the first columns are divided by the later ones; only rows
+    equal in all of them share a range for that.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(df.dtypes)[order[0]]
-    key = F.unix_seconds(F.col(order[0]).cast("timestamp")).cast("double") if kind.startswith(("date", "timestamp")) else F.col(order[0]).cast("double")
-    keyed = df.withColumn("_key", key)
-    cuts = sorted(set(keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bounds = ", ".join(f"{c!r}D" for c in cuts)
-    part = F.expr(f"size(filter(array({bounds}), c -> c <= _key))") if cuts else F.lit(0)
-    return keyed.withColumn("_part", F.coalesce(part, F.lit(-1))).drop("_key")
+    cuts = splitters(df, order, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
+    key = F.struct(*order)
+    return df.withColumn("_part", F.size(F.filter(F.array(*bounds), lambda c: c <= key)) if cuts else F.lit(0))
 
 
 def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
@@ -155,40 +169,45 @@ def top_terms(df: DataFrame, term: str, coefficient: str, k: int) -> DataFrame:
     return side(F.desc(coefficient), "positive").union(side(F.asc(coefficient), "negative"))
 
 
-def _hash(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+#: Digits of an md5 that make a number, and how many such numbers there are.
+DIGITS, NUMBERS = 15, 16**15
+
+
+def draw(seed: int, *columns: Column | str) -> Column:
+    """A number from 0 to 16 ** 15 - 1, the same for the same seed and values in any engine that has md5."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, DIGITS), 16, 10).cast("long")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for a seed."""
-    return df.orderBy(_hash(id_col, seed), id_col).limit(n)
+    return df.orderBy(draw(seed, id_col), id_col).limit(n)
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n draws, each of any row: positions by hash of the draw's number."""
-    placed = global_position(df.withColumn("_h", _hash(id_col, seed)), ["_h", id_col], "_at").drop("_h")
+    """n draws, each of any row: positions by the draw's number."""
+    placed = global_position(df.withColumn("_h", draw(seed, id_col)), ["_h", id_col], "_at").drop("_h")
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
     size = placed.agg(F.max("_n")).scalar()
-    return draws.withColumn("_at", F.pmod(F.xxhash64("draw", F.lit(seed)), size)).join(placed, "_at").drop("_at", "_n")
+    return draws.withColumn("_at", F.pmod(draw(seed, "draw"), size)).join(placed, "_at").drop("_at", "_n")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """The same share of each class to the test side; classes are cut at quantiles of the hash, not sorted whole."""
-    share = (F.pmod(_hash(id_col, seed), F.lit(1_000_003)) / 1_000_003).alias("_u")
-    hashed = df.withColumn("_u", share)
+    """The same share of each class to the test side; classes are cut at quantiles of the drawn numbers, not sorted whole."""
+    hashed = df.withColumn("_u", draw(seed, id_col) / NUMBERS)
     edges = quantiles(hashed, "_u", [1 - test], [label]).select(F.col(f"key.{label}").alias(label), F.col("e")[0].alias("_edge"))
     return hashed.join(edges, label).withColumn("split", F.when(F.col("_u") > F.col("_edge"), "test").otherwise("train")).drop("_u", "_edge")
 
 
 def balanced_examples(df: DataFrame, id_col: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each class, all where there are fewer; Spark cuts each partition to n before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(_hash(id_col, seed), id_col))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, id_col), id_col))
     return df.withColumn("_k", rank).filter(F.col("_k") <= n).drop("_k")
 
 
 def shuffled_split(df: DataFrame, id_col: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """train, val and test by position in a hash order."""
-    return temporal_split(df.withColumn("_h", _hash(id_col, seed)), ["_h", id_col], val, test).drop("_h")
+    """train, val and test by position in the order of drawn numbers."""
+    return temporal_split(df.withColumn("_h", draw(seed, id_col)), ["_h", id_col], val, test).drop("_h")
 
 
 def eligible_events(df: DataFrame, group: str, ret: str, threshold: float, least: int = 10, side: int = 5) -> DataFrame:
@@ -208,9 +227,21 @@ def every_nth_above(df: DataFrame, column: str, order: list[str], p: float = 0.9
 
 
 def rolling_corr(df: DataFrame, by: list[str], order: list[str], a: str, b: str, n: int = 100, name: str = "rolling_corr") -> DataFrame:
-    """Correlation over the last n rows of each key, null until there are so many."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn(name, F.when(F.count("*").over(w) == n, F.corr(a, b).over(w)))
+    """Correlation over the last n rows of each key, null until there are so many.
+
+    Rows are numbered over all keys and cut into blocks of ten windows or more;
+    the last n - 1 rows of a block also go to the next one, so that a key with
+    most rows is many tasks.
+    """
+    ranked = global_position(df, [*by, *order], "_at")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.greatest(F.lit(10 * n), F.ceil(F.col("_n") / parts))
+    block = F.floor(F.col("_at") / size)
+    home, on = F.struct(block.alias("b"), F.lit(False).alias("carried")), F.struct((block + 1).alias("b"), F.lit(True).alias("carried"))
+    late = F.col("_at") % size > size - n
+    sent = ranked.withColumn("_to", F.explode(F.when(late, F.array(home, on)).otherwise(F.array(home)))).withColumn("_b", F.col("_to.b"))
+    w = Window.partitionBy(*by, "_b").orderBy("_at").rowsBetween(-(n - 1), 0)
+    return sent.withColumn(name, F.when(F.count("*").over(w) == n, F.corr(a, b).over(w))).filter(~F.col("_to.carried")).select(*df.columns, name)
 
 
 def monthly_sum(df: DataFrame, date: str, value: str) -> DataFrame:

@@ -94,22 +94,33 @@ def top_terms(t: Inputs) -> DataFrame:
     return rounded(ranking.top_terms(t.predictions, "id", "score", 20))
 
 
-@query()
+def _drawn(seed: int, *columns: str) -> str:
+    """The drawn number, in SQL."""
+    return f"CAST('0x' || substr(md5('{seed}:' || {" || ':' || ".join(columns)}), 1, {ranking.DIGITS}) AS BIGINT)"
+
+
+@query(f"SELECT id, round(ret, 6) AS ret FROM preds ORDER BY {_drawn(42, 'id')}, id LIMIT 100", "preds")
 def sampled(t: Inputs) -> DataFrame:
     """F13."""
-    return ranking.sample_n(t.predictions.select("id", "ret"), "id", 100)
+    return rounded(ranking.sample_n(t.predictions.select("id", "ret"), "id", 100))
 
 
-@query()
+@query(f"SELECT draw, id, round(ret, 6) AS ret FROM (SELECT i AS draw, {_drawn(42, 'i')} % (SELECT count(*) FROM preds) AS k FROM range(100) t(i)) JOIN (SELECT id, ret, row_number() OVER (ORDER BY {_drawn(42, 'id')}, id) - 1 AS k FROM preds) USING (k)", "preds")
 def resampled(t: Inputs) -> DataFrame:
     """F14."""
-    return ranking.sample_with_replacement(t.predictions.select("id", "ret"), "id", 100)
+    return rounded(ranking.sample_with_replacement(t.predictions.select("id", "ret"), "id", 100))
 
 
-@query()
+@query(f"SELECT id, up, CASE WHEN u > quantile_cont(u, 0.8) OVER (PARTITION BY up) THEN 'test' ELSE 'train' END AS split FROM (SELECT id, up, {_drawn(42, 'id')}::DOUBLE / {ranking.NUMBERS} AS u FROM preds)", "preds")
 def stratified(t: Inputs) -> DataFrame:
     """F15."""
-    return ranking.stratified_split(t.predictions.select("id", "up"), "id", "up").groupBy("up", "split").count()
+    return ranking.stratified_split(t.predictions.select("id", "up"), "id", "up").select("id", "up", "split")
+
+
+@query(f"SELECT id, cls FROM (SELECT id, cls, row_number() OVER (PARTITION BY cls ORDER BY {_drawn(42, 'id')}, id) AS k FROM preds) WHERE k <= 50", "preds")
+def balanced_examples(t: Inputs) -> DataFrame:
+    """F16."""
+    return ranking.balanced_examples(t.predictions.select("id", "cls"), "id", "cls", 50)
 
 
 @query("SELECT cls, least(count(*), 50) AS n FROM preds GROUP BY 1", "preds")
@@ -118,6 +129,12 @@ def balanced_sizes(t: Inputs) -> DataFrame:
     return ranking.balanced_examples(t.predictions.select("id", "cls"), "id", "cls", 50).groupBy("cls").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT id, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (SELECT id, row_number() OVER (ORDER BY {_drawn(42, 'id')}, id) AS k, count(*) OVER () AS n FROM preds)", "preds")
+def shuffled_split(t: Inputs) -> DataFrame:
+    """F17."""
+    return ranking.shuffled_split(t.predictions.select("id"), "id").select("id", "split")
+
+
 @query("SELECT split, n FROM (SELECT count(*) AS c FROM preds), LATERAL (SELECT 'train' AS split, CAST(floor(c * 0.7::DOUBLE) AS BIGINT) AS n UNION ALL SELECT 'val', CAST(floor(c * 0.85::DOUBLE) - floor(c * 0.7::DOUBLE) AS BIGINT) UNION ALL SELECT 'test', CAST(c - floor(c * 0.85::DOUBLE) AS BIGINT))", "preds")
 def shuffled_split_sizes(t: Inputs) -> DataFrame:
     """F17."""
@@ -162,6 +179,17 @@ def contrastive_pair_counts(t: Inputs) -> DataFrame:
     return joins.contrastive_pairs(t.predictions, "grp", "id", "ret", 1.0, 20).filter((F.col("high_return") > 1) & (F.col("low_return") < -1)).groupBy("grp").agg(F.count("*").alias("n"))
 
 
+_PAIR_SIDES = ", ".join(f"{name} AS (SELECT grp, id AS {name}_id, ret AS {name}_return, row_number() OVER (PARTITION BY grp ORDER BY {_drawn(seed, 'id')}, id) - 1 AS at, count(*) OVER (PARTITION BY grp) AS n FROM preds WHERE {when})" for name, seed, when in (("high", 43, "ret > 1"), ("low", 44, "ret < -1")))
+
+
+@query(f", {_PAIR_SIDES}, picks AS (SELECT grp, k, {_drawn(45, 'grp', 'k')} % hn AS high_at, {_drawn(46, 'grp', 'k')} % ln AS low_at FROM (SELECT grp, max(n) AS hn FROM high GROUP BY 1) JOIN (SELECT grp, max(n) AS ln FROM low GROUP BY 1) USING (grp), range(20) t(k)) SELECT p.grp, k, high_id, low_id, round(high_return, 6) AS high_return, round(low_return, 6) AS low_return FROM picks p JOIN high h ON h.grp = p.grp AND h.at = high_at JOIN low l ON l.grp = p.grp AND l.at = low_at", "preds")
+def contrastive_pairs(t: Inputs) -> DataFrame:
+    """C15."""
+    from eventloom.operators import joins
+
+    return rounded(joins.contrastive_pairs(t.predictions, "grp", "id", "ret", 1.0, 20).withColumn("k", F.col("k").cast("long")))
+
+
 # portfolios
 
 _SIZED = "(SELECT *, greatest(0.002, least(0.02, 0.01 * ((SELECT avg(vol) FROM preds) / vol))) AS size, CASE WHEN said = 1 THEN 1 ELSE -1 END AS dir FROM preds)"
