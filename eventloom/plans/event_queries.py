@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import joins, metrics, ranking
 from eventloom.sources import tables
+from eventloom.sources.resume import ResultStore
 
 from . import market
 from .fixtures import Inputs
@@ -257,6 +258,26 @@ def remaining_rows(t: Inputs) -> DataFrame:
     return tables.remaining(t.orders, t.customer.filter("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def resumed_rows(t: Inputs) -> DataFrame:
+    """A10 with committed batches and their filters; a batch that broke off before its filter counts for nothing."""
+    store = ResultStore(t.spark, tables.scratch(t.spark) + "-results", "o_orderkey")
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    for batch, left in (("a", 0), ("b", 3)):
+        store.commit(orders.filter(F.col("o_orderkey") % 6 == left), batch)
+    orders.filter("o_orderkey % 6 = 1").write.parquet(store.path + "/rows/batch=broken")
+    return store.remaining(orders).select("o_orderkey")
+
+
+@query("SELECT accession, entry_date, exit_date, round(stock, 4) AS stock_return_pct, round(market, 4) AS market_return_pct, round(stock - market, 4) AS adjusted_return_pct FROM returns", "returns")
+def bucketed_returns(t: Inputs) -> DataFrame:
+    """C13, D4 over bars that are stored in buckets: no exchange of bars."""
+    path = tables.scratch(t.spark) + "-bars"
+    bars = market.bucketed_bars(t.bars, path.rpartition("/")[2].replace("-", "_"), path)
+    out = market.forward_return(t.filings, bars, t.benchmark_days)
+    return out.select("accession", "entry_date", "exit_date", "stock_return_pct", "market_return_pct", "adjusted_return_pct")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def successful_rows(t: Inputs) -> DataFrame:
     """A11."""

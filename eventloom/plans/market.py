@@ -150,24 +150,44 @@ def close_return(events: DataFrame, bars: DataFrame, benchmark: DataFrame, n: in
     return full.withColumns({"stock_return_pct": F.round(stock, 3), "market_return_pct": F.round(market, 3), "adjusted_return_pct": F.round(stock - market, 3), "outperformed_market": (stock > market).cast("int")})
 
 
+def nearest_bars(spots: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``before``, the last bar (day, close) at or before each spot's date ``at``, and ``after``, the first at or after it.
+
+    One shuffle by key and month, in which a bar is one row; what lies in other months comes from a row per key and month.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    left = spots.select(F.struct(*spots.columns).alias("_e"), *keys, F.col("at").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<day:date,close:double>").alias("_bar"))
+    right = bars.filter(F.col("close").isNotNull()).select(F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *keys, F.col("day").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("day").cast("date").alias("day"), F.col("close").cast("double").alias("close")).alias("_bar"))
+    both = left.unionByName(right).withColumn("_m", month("_at"))
+    months = both.groupBy(*keys, "_m").agg(F.min("_bar").alias("_first"), F.max("_bar").alias("_last"))
+    earlier, later = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_m"), F.desc("_m")))
+    around = months.select(*keys, "_m", F.last("_last", True).over(earlier).alias("_earlier"), F.last("_first", True).over(later).alias("_later"))
+    back, ahead = (Window.partitionBy(*keys, "_m").orderBy(o, "_side").rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_at"), F.desc("_at")))
+    seen = both.withColumn("_b", F.last("_bar", True).over(back)).withColumn("_a", F.last("_bar", True).over(ahead)).filter("_side = 1")
+    return seen.join(around, [*keys, "_m"]).select("_e.*", F.coalesce("_b", "_earlier").alias("before"), F.coalesce("_a", "_later").alias("after"))
+
+
+def bucketed_bars(bars: DataFrame, name: str, path: str, by: str = "ticker", buckets: int | None = None) -> DataFrame:
+    """Bars stored as a table in buckets of key and day, sorted, so that joins by these need no exchange of bars."""
+    n = buckets or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bars.repartition(n, by, "day").write.bucketBy(n, by, "day").sortBy(by, "day").option("path", path).mode("overwrite").saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
 def momentum(events: DataFrame, bars: DataFrame, benchmark: DataFrame, days: list[int], slack: int = 10, by: str = "ticker") -> DataFrame:
     """First to last close of the ``day + slack`` days before each event, less the benchmark's; null with fewer than two bars.
 
-    Each (key, date) that events ask for meets the bars of the months that its windows overlap, once for all windows
-    and for all its events.
+    Each (key, date) that events ask for looks up the last bar before it and, for each window, the first bar in it.
     """
-    reach = max(days) + slack
-    month = lambda c: F.year(c) * 12 + F.month(c)
 
     def changes(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        asked = events.select(*keys, "filing_date").distinct().withColumn("_month", F.explode(F.sequence(month(F.date_sub("filing_date", reach)), month(F.date_sub("filing_date", 1)))))
-        met = asked.join(table.withColumn("_month", month(F.col("day"))), [*keys, "_month"]).filter((F.col("day") < F.col("filing_date")) & (F.col("day") >= F.date_sub("filing_date", reach)))
-        out = []
-        for d in days:
-            inside = F.col("day") >= F.date_sub("filing_date", d + slack)
-            first, last = F.min_by("close", F.when(inside, F.col("day"))), F.max_by("close", F.when(inside, F.col("day")))
-            out.append(F.when(F.count_if(inside) >= 2, percent_change(first, last)).alias(f"{prefix}_{d}"))
-        return met.groupBy(*keys, "filing_date").agg(*out)
+        asked = events.select(*keys, "filing_date").distinct().filter(F.col("filing_date").isNotNull())
+        spots = [F.struct(F.lit(d).alias("kind"), F.date_sub("filing_date", d + slack if d else 1).alias("at")) for d in (0, *days)]
+        found = nearest_bars(asked.withColumn("_p", F.explode(F.array(*spots))).select(*keys, "filing_date", "_p.kind", "_p.at"), table, keys)
+        bar = F.when(F.col("kind") == 0, F.col("before")).otherwise(F.col("after"))
+        wide = found.groupBy(*keys, "filing_date").agg(*[F.max(F.when(F.col("kind") == d, bar)).alias(f"_{d}") for d in (0, *days)])
+        # with a bar a day there are two or more in a window if its first is before the last
+        return wide.select(*keys, "filing_date", *[F.when(F.col(f"_{d}.day") < F.col("_0.day"), percent_change(F.col(f"_{d}.close"), F.col("_0.close"))).alias(f"{prefix}_{d}") for d in days])
 
     own, market = changes(bars, [by], "own"), changes(benchmark, [], "market")
     joined = events.join(own, [by, "filing_date"], "left").join(market, "filing_date", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -835,13 +833,7 @@ FILE_ROWS = 5000
 
 
 def _folder(t: Inputs) -> str:
-    sc = t.spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.gettempdir()
-    return f"{root}/eventloom-{uuid.uuid4().hex}"
+    return tables.scratch(t.spark)
 
 
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders")

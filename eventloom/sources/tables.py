@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share; in a local session without one, among its temporary files."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
+    return f"{root}/eventloom-{uuid.uuid4().hex}"
+
+
 def read_years(spark: SparkSession, pattern: str, years: list[int], schema: StructType | str, fmt: str = "csv") -> DataFrame:
     """One file per year, missing years skipped, columns that a year lacks filled with null.
 

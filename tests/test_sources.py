@@ -1,12 +1,16 @@
 """Sources and sinks against plain readers."""
 
+import datetime as dt
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.plans import market
+from eventloom.plans.fixtures import Inputs
 from eventloom.sources import json_splits, tables
+from eventloom.sources.resume import ResultStore
 
 TRICKY = ["", "}", "{", '"', '\\', '\\"', "a}b{c", '"}', '{"x": "}"}', "[{}]", "\n", "é}€", 'end\\\\', ",", "],[", "tab\t}", " }"]
 
@@ -85,3 +89,87 @@ def test_splits_are_written_and_read(spark, tmp_path):
     for fmt in ("csv", "json"):
         back = spark.read.schema("id long, text string").option("header", True).format(fmt).load(f"{tmp_path}/{fmt}").select("id", "text", F.col("split"))
         assert rows(back) == rows(df)
+
+
+# resumable results
+
+
+def test_results_resume_after_a_broken_run(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "results"), "k", bits=1 << 14)
+    df = spark.createDataFrame([(f"key {i}", i) for i in range(1000)] + [(None, -1)], "k string, v int")
+    assert store.remaining(df).count() == 1001 and store.finished() is None
+    store.commit(df.filter("v % 10 = 0 AND v >= 0"), "first")
+    store.commit(df.filter("v % 10 = 1"), "second")
+    df.filter("v % 10 = 2").write.parquet(str(tmp_path / "results/rows/batch=broken"))  # rows, but no filter
+    again = ResultStore(spark, str(tmp_path / "results"), "k", bits=1 << 14)
+    assert again.committed() == ["first", "second"] and again.finished().count() == 200
+    want = sorted(r["v"] for r in tables.remaining(df, again.finished(), "k").collect())
+    assert sorted(r["v"] for r in again.remaining(df).collect()) == want and len(want) == 801
+    may = again.possible(df).filter("_may")
+    assert {r["v"] for r in may.collect()} >= {i for i in range(1000) if i % 10 < 2} and may.count() < 260  # the others need no look
+    again.commit(df.filter("v % 10 = 2"), "broken")  # the run that broke off is done again
+    assert again.remaining(df).count() == 701
+    with pytest.raises(ValueError, match="committed"):
+        again.commit(df, "first")
+
+
+def test_a_full_filter_only_costs_time(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "results"), "k", bits=64)
+    df = spark.range(500).withColumnRenamed("id", "k")
+    store.commit(df.filter("k < 300"), "a")
+    assert sorted(r["k"] for r in store.remaining(df).collect()) == list(range(300, 500))
+
+
+# bars
+
+
+def test_stored_bars_need_no_exchange(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Inputs(spark, "/root/testdata/sf0.001")
+        bars = market.bucketed_bars(t.bars, "bars_in_buckets", str(tmp_path / "bars"))
+        days = {r["day"] for r in bars.select("day").distinct().collect()}
+        assert bars.count() == t.bars.count() and len(days) > 10
+        for made in (market.forward_return(t.filings, bars, t.benchmark_days), market.immediate_reaction(t.filings, bars, t.benchmark_days)):
+            made.collect()
+            plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+            scans = [i for i, x in enumerate(plan) if "Scan parquet" in x and "bars_in_buckets" in x]
+            assert len(scans) >= 2
+            for i in scans:  # up to the join that a scan feeds
+                above = depth(plan[i])
+                for x in reversed(plan[:i]):
+                    if depth(x) < above:
+                        above = depth(x)
+                        assert "Exchange" not in x
+                        if "Join" in x:
+                            break
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bars_in_buckets")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_momentum_by_lookups(spark, seed):
+    draw = random.Random(seed)
+    day = lambda n: dt.date(2023, 1, 1) + dt.timedelta(days=n)
+    bars = [(k, day(n), draw.uniform(1, 9)) for k in "ab" for n in draw.sample(range(700), 90 if k == "a" else 5)]
+    bench = [(day(n), draw.uniform(1, 9)) for n in range(0, 700, 3)]
+    events = [(i, k, day(n)) for i, (k, n) in enumerate([(draw.choice("abc"), draw.randrange(-50, 800)) for _ in range(60)])] + [(99, "a", None), (98, None, day(400))]
+    out = market.momentum(spark.createDataFrame(events, "i int, ticker string, filing_date date"), spark.createDataFrame(bars, "ticker string, day date, close double"), spark.createDataFrame(bench, "day date, close double"), [7, 90])
+
+    def change(rows, at, d):
+        held = sorted(x for x in rows if at - dt.timedelta(days=d + 10) <= x[0] < at)
+        return (held[-1][1] - held[0][1]) / held[0][1] * 100 if len(held) >= 2 else None
+
+    for r in out.collect():
+        for d in (7, 90):
+            at = r["filing_date"]
+            own, market_ = (None, None) if at is None else (change([b[1:] for b in bars if b[0] == r["ticker"]], at, d), change(bench, at, d))
+            assert r[f"momentum_{d}d"] == (None if own is None or market_ is None else pytest.approx(own - market_, abs=0.006))
+
+
+def test_momentum_meets_no_bar_by_bar(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    plan = market.momentum(t.filings, t.bars, t.benchmark_days, [7, 365])._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan.lower()  # no row for each month or bar of a window
