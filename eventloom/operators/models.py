@@ -78,10 +78,14 @@ def forest(preset: str, regression: bool = False, seed: int = 42, **kw) -> Estim
     return (RandomForestRegressor if regression else RandomForestClassifier)(seed=seed, **(FOREST_PRESETS[preset] | kw))
 
 
-def linear(kind: str, alpha: float, n: int, **kw) -> LinearRegression:
-    """ridge, lasso or elastic net; a ridge penalty is a sum over rows, so it is divided by them."""
+def linear(kind: str, alpha: float, n: int, spread: float = 1.0, **kw) -> LinearRegression:
+    """ridge, lasso or elastic net over n rows; a ridge penalty is a sum over rows, so it is divided by them.
+
+    Spark divides a squared penalty by the label's standard deviation, which is given as ``spread``.
+    """
     mix = {"ridge": 0.0, "lasso": 1.0, "elastic": 0.5}[kind]
-    return LinearRegression(regParam=alpha / n if kind == "ridge" else alpha, elasticNetParam=mix, standardization=False, **kw)
+    absolute, squared = alpha * mix, (alpha / n if kind == "ridge" else alpha * (1 - mix)) * spread
+    return LinearRegression(regParam=absolute + squared, elasticNetParam=absolute / (absolute + squared or 1.0), standardization=False, **kw)
 
 
 def boosted(**kw) -> GBTRegressor:
