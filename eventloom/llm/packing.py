@@ -181,6 +181,12 @@ def token_pieces(docs: DataFrame, vocabulary: bytes, pattern: str, capacity: int
     return arrow_map(rows, f"id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long", make)
 
 
+def bucketed(pieces: DataFrame, width: int) -> DataFrame:
+    """Add ``bucket``, by a hash of the piece; pieces without an id are told apart by their place."""
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    return pieces.withColumn("_place", place).withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "_place"), F.lit(width)).cast("int")).drop("_place")
+
+
 def packed(docs: DataFrame, vocabulary: bytes, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
@@ -196,7 +202,7 @@ def packed(docs: DataFrame, vocabulary: bytes, pattern: str, capacity: int, end_
     as many buckets as the shuffle is wide.
     """
     spark, width = docs.sparkSession, shuffle_width(docs)
-    pieces = materialized(token_pieces(docs, vocabulary, pattern, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(width)).cast("int")))
+    pieces = materialized(bucketed(token_pieces(docs, vocabulary, pattern, capacity, end_id, id_col, text_col), width))
     counted = materialized(pieces.groupBy("length", "bucket").count())
     plan = best_fit_plan({r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

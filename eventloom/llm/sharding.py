@@ -80,25 +80,28 @@ def sharded(docs: DataFrame, shards: int, seed: int = 20, id_col: str = "doc_id"
     repeated rows are dealt like any others (fully equal rows may trade
     places); an empty table gives no rows; other columns are not read.
 
-    The text never leaves its scan: 20 bytes a row are exchanged. A block, and
-    a bucket of a shard, hold about 2000 rows at any size of the input, and the
-    result does not depend on the cluster's.
+    The text never leaves its scan: 20 bytes a row are stored and exchanged. A
+    block, and a bucket of a shard, hold about 2000 rows at any size of the
+    input, also of rows without an id, and the result does not depend on the
+    cluster's (but for rows without an id, which go by their place).
     """
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
-    n = docs.count()
+    salt = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without an id are told apart by their place
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), salt.alias("salt"))
+    rows = materialized(rows)
+    n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     buckets = -(-blocks // shards)
 
     def pick(step: int) -> F.Column:
-        return F.xxhash64(F.lit(seed + step), "id", "crc")
+        return F.xxhash64(F.lit(seed + step), "id", "crc", "salt")  # as without a salt, where it is null
 
     dealt = rows.withColumn("block", F.pmod(pick(1), F.lit(blocks)).cast("long"))
     matrix = communication_matrix(materialized(dealt.groupBy("block").agg(F.count("*").alias("n"))), blocks, shards, seed)
     inside = Window.partitionBy("block").orderBy(pick(2), "id", "size", "crc")
     placed = dealt.withColumn("place", F.row_number().over(inside)).join(matrix, "block")
-    sent = placed.select("id", "size", "crc", F.expr("size(filter(bounds, b -> b < place))").alias("shard"), F.pmod(pick(3), F.lit(buckets)).cast("int").alias("bucket"))
+    sent = placed.select("id", "size", "crc", "salt", F.expr("size(filter(bounds, b -> b < place))").alias("shard"), F.pmod(pick(3), F.lit(buckets)).cast("int").alias("bucket"))
     sent = materialized(sent)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = sent.groupBy("shard", "bucket").count()

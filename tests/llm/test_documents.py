@@ -155,6 +155,15 @@ def test_matrix_is_a_tree_of_draws(spark, monkeypatch):
     assert (sums > 0).all()
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    blocks = []
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *a, f=sharding.communication_matrix: blocks.extend(r["n"] for r in counts.collect()) or f(counts, *a))
+    out = sharded(spark.createDataFrame([(None, "same text")] * 10_000, "doc_id long, text string").repartition(3), 16).collect()
+    assert len(blocks) == 20 and max(blocks) < 1000
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(s, i) for s in range(16) for i in range(625)]
+
+
 def test_shards_do_not_depend_on_the_cluster(docs, spark):
     rows = lambda: sorted((r["text_crc32"], r["shard"], r["slot"]) for r in sharded(docs.filter("doc_id < 9000"), 16).collect())
     first = rows()

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from eventloom.llm import byte_bpe
 from eventloom.llm.byte_bpe import ByteRanks, TreeCodec, decoded, encoded, round_trip
-from eventloom.llm.packing import UnitEncoder, best_fit_plan, packed
+from eventloom.llm.packing import UnitEncoder, best_fit_plan, bucketed, packed
 from eventloom.llm.token_counts import token_counts
 
 RANKS = Path(P.path("byte_bpe_50k.tiktoken")).read_bytes()
@@ -145,3 +145,10 @@ def test_empty_tables(no_docs):
     assert round_trip(no_docs, RANKS, P.PATTERN).count() == 0
     assert token_counts(no_docs, WORDS, 10).count() == 0
     assert packed(no_docs, BYTES, P.PATTERN, 256).count() == 0
+
+
+def test_pieces_without_an_id_are_spread(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 5, 77)] * 10_000 + [(i, 0, 0, 5, 77) for i in range(100)], "id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    sizes = [r["count"] for r in bucketed(pieces.filter("id IS NULL"), 16).groupBy("bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1000
+    assert bucketed(pieces, 16).columns == [*pieces.columns, "bucket"]
