@@ -18,12 +18,12 @@ from .tables import exists
 
 @dataclass(frozen=True)
 class ResultStore:
-    """Results by ``key`` under ``path``. The merged filter has ``bits`` bits (a multiple of 64) and is broadcast, 8 MB by default; one that is too full only sends more rows to the join."""
+    """Results by ``key`` under ``path``. The merged filter has ``bits`` bits (a multiple of 64) and is broadcast, 2 MB by default; one that is too full only sends more rows to the join."""
 
     spark: SparkSession
     path: str
     key: str
-    bits: int = 1 << 26
+    bits: int = 1 << 24
     hashes: int = 5
 
     def _places(self) -> Column:
