@@ -136,19 +136,27 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     ranked = avg_rank(avg_rank(df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull()), actual, "_ra"), predicted, "_rp")
     a, p = F.col(actual), F.col(predicted)
     err = a - p
-    out = ranked.agg(F.count("*").alias("n"), F.corr(a, p).alias("pearson"), F.corr("_ra", "_rp").alias("spearman"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(a).alias("_v"))
-    return out.withColumn("r2", 1 - F.col("mse") / F.col("_v")).withColumn("rmse", F.sqrt("mse")).drop("_v")
+    out = ranked.agg(F.count("*").alias("n"), pearson(a, p).alias("pearson"), pearson(F.col("_ra"), F.col("_rp")).alias("spearman"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(a).alias("_v"))
+    return out.withColumn("r2", 1 - F.try_divide("mse", "_v")).withColumn("rmse", F.sqrt("mse")).drop("_v")
 
 
 def regression_gaps(df: DataFrame, split: str, actual: str, predicted: str) -> DataFrame:
     """Correlation, R2, MAE and RMSE of each split, and how far each falls behind those of ``train``."""
     a, p = F.col(actual), F.col(predicted)
     err = a - p
-    each = df.groupBy(split).agg(F.count("*").alias("n"), F.corr(a, p).alias("pearson"), (1 - F.avg(err * err) / F.var_pop(a)).alias("r2"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    each = df.groupBy(split).agg(F.count("*").alias("n"), pearson(a, p).alias("pearson"), (1 - F.try_divide(F.avg(err * err), F.var_pop(a))).alias("r2"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
     train = each.filter(F.col(split) == "train").agg(F.first(F.struct("pearson", "r2", "mae", "rmse"))).scalar()
     return each.withColumn("_t", train).select(*each.columns, *[(F.col(f"_t.{c}") - F.col(c)).alias(f"{c}_gap") for c in ("pearson", "r2", "mae", "rmse")])
 
 
+def pearson(a: Column, p: Column) -> Column:
+    """Correlation of the rows that have both; not a number where one of them doesn't vary, null without rows."""
+    both = a.isNotNull() & p.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, p.cast("double"))
+    # by covariance and deviations: Spark's corr divides by zero there, which is an error
+    return F.when(F.count(x) > 0, F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(float("nan"))))
+
+
 def magnitude_bucket(c: Column) -> Column:
     m = F.abs(c)
     return F.when(m < 1, "<1").when(m < 3, "1-3").when(m < 5, "3-5").otherwise(">=5")
@@ -156,8 +164,7 @@ def magnitude_bucket(c: Column) -> Column:
 
 def metrics_by_magnitude(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     a, p = F.col(actual), F.col(predicted)
-    corr = F.corr(a, p)
-    return df.groupBy(magnitude_bucket(a).alias("bucket")).agg(F.count("*").alias("n"), F.avg(F.abs(a - p)).alias("mae"), F.coalesce(F.when(F.isnan(corr), 0.0).otherwise(corr), F.lit(0.0)).alias("corr"))
+    return df.groupBy(magnitude_bucket(a).alias("bucket")).agg(F.count("*").alias("n"), F.avg(F.abs(a - p)).alias("mae"), F.coalesce(pearson(a, p), F.lit(0.0)).alias("corr"))
 
 
 def extreme_metrics(df: DataFrame, actual: str, predicted: str, id_col: str) -> DataFrame:
@@ -165,7 +172,7 @@ def extreme_metrics(df: DataFrame, actual: str, predicted: str, id_col: str) ->
     placed = global_position(df.withColumn("_size", F.coalesce(-F.abs(predicted), F.lit(float("inf")))), ["_size", id_col], "_r")
     top = placed.filter(F.col("_r") < F.greatest(F.lit(10), F.floor(F.col("_n") / 10)))
     a, p = F.col(actual), F.col(predicted)
-    return top.agg(F.count("*").alias("n"), F.corr(a, p).alias("corr"), F.avg(F.abs(a - p)).alias("mae"), F.avg((F.signum(a) == F.signum(p)).cast("double")).alias("sign_agreement"))
+    return top.agg(F.count("*").alias("n"), pearson(a, p).alias("corr"), F.avg(F.abs(a - p)).alias("mae"), F.avg((F.signum(a) == F.signum(p)).cast("double")).alias("sign_agreement"))
 
 
 def confidence_curve(df: DataFrame, actual: str, probability: str, thresholds: list[float]) -> DataFrame:
