@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .products import best_products
+
 
 def chunk_fixed(df: DataFrame, id_col: str, text_col: str, width: int = 700, step: int = 600, least: int = 100) -> DataFrame:
     """Chunks of a width at every step; short ones go, and positions count those kept."""
@@ -86,6 +88,35 @@ def keyword_score(weights: DataFrame, queries: DataFrame, id_col: str, k: int =
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def keyed_vectors(weights: DataFrame, id_col: str) -> DataFrame:
+    """(id, n, v): each document's terms as (at, weight), by the numbers of all n terms in use, which a vocabulary bounds."""
+    terms = F.array_sort(F.collect_set("term"))
+    known = weights.agg(terms.alias("t")).select(F.posexplode("t").alias("at", "term"), F.size("t").alias("n"))
+    held = weights.join(F.broadcast(known), "term").groupBy(id_col)
+    return held.agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "weight")).alias("v"))
+
+
+def keyword_best(held: DataFrame, queries: DataFrame, id_col: str, k: int = 10, places: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k of the ``keyed_vectors`` with the largest product to each query (query_id, n, v), by all products.
+
+    Scores are rounded, ties go to the smaller id; documents that share no term with a query are not found.
+    """
+    rows, asked = held.select(F.lit(0).alias("g"), F.col(id_col).alias("id"), "v", "n"), queries.select(F.col("query_id").alias("q"), "v", "n")
+    found = best_products(rows, asked, k, places, F.col("n"), shared=True)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("id").alias(id_col), "score", "rank")
+
+
+def best_scored(chunks: DataFrame, queries: DataFrame, group: str, chunk: str, vector: str, query_vector: str, query_id: str, each: int = 3, places: int = 6, distance: bool = False) -> DataFrame:
+    """(group, chunk, query_id, score): for each query and group the ``each`` chunks of largest cosine (or least 1 - cosine) and more, by all products.
+
+    Vectors without a direction, or of another length than a query's, are not found by it.
+    """
+    rows = chunks.select(F.col(group).alias("g"), F.col(chunk).alias("id"), unit(F.col(vector)).alias("v"))
+    found = best_products(rows, queries.select(F.col(query_id).alias("q"), unit(F.col(query_vector)).alias("v")), each, places, distance=distance)
+    return found.select(F.col("g").alias(group), F.col("id").alias(chunk), F.col("q").alias("query_id"), "score")
+
+
 def hybrid_search(semantic: DataFrame, keyword: DataFrame, keys: list[str], alpha: float = 0.7, top: int = 10) -> DataFrame:
     """alpha of the semantic score, counted for the top chunks only, and the rest of the keyword score."""
     by = [k for k in keys if k != keys[-1]]

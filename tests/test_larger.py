@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import metrics, portfolio, ranking
+from eventloom.operators import metrics, portfolio, products, ranking, vector_index
 
 
 def test_correlation_where_a_column_does_not_vary(spark):
@@ -33,3 +33,22 @@ def test_drawdown_over_ranges(spark):
     top = np.maximum.accumulate(total)
     assert portfolio.max_drawdown(df, ["id"], ["r"], legacy=False).first()["r"] == pytest.approx((total - top).min())
     assert portfolio.max_drawdown(df, ["id"], ["r"]).first()["r"] == pytest.approx(((total - top) / (top + 0.01) * 100).min())
+
+
+@pytest.mark.parametrize("distance", [False, True])
+def test_best_products_against_all_pairs(spark, distance, monkeypatch):
+    monkeypatch.setattr(products, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(5)
+    at = rng.integers(-3, 4, (700, 3)).astype(float) / 8  # many ties
+    rows = spark.createDataFrame([(i % 2, i, [float(x) for x in v]) for i, v in enumerate(at)], "g int, id long, v array<double>")
+    got = {}
+    for r in products.best_products(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "v"), 4, 6, distance=distance).collect():
+        got.setdefault((r["g"], r["q"]), []).append((r["score"] if distance else -r["score"], r["id"]))
+    for g in (0, 1):
+        for q in range(0, 700, 100):
+            scores = np.round(1 - at @ at[q] if distance else -(at @ at[q]), 6) + 0.0
+            assert sorted(got[g, q])[:4] == sorted((s, i) for i, s in enumerate(scores.tolist()) if i % 2 == g)[:4]
+
+
+def test_a_task_of_the_index_holds_little():
+    assert 3 * 8 * vector_index.QUERY_ROWS * vector_index.PART_ROWS < 400_000_000  # scores, their negatives and their order
