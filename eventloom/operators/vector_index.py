@@ -27,7 +27,7 @@ SAMPLE = 100_000
 #: Vectors of a list that one task compares at a time; a larger list is dealt into parts.
 PART_ROWS = 50_000
 #: Queries that are held against a part at a time.
-QUERY_ROWS = 2_048
+QUERY_ROWS = 256
 #: Slack of a bound, for rounding: distances of unit vectors are at most 2.
 SLACK = 1e-9
 
