@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .ranking import global_position
 
@@ -33,64 +34,189 @@ def grams(words: Column, most: int) -> Column:
     return F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
-def _terms(df: DataFrame, id_col: str, text_col: str, most: int, stop: list[str], distinct: bool = False) -> DataFrame:
-    """(id, term, tf, df): a row with tf 1 for each n-gram and, where it is asked for, one with df 1 for each that a document has."""
-    one = lambda g, tf, n: F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(n).alias("df")))
-    # as the variable of a one-element transform, the words are made once for all grams of a text
-    both = lambda g: F.concat(one(g, 1, 0), one(F.array_distinct(g), 0, 1)) if distinct else one(g, 1, 0)
-    each = F.transform(F.transform(F.array(tokens(F.col(text_col), stop)), lambda words: grams(words, most)), both)[0]
-    return df.select(id_col, F.explode(each).alias("_t")).select(id_col, "_t.*")
+#: Words of a slice of a batch that are counted at a time.
+SLICE_WORDS = 500_000
 
 
-#: A sketch that tracks m items misses none with over 3.5 / m of all occurrences, nor shows one unless it has so many beyond its own error.
-SKETCH_ERROR = 7.0
-#: Terms that a sketch tracks for each of the vocabulary's: a term's share falls about with its rank.
-TRACKED = 140
-#: Tasks whose sketches meet in a first step.
-MERGED = 64
+def _worded(df: DataFrame, text_col: str, stop: list[str], *kept: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in kept], tokens(F.col(text_col), stop).alias("_w"))
+
+
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    """Slices of batches with their words and each word's row."""
+    for batch in parts:
+        words = pc.sum(pc.list_value_length(batch.column("_w"))).as_py() or 0
+        step = max(1, batch.num_rows * SLICE_WORDS // max(words, 1))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            held = part.column("_w")
+            yield part, np.repeat(np.arange(part.num_rows), pc.list_value_length(held).to_numpy()), held.flatten().dictionary_encode()
+
+
+def _runs(row: np.ndarray, n: int) -> np.ndarray:
+    """Where n words of one row begin."""
+    return np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
+
+
+def _terms(df: DataFrame, text_col: str, most: int, stop: list[str], keep: int | None = None) -> DataFrame:
+    """(term, tf, df): n-grams with their occurrences and documents in a part of the rows.
+
+    With ``keep``, a task tells the occurrences of so many terms at most, as
+    Misra and Gries do: where it has more, what the next one has is taken from
+    all, which for no term is more than a ``keep``-th of the task's occurrences.
+    A row without a term has their number; documents are not counted.
+    """
+
+    def counted(row: np.ndarray, words: pa.DictionaryArray) -> Iterator[pa.RecordBatch]:
+        at, name = words.indices.to_numpy().astype(np.int64), words.dictionary
+        code, size = at, max(1, len(name))
+        for n in range(1, most + 1):
+            starts = _runs(row, n)
+            if n > 1:  # by the run of one word less and the word behind it
+                keys, code_ = np.unique(code[starts] * size + at[starts + n - 1], return_inverse=True)
+                name = pc.binary_join_element_wise(name.take(pa.array(keys // size)), words.dictionary.take(pa.array(keys % size)), " ")
+                code = np.full(len(row), -1)
+                code[starts] = code_
+            tf = np.bincount(code[starts], minlength=len(name))
+            docs = starts[:0]
+            if keep is None and len(starts):
+                docs = np.unique(code[starts] * (int(row[-1]) + 1) + row[starts]) // (int(row[-1]) + 1)
+            yield pa.RecordBatch.from_arrays([name, pa.array(tf, pa.int64()), pa.array(np.bincount(docs, minlength=len(name)), pa.int64())], ["term", "tf", "df"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, held = 0, None
+        for _, row, words in _slices(parts):
+            found = list(counted(row, words))
+            if keep is None:
+                yield from found
+                continue
+            every += sum(pc.sum(x.column("tf")).as_py() or 0 for x in found)
+            table = pa.Table.from_batches([*found, *(held.to_batches() if held else [])]).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
+            held = cut(table.rename_columns(["term", "tf", "df"]))
+        if held is not None:
+            yield from held.to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([every]), pa.array([0])], ["term", "tf", "df"])
+
+    def cut(table: pa.Table) -> pa.Table:
+        tf = table.column("tf").to_numpy()
+        if len(tf) <= keep:
+            return table
+        less = tf - np.partition(tf, len(tf) - keep - 1)[len(tf) - keep - 1]
+        return table.set_column(1, "tf", pa.array(less)).filter(pa.array(less > 0))
+
+    return _worded(df, text_col, stop).mapInArrow(run, "term string, tf long, df long")
+
+
+class _Known:
+    """Terms by their words: for each number of words the sorted pairs of a run of one less and its last word, and the terms that these are."""
+
+    def __init__(self, terms: list[str]):
+        split, number = [tuple(t.split(" ")) for t in terms], {t: i for i, t in enumerate(terms)}
+        self.words = sorted({w for t in split for w in t})
+        place, self.levels = {(w,): i for i, w in enumerate(self.words)}, []
+        at = {w: i for i, w in enumerate(self.words)}
+        self.single = np.array([number.get(w, -1) for w in self.words], np.int64)
+        for n in range(2, max(map(len, split), default=1) + 1):
+            runs = {place[t[: n - 1]] * len(at) + at[t[n - 1]]: t[:n] for t in split if len(t) >= n}
+            keys = sorted(runs)
+            self.levels.append((np.array(keys, np.int64), np.array([number.get(" ".join(runs[k]), -1) for k in keys], np.int64)))
+            place = {runs[k]: i for i, k in enumerate(keys)}
+
+    def found(self, row: np.ndarray, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term's number) of every occurrence."""
+        known = pc.fill_null(pc.index_in(words.dictionary, pa.array(self.words, pa.string())), -1).to_numpy().astype(np.int64)
+        at = known[words.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(at >= 0)
+        node = at[starts]
+        rows, terms = [row[starts]], [self.single[node]]
+        for n, (keys, number) in enumerate(self.levels, 2):
+            goes = starts + n - 1 < len(row)
+            starts, node = starts[goes], node[goes]
+            goes = (row[starts] == row[starts + n - 1]) & (at[starts + n - 1] >= 0)
+            starts, node = starts[goes], node[goes]
+            key = node * len(self.words) + at[starts + n - 1]
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            goes = keys[node] == key
+            starts, node = starts[goes], node[goes]
+            rows.append(row[starts])
+            terms.append(number[node])
+        row, term = np.concatenate(rows), np.concatenate(terms)
+        return row[term >= 0], term[term >= 0]
+
+
+def _counts(df: DataFrame, text_col: str, stop: list[str], terms: list[str]) -> DataFrame:
+    """(term, tf, df) of some terms in each task's rows."""
+    sent = df.sparkSession.sparkContext.broadcast(terms)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(sent.value)
+        tf, docs = (np.zeros(len(sent.value), np.int64) for _ in range(2))
+        for part, row, words in _slices(parts):
+            row, term = known.found(row, words)
+            tf += np.bincount(term, minlength=len(tf))
+            docs += np.bincount(np.unique(row * len(tf) + term) % max(1, len(tf)), minlength=len(tf))
+        some = np.flatnonzero(tf)
+        yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in some], pa.string()), pa.array(tf[some]), pa.array(docs[some])], ["term", "tf", "df"])
+
+    return _worded(df, text_col, stop).mapInArrow(run, "term string, tf long, df long")
+
+
+#: The terms that are not among the first m of the merged tasks have no more than 2 / m of all occurrences: an m-th is cut, an m-th is left.
+SKETCH_ERROR = 2.0
+#: Terms that a task tells for each of the vocabulary's: a term's share falls about with its rank.
+TRACKED = 40
 
 
 def candidates(terms: DataFrame, tracked: int) -> tuple[DataFrame, float]:
-    """Terms (at most ``tracked``) that mergeable sketches of frequent items show, and how often any other may occur at most."""
-    group = F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_g")
-    parts = terms.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("s"), F.count("*").alias("n"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"), "n").first()
-    if whole is None or not whole["n"]:
-        return terms.select("term").limit(0), 0.0
-    found = terms.sparkSession.createDataFrame([(r["item"],) for r in whole["top"]], "term string")
-    return found, SKETCH_ERROR / tracked * whole["n"]
+    """The first terms (at most ``tracked``) that tasks' cut counts show, and how often any other may occur at most."""
+    told = terms.groupBy("term").agg(F.sum("tf").alias("tf")).orderBy(F.col("term").isNotNull(), F.desc("tf"), "term").limit(tracked + 1).collect()
+    n = told[0]["tf"] if told else 0
+    return terms.sparkSession.createDataFrame([(r["term"],) for r in told[1:]], "term string"), SKETCH_ERROR / tracked * n
 
 
 def vocabulary(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000, min_df: int = 1, max_df: float = 1.0, most: int = 2, stop: list[str] = STOP_WORDS, tracked: int | None = None) -> DataFrame:
     """(term, df, total, idf): the ``max_features`` terms of most occurrences among those in at least ``min_df`` and at most a share ``max_df`` of the documents.
 
-    Sketches of each task's frequent terms are merged, and what they show is
-    counted exactly; if the last term taken has more occurrences than any that
-    the sketches did not show, that is the vocabulary. Otherwise all terms are
-    counted. Either way the result is exact. Only candidates are shuffled, one
-    row for each task; ``tracked`` (a power of two by default) bounds them, and
-    they are broadcast.
+    Each task's frequent terms are merged, and what they show is counted
+    exactly; if the last term taken has more occurrences than any that was not
+    shown, that is the vocabulary. Otherwise all terms are counted. Either way
+    the result is exact. Only candidates are shuffled, ``tracked`` rows for each
+    task at most (a power of two by default), and sent to the tasks that count.
     """
     n = df.count()
     m = tracked or 1 << max(14, (TRACKED * max_features - 1).bit_length())
-    shown, unseen = candidates(_terms(df, id_col, text_col, most, stop), m)
-    each = _terms(df, id_col, text_col, most, stop, distinct=True)
+    shown, unseen = candidates(_terms(df, text_col, most, stop, m), m)
 
     def counted(rows: DataFrame) -> list:
         counts = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
         return counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "term").limit(max_features).collect()  # max_features rows
 
-    rows = counted(each.join(F.broadcast(shown), "term"))
+    rows = counted(_counts(df, text_col, stop, [r["term"] for r in shown.collect()]))
     # a term that was not shown is in fewer documents than it occurs
     if unseen >= max(1, min_df) and (len(rows) < max_features or rows[-1]["total"] <= unseen):
-        rows = counted(each)
+        rows = counted(_terms(df, text_col, most, stop))
     known = df.sparkSession.createDataFrame([(r["term"], r["df"], r["total"]) for r in rows], "term string, df long, total long")
     return known.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
 def term_weights(df: DataFrame, id_col: str, text_col: str, known: DataFrame, most: int = 2, sublinear: bool = True, stop: list[str] = STOP_WORDS) -> DataFrame:
-    """(id, term, weight) over a vocabulary (term, idf) that may be another table's: optional sublinear tf, rows of length 1. Ids are distinct."""
-    tf = _terms(df, id_col, text_col, most, stop).join(F.broadcast(known.select("term", "idf")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    """(id, term, weight) over a vocabulary (term, idf) that may be another table's: optional sublinear tf, rows of length 1. Ids are distinct.
+
+    A task counts its documents' terms, so that a row for each document and term is shuffled, once, by the document.
+    """
+    # the vocabulary's max_features rows; terms of more words than asked for are not looked for
+    sent = df.sparkSession.sparkContext.broadcast([t for (t,) in known.select("term").collect() if t.count(" ") < most])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked, names = _Known(sent.value), pa.array(sent.value, pa.string())
+        for part, row, words in _slices(parts):
+            row, term = looked.found(row, words)
+            pairs, tf = np.unique(row * len(names) + term, return_counts=True)
+            yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(pairs // max(1, len(names)))), names.take(pa.array(pairs % max(1, len(names)))), pa.array(tf, pa.int64())], [id_col, "term", "tf"])
+
+    kind = StructType([df.schema[id_col], StructField("term", StringType()), StructField("tf", LongType())])
+    each = _worded(df, text_col, stop, id_col).mapInArrow(run, kind).join(F.broadcast(known.select("term", "idf")), "term")
+    tf = each.repartition(id_col).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf"))
     raw = tf.withColumn("w", (1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf"))
     return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
 

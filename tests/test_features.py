@@ -54,6 +54,27 @@ def test_only_candidates_are_shuffled(spark):
     assert any("BroadcastHashJoin" in x for x in lines[first:])  # the join that keeps the vocabulary's terms is below the exchange
 
 
+def test_terms_are_counted_before_they_leave_a_task(spark):
+    rows = texts(80)
+    df = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    held, total = counted(rows)
+    told = {r["term"]: (r["tf"], r["df"]) for r in features._terms(df, "t", 2, features.STOP_WORDS).collect()}
+    assert told == {t: (n, held[t]) for t, n in total.items()}
+    cut = {r["term"]: r["tf"] for r in features._terms(df, "t", 2, features.STOP_WORDS, 40).collect()}
+    assert cut.pop(None) == sum(total.values()) and len(cut) <= 40
+    assert all(0 <= n - cut.get(t, 0) <= sum(total.values()) / 41 for t, n in total.items())
+
+
+def test_weights_of_longer_runs(spark):
+    rows = [(1, "aa bb cc aa bb cc dd"), (2, "bb cc dd"), (3, "zz"), (4, None)]
+    known = spark.createDataFrame([(t, 2.0) for t in ["aa bb cc", "bb cc dd", "cc", "bb cc", "qq rr"]], "term string, idf double")
+    found = features.term_weights(spark.createDataFrame(rows, "i long, t string"), "i", "t", known, 3, sublinear=False, stop=[])
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each occurrence
+    tf = {1: {"aa bb cc": 2, "bb cc dd": 1, "cc": 2, "bb cc": 2}, 2: {"bb cc dd": 1, "cc": 1, "bb cc": 1}}
+    got = {(r["i"], r["term"]): r["weight"] for r in found.collect()}
+    assert got == pytest.approx({(i, t): n / math.sqrt(sum(x * x for x in own.values())) for i, own in tf.items() for t, n in own.items()})
+
+
 def test_term_vectors(spark):
     rows = texts(60)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "i long, t string, _i string")
