@@ -50,9 +50,9 @@ class TextModel:
         return cls(spark.read.parquet(f"{path}/vocabulary"), PipelineModel.load(f"{path}/stages"), id_col, text_col)
 
 
-def with_text_vector(df: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
-    """``df`` with its texts' TF-IDF over a fitted vocabulary as a sparse vector ``text_vector``."""
-    return term_vectors(df, id_col, term_weights(df, id_col, text_col, known), known)
+def with_text_vector(df: DataFrame, id_col: str, text_col: str, known: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``df`` with its texts' TF-IDF over a fitted vocabulary as a sparse vector ``text_vector``; the texts themselves need not be joined with it."""
+    return term_vectors(df if keep_text else df.drop(text_col), id_col, term_weights(df, id_col, text_col, known), known)
 
 
 def feature_sets(numeric: list[str], market: list[str]) -> dict[str, VectorAssembler]:
