@@ -291,6 +291,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, nu
             yield part.select(["a", "b"]).filter(keep)
 
     near = materialized(probed.select("a", "b", "bitsa", "bitsb", "na", "nb").mapInArrow(probe, "a long, b long").distinct())
+    release(docs.sparkSession)
     needed = picked(docs, near.select(F.explode(F.array("a", "b")).alias("id")))
     text = lambda x: needed.select(F.col("id").alias(x), F.col("text").alias("text" + x))
     full = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "texta", "textb")
@@ -307,7 +308,9 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, nu
                 out.append(den * both >= num * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return materialized(full.mapInArrow(compare, "a long, b long"))
+    similar = materialized(full.mapInArrow(compare, "a long, b long"))
+    release(docs.sparkSession)
+    return similar
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,7 +339,10 @@ def incidences(shared: DataFrame, label: DataFrame) -> DataFrame:
     grouped = shared.join(known, "id", "left").select("code", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     best = F.max(F.struct("size", (-F.col("component")).alias("back"))).alias("best")
     pivots = materialized(grouped.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high"), best).filter("low < high").select("code", (-F.col("best.back")).alias("p"), F.col("best.size").alias("p_size")))
-    return materialized(grouped.join(pivots, "code").filter("id != p").select("p", "p_size", "id", "component").distinct())
+    release(shared.sparkSession)
+    found = materialized(grouped.join(pivots, "code").filter("id != p").select("p", "p_size", "id", "component").distinct())
+    release(shared.sparkSession)
+    return found
 
 
 _DIFFERENCES = "p long, p_size long, id long, component long, mark long, n long, m long, d long, near boolean, far boolean, inner boolean, sketch array<bigint>, added array<bigint>, lost array<bigint>"
@@ -360,6 +366,7 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], near], [*keys, "near"])
 
     told = stored(probed.mapInArrow(probe, "p long, p_size long, id long, component long, near boolean").groupBy(*keys).agg(F.max("near").alias("near")))
+    release(docs.sparkSession)
     near = told.filter("near").drop("near")
     needed = picked(docs, near.select(F.explode(F.array("p", "id")).alias("id")))
     text = lambda x: needed.select(F.col("id").alias(x), F.col("text").alias("text" + x))
@@ -417,6 +424,7 @@ def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
     other = F.greatest(F.col("d") - most, F.when(F.col("inner"), least).otherwise(0))
     needed = F.greatest(F.ceil((F.col("d") + other - most) / 2), F.lit(1))
     kept = materialized(placed.filter(F.col("pos") <= F.col("d") - needed).drop("m", "lost", "times", "mark"))
+    release(told.sparkSession)
     again = kept.select("p", "shingle", *[F.col(c).alias("other_" + c) for c in kept.columns if c not in ("p", "shingle")])
     most = F.floor((F.col("n") + F.col("other_n")) * (den - num) / (den + num))
     total = F.col("d") + F.col("other_d") - most
@@ -442,6 +450,7 @@ def pairs_of_strangers(told: DataFrame, docs: DataFrame, words: int, num: int, d
     far = materialized(told.filter("far").select("id", "component").distinct().join(homes, "id", "left"))
     own = docs.join(F.broadcast(far) if far.count() <= BROADCAST_IDS else far, "id")
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(own, words, num, den))
+    release(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value
@@ -466,6 +475,8 @@ def pairs_of_strangers(told: DataFrame, docs: DataFrame, words: int, num: int, d
     spot = Window.partitionBy("shingle")
     marked = rare.withColumns({"low": F.min("component").over(spot), "high": F.max("component").over(spot), "one": F.min("home").over(spot), "two": F.max("home").over(spot), "at_home": F.count("home").over(spot), "all": F.count("*").over(spot)})
     rare = materialized(marked.filter("low < high AND (at_home < all OR one < two)").select(*rare.columns))
+    del marked
+    release(docs.sparkSession)
     again = rare.select("shingle", *[F.col(c).alias("other_" + c) for c in ("id", "component", "home", "n", "pos")])
     may = ((F.col("n") - F.col("pos")) * (den + num) >= num * (F.col("n") + F.col("other_n"))) & ((F.col("other_n") - F.col("other_pos")) * (den + num) >= num * (F.col("n") + F.col("other_n")))
     strangers = F.col("home").isNull() | F.col("other_home").isNull() | (F.col("home") != F.col("other_home"))
@@ -498,6 +509,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     gone = text_copies.select("id", "a", "b").distinct()
     own = texts.join(F.broadcast(gone) if text_copies.count() <= BROADCAST_IDS else gone, ["id", "a", "b"], "left_anti")
     first_pass = stored(sharing(emitted(own, words, scheme, BUCKETS * width), width))
+    release(docs.sparkSession)  # the packed signatures' shuffle, the largest
     facts = stored(first_pass.filter("code IS NULL").drop("code"))
     equal = materialized(facts.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     copies = materialized(facts.join(equal, ["n", "h1", "h2"]).select("id", "first").distinct())

@@ -13,6 +13,7 @@ from eventloom.llm import common, sharding
 from eventloom.llm import substring_dedup as sub
 from eventloom.llm.fingerprints import anchors, code_points, edited_anchors, fingerprints, hashes_in, in_order, likeness, scheme_of, syncmers, written
 from eventloom.llm.line_dedup import LineRuns, line_dedup, without_shared_lines
+from eventloom.llm import ngram_join
 from eventloom.llm.ngram_join import PartEnum, may_link, near_duplicates, one_of_each, parity_bits
 from eventloom.llm.quality_rules import passing, quality_rules
 from eventloom.llm.sharding import hypergeometric_sql, sharded
@@ -372,6 +373,14 @@ def test_near_duplicates(docs, rows, k, percent):
     assert Counter(map(tuple, near_duplicates(docs, k, percent).collect())) == components(rows, k, percent)
 
 
+def test_shuffles_are_freed_between_steps(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, f=ngram_join.stored: seen.append("stored") or f(df))
+    monkeypatch.setattr(ngram_join, "release", lambda s: seen.append("freed"))
+    near_duplicates(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h i")], "doc_id long, text string"), 3, 90)
+    assert seen[:3] == ["stored", "stored", "freed"]  # the signatures' shuffle goes before they are joined
+
+
 def test_near_duplicates_on_chains(spark):
     rng, rows = np.random.default_rng(3), []
     for family in range(12):
