@@ -47,6 +47,8 @@ BROADCAST_BYTES = 16_000_000
 FREQUENT_SHINGLES = 1_000_000
 #: Ids that may be broadcast (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Differing shingles are shuffled in rounds of about so many, in a number of rounds at most: a round's files go before the next one's come.
+ROUND_ROWS, ROUNDS = 2_000_000, 8
 _CODE_BITS = 40
 
 
@@ -398,6 +400,14 @@ def differences(found: DataFrame, facts: DataFrame, docs: DataFrame, words: int,
     return out
 
 
+def once_each(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key; only rows whose key is counted to be there again are shuffled."""
+    again = materialized(rows.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").select(*key))
+    if not again.limit(1).count():
+        return rows
+    return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+
+
 def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of different components that may be linked, from the shingles in which both differ from one pivot.
 
@@ -406,15 +416,25 @@ def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
     or more unless both are linked with the pivot. In an order that all share
     (what the pivot lacks first, the rare first), the first common one comes
     before the last that many of both. X and Y also differ in no fewer
-    shingles than their parities do.
+    shingles than their parities do. Rounds divide the shingles, so that what
+    is shuffled of them at a time is a part.
     """
     key = ["p", "id", "mark"]
-    near = told.filter("near").dropDuplicates(key)
+    near = once_each(told.filter("near"), key)
     sides = [near.select(*key, "component", "inner", F.explode(c).alias("shingle"), F.lit(c == "lost").alias("lost")) for c in ("added", "lost")]
     each = sides[0].union(sides[1])
-    spots = each.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("inner").alias("all_inner"), F.count("*").alias("times"))
-    spots = materialized(spots.filter("low < high AND NOT all_inner").select("p", "shingle", "times"))
-    at_spots = each.select(*key, "shingle", "lost").join(F.broadcast(spots) if spots.count() <= BROADCAST_IDS else spots, ["p", "shingle"])
+    total = near.agg(F.sum(F.size("added") + F.size("lost"))).first()[0] or 0
+    rounds = min(ROUNDS, total // ROUND_ROWS + 1)
+    found = []
+    for i in range(rounds):
+        own = each.filter(F.pmod(F.col("shingle"), F.lit(rounds)) == i)
+        spots = own.groupBy("p", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("inner").alias("all_inner"), F.count("*").alias("times"))
+        spots = materialized(spots.filter("low < high AND NOT all_inner").select("p", "shingle", "times"))
+        release(told.sparkSession)
+        found.append(stored(own.select(*key, "shingle", "lost").join(F.broadcast(spots) if spots.count() <= BROADCAST_IDS else spots, ["p", "shingle"])))
+        del spots
+        release(told.sparkSession)
+    at_spots = reduce(DataFrame.union, found)
     # all other shingles come before these: no document of another component has them
     order = Window.partitionBy(*key).orderBy("lost", "times", "shingle")
     facts = near.select(*key, "component", "n", "m", "d", "inner", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
@@ -424,6 +444,8 @@ def pairs_of_families(told: DataFrame, num: int, den: int) -> DataFrame:
     other = F.greatest(F.col("d") - most, F.when(F.col("inner"), least).otherwise(0))
     needed = F.greatest(F.ceil((F.col("d") + other - most) / 2), F.lit(1))
     kept = materialized(placed.filter(F.col("pos") <= F.col("d") - needed).drop("m", "lost", "times", "mark"))
+    for df in found:
+        discard(df)
     release(told.sparkSession)
     again = kept.select("p", "shingle", *[F.col(c).alias("other_" + c) for c in kept.columns if c not in ("p", "shingle")])
     most = F.floor((F.col("n") + F.col("other_n")) * (den - num) / (den + num))

@@ -381,6 +381,19 @@ def test_shuffles_are_freed_between_steps(spark, monkeypatch):
     assert seen[:3] == ["stored", "stored", "freed"]  # the signatures' shuffle goes before they are joined
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_differences_are_shuffled_in_rounds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "ROUND_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    freed = []
+    monkeypatch.setattr(ngram_join, "release", lambda s: freed.append(1))
+    told = [(1, 1, i, c, i, 10, 10, 3, True, False, False, [0] * 8, [7, x], [-9]) for i, c, x in ((2, 2, 8), (3, 3, 11), (4, 4, 13))]
+    told += told[-1:]  # a row that is there twice
+    got = ngram_join.pairs_of_families(spark.createDataFrame(told, ngram_join._DIFFERENCES), 80, 100)
+    assert len(freed) == 2 * rounds + 1  # after the spots of each round, after the rows at them, after all
+    assert sorted(map(tuple, got.collect())) == [(2, 3), (2, 4), (3, 4)]
+
+
 def test_near_duplicates_on_chains(spark):
     rng, rows = np.random.default_rng(3), []
     for family in range(12):
