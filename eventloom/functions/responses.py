@@ -110,11 +110,10 @@ def assemble_features(responses: DataFrame, key: str, tasks: list[str]) -> DataF
     are taken from it; of several answers to a task the largest holds.
     """
     task, said = F.col("task"), F.when(F.col("task").isin(tasks), F.col("response"))
-
-    def by_task(parsed: Column) -> Column:
-        return F.struct(*[F.when(task == t, F.struct(*[v.alias(k) for k, v in _columns(parsed, F.col("status"), t).items()])).alias(t) for t in tasks])
-
-    each = responses.select(key, _once(F.from_json(unfenced(said), _schema(tasks)), by_task).alias("_a"))
+    # a step of its own: what the next one names many times is then made once, and its columns are compiled
+    parsed = responses.select(key, "task", "status", F.from_json(unfenced(said), _schema(tasks)).alias("_p"))
+    by_task = F.struct(*[F.when(task == t, F.struct(*[v.alias(k) for k, v in _columns(F.col("_p"), F.col("status"), t).items()])).alias(t) for t in tasks])
+    each = parsed.select(key, by_task.alias("_a"))
     wide = each.groupBy(key).agg(*[F.max(f"_a.{t}").alias(t) for t in tasks])
     return wide.select(key, *[F.col(f"{t}.{name}").alias(name) for t in tasks for name in TASKS[t]])
 

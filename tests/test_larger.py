@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.functions import responses
 from eventloom.operators import metrics, portfolio, products, ranking, vector_index
 
 
@@ -52,3 +53,10 @@ def test_best_products_against_all_pairs(spark, distance, monkeypatch):
 
 def test_a_task_of_the_index_holds_little():
     assert 3 * 8 * vector_index.QUERY_ROWS * vector_index.PART_ROWS < 400_000_000  # scores, their negatives and their order
+
+
+def test_answers_are_parsed_once_in_compiled_columns(spark):
+    rows = spark.createDataFrame([(1, "tone", "success", "{}")], "id long, task string, status string, response string")
+    plan = responses.assemble_features(rows, "id", list(responses.TASKS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("transform(") == 1  # the one lambda is that of code fences
+    assert responses.assemble_features(rows, "id", list(responses.TASKS)).first()["tone_confidence"] == 0.5
