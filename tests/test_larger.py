@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import responses
-from eventloom.operators import metrics, portfolio, products, ranking, vector_index
+from eventloom.operators import metrics, models, portfolio, products, ranking, vector_index
+from eventloom.plans import fixtures, study_queries
 
 
 def test_correlation_where_a_column_does_not_vary(spark):
@@ -60,3 +61,10 @@ def test_answers_are_parsed_once_in_compiled_columns(spark):
     plan = responses.assemble_features(rows, "id", list(responses.TASKS))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and plan.count("transform(") == 1  # the one lambda is that of code fences
     assert responses.assemble_features(rows, "id", list(responses.TASKS)).first()["tone_confidence"] == 0.5
+
+
+def test_models_are_fitted_on_what_they_read(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "run_experiments", lambda train, test, *_: seen.append((train.columns, test.columns)) or train.count() * test.count())
+    assert study_queries.tree_models(fixtures.Inputs(spark, "/root/testdata/sf0.001")) > 0
+    assert seen == [(["features", "y"], ["features", "y"])]
