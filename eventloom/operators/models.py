@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .features import term_vectors, term_weights
 
@@ -101,21 +102,32 @@ def adaptive_features(n: int) -> dict[str, int]:
     return {"max_features": max(1, min(2000, n // 2)), "min_df": max(2, min(5, n // 100))}
 
 
-def fit_per_group(train: DataFrame, test: DataFrame, group: str, values: Iterable, make: Callable[[int], Estimator], least_train: int = 50, least_test: int = 10, label: str | None = None, prepare: Callable = lambda train, test, n: (train, test)) -> dict[str, DataFrame]:
-    """Predictions of a model of each listed group that has enough rows on both sides and, with ``label``, both classes in the test rows.
+def fit_per_group(train: DataFrame, test: DataFrame, group: str, values: Iterable | None, make: Callable[[int], Estimator], least_train: int = 50, least_test: int = 10, label: str | None = None, prepare: Callable = lambda train, test, n: (train, test), path: str | None = None) -> dict[str, DataFrame]:
+    """Predictions of a model of each group (of each listed one, if ``values`` are given) that has enough rows on both sides and, with ``label``, both classes in the test rows.
 
-    ``prepare`` makes a group's features from its own rows. The list is short
-    (top_groups): any estimator does, at a fit for each group. For linear and
-    logistic models of all groups at once see ``linear_groups`` and ``logistic_groups``.
+    ``prepare`` makes a group's features from its own rows. Any estimator does,
+    at a fit for each group, the largest first. Under ``path``, rows are stored
+    by group before, so that a fit reads its own only, however many groups there
+    are. For linear and logistic models of all groups at once see
+    ``linear_groups`` and ``logistic_groups``.
     """
     kinds = F.countDistinct(label) if label else F.lit(2)
-    sizes = lambda df: {r[group]: (r["n"], r["kinds"]) for r in df.filter(F.col(group).isin(list(values))).groupBy(group).agg(F.count("*").alias("n"), kinds.alias("kinds")).collect()}
-    a, b = sizes(train), sizes(test)
+    listed = F.col(group).isNotNull() if values is None else F.col(group).isin(list(values))
+    sizes = lambda df: df.filter(listed).groupBy(group).agg(F.count("*").alias("n"), kinds.alias("kinds"))
+    enough = sizes(train).filter(F.col("n") >= least_train).join(sizes(test).filter((F.col("n") >= least_test) & (F.col("kinds") > 1)).select(group), group)
+    ready = {r[group]: r["n"] for r in enough.orderBy(F.desc("n"), group).collect()}  # a row for each model
+    sides = [(df, F.col(group)) for df in (train, test)]
+    keys = {v: v for v in ready}
+    if path and ready:
+        keys = {v: i for i, v in enumerate(ready)}
+        numbered = train.sparkSession.createDataFrame(list(keys.items()), StructType([train.schema[group], StructField("_at", IntegerType())]))
+        for name, df in (("train", train), ("test", test)):
+            df.join(F.broadcast(numbered), group).select(*df.columns, "_at").write.partitionBy("_at").parquet(f"{path}/{name}")
+        sides = [(train.sparkSession.read.schema(StructType([*df.schema.fields, StructField("_at", IntegerType())])).parquet(f"{path}/{name}"), F.col("_at")) for name, df in (("train", train), ("test", test))]
     out = {}
-    for v in values:
-        if a.get(v, (0, 0))[0] >= least_train and b.get(v, (0, 0))[0] >= least_test and b[v][1] > 1:
-            own, other = prepare(train.filter(F.col(group) == v), test.filter(F.col(group) == v), a[v][0])
-            out[v] = make(a[v][0]).fit(own).transform(other)
+    for v, n in ready.items():
+        own, other = prepare(*[df.filter(of == keys[v]).drop("_at") for df, of in sides], n)
+        out[v] = make(n).fit(own).transform(other)
     return out
 
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from eventloom.functions import responses
@@ -68,3 +69,17 @@ def test_models_are_fitted_on_what_they_read(spark, monkeypatch):
     monkeypatch.setattr(models, "run_experiments", lambda train, test, *_: seen.append((train.columns, test.columns)) or train.count() * test.count())
     assert study_queries.tree_models(fixtures.Inputs(spark, "/root/testdata/sf0.001")) > 0
     assert seen == [(["features", "y"], ["features", "y"])]
+
+
+def test_every_language_has_a_model(spark, monkeypatch):
+    rows = [(i, f"l{i % 18:02d}", f"word{i // 18 % 2} text of many", i // 18 % 2, 20) for i in range(18 * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, quality int, n_chars int")
+    docs = docs.unionByName(docs.filter("lang = 'l03'").withColumn("lang", F.lit("")).withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(docs.limit(30).withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 20_000))
+    labels, t = docs.select("doc_id", "quality", F.lit(0).alias("toxic")), fixtures.Inputs(spark, "unused")
+    t.documents, t.labels = docs.drop("quality"), labels
+    # which languages get a model, not what features: the label itself is the one feature
+    monkeypatch.setattr(study_queries.features, "vocabulary", lambda *a, **kw: None)
+    monkeypatch.setattr(models, "with_text_vector", lambda df, *a, **kw: VectorAssembler(inputCols=["y"], outputCol="text_vector").transform(df))
+    got = {r["lang"]: (r["n"], r["accuracy"]) for r in study_queries.group_text_models(t).collect()}
+    tests = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).filter("lang IS NOT NULL").groupBy("lang").count().collect()
+    assert got == {r["lang"]: (r["count"], 1.0) for r in tests} and len(got) == 19
