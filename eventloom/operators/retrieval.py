@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .products import best_products
+from .products import best_products, best_shared_products
 
 
 def chunk_fixed(df: DataFrame, id_col: str, text_col: str, width: int = 700, step: int = 600, least: int = 100) -> DataFrame:
@@ -89,20 +89,18 @@ def keyword_score(weights: DataFrame, queries: DataFrame, id_col: str, k: int =
 
 
 def keyed_vectors(weights: DataFrame, id_col: str) -> DataFrame:
-    """(id, n, v): each document's terms as (at, weight), by the numbers of all n terms in use, which a vocabulary bounds."""
+    """(id, v): each document's terms as (at, weight), by the numbers of all terms in use, which a vocabulary bounds."""
     terms = F.array_sort(F.collect_set("term"))
-    known = weights.agg(terms.alias("t")).select(F.posexplode("t").alias("at", "term"), F.size("t").alias("n"))
-    held = weights.join(F.broadcast(known), "term").groupBy(id_col)
-    return held.agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "weight")).alias("v"))
+    known = weights.agg(terms.alias("t")).select(F.posexplode("t").alias("at", "term"))
+    return weights.join(F.broadcast(known), "term").groupBy(id_col).agg(F.collect_list(F.struct("at", "weight")).alias("v"))
 
 
 def keyword_best(held: DataFrame, queries: DataFrame, id_col: str, k: int = 10, places: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): the k of the ``keyed_vectors`` with the largest product to each query (query_id, n, v), by all products.
+    """(query_id, id, score, rank): the k of the ``keyed_vectors`` with the largest product to each query (query_id, v).
 
     Scores are rounded, ties go to the smaller id; documents that share no term with a query are not found.
     """
-    rows, asked = held.select(F.lit(0).alias("g"), F.col(id_col).alias("id"), "v", "n"), queries.select(F.col("query_id").alias("q"), "v", "n")
-    found = best_products(rows, asked, k, places, F.col("n"), shared=True)
+    found = best_shared_products(held.select(F.col(id_col).alias("id"), "v"), queries.select(F.col("query_id").alias("q"), "v"), k, places)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("id").alias(id_col), "score", "rank")
 

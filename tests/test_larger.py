@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -53,6 +54,44 @@ def test_best_products_against_all_pairs(spark, distance, monkeypatch):
             assert sorted(got[g, q])[:4] == sorted((s, i) for i, s in enumerate(scores.tolist()) if i % 2 == g)[:4]
 
 
+def in_languages(n, seed=7):
+    """Vectors of few of 200 terms, fifty to a language and some strays; one is common, some are alike."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        at = np.unique(np.concatenate([rng.integers(0, 50, 12) + 50 * (i % 4), rng.integers(0, 200, int(rng.random() < 0.1))]))
+        weight = rng.integers(1, 9, len(at)).astype(float)
+        rows.append([(int(a), float(w)) for a, w in zip(at, weight / np.linalg.norm(weight))])
+    return [rows[3] if i % 10 == 3 else r for i, r in enumerate(rows)]
+
+
+def test_best_shared_products_against_all_pairs(spark, monkeypatch):
+    for name, size in {"SHARED_ROWS": 300, "SHARED_QUERIES": 40, "BLOCK_QUERIES": 8, "TILE_ROWS": 20, "PLACES": 6}.items():
+        monkeypatch.setattr(products, name, size)
+    vectors = [*in_languages(900), [(7, 1.0)], [(260, 1.0)], []]  # of one term, of a term of its own, of none
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<struct<at: int, weight: double>>")
+    queries = rows.filter("id % 7 = 3 OR id >= 900").select(F.col("id").alias("q"), "v").unionByName(spark.createDataFrame([(5000, [(300, 1.0)])], "q long, v array<struct<at: int, weight: double>>"))
+    got = {}
+    for r in products.best_shared_products(rows, queries, 12, 4).collect():
+        got.setdefault(r["q"], []).append((-r["score"], r["id"]))
+    dense = np.zeros((len(vectors), 301))
+    for i, v in enumerate(vectors):
+        for at, w in v:
+            dense[i, at] = w
+    asked = [i for i in range(902) if i % 7 == 3 or i >= 900]
+    assert got.keys() == set(asked)
+    for q in asked:
+        scores = dense @ dense[q]
+        assert sorted(got[q])[:12] == sorted((-round(s, 4), i) for i, s in enumerate(scores.tolist()) if s > 0)[:12]
+
+
+def test_terms_that_few_share_are_not_multiplied():
+    vectors, spent = in_languages(4000), []
+    held = lambda name: pa.table([pa.array(range(len(vectors))), pa.array([[a for a, _ in v] for v in vectors], pa.list_(pa.int32())), pa.array([[w for _, w in v] for v in vectors], pa.list_(pa.float64()))], [name, "at", "weight"])
+    found = products._shared_comparer(5, 6, spent)((), held("id"), held("q"))
+    assert found.num_rows == 5 * len(vectors) and found.column("score").to_pylist()[0] == 1.0
+    assert sum(spent) < 0.4 * len(vectors) ** 2 * 200
+
+
 def test_a_task_of_the_index_holds_little():
     assert 3 * 8 * vector_index.QUERY_ROWS * vector_index.PART_ROWS < 400_000_000  # scores, their negatives and their order
 
