@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,39 +58,69 @@ def _runs(row: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted: of so many different numbers np.unique alone makes a hash table, which takes ten times as long."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=values[:1] - 1))]
+
+
 def _terms(df: DataFrame, text_col: str, most: int, stop: list[str], keep: int | None = None) -> DataFrame:
     """(term, tf, df): n-grams with their occurrences and documents in a part of the rows.
 
     With ``keep``, a task tells the occurrences of so many terms at most, as
-    Misra and Gries do: where it has more, what the next one has is taken from
-    all, which for no term is more than a ``keep``-th of the task's occurrences.
+    Misra and Gries do: where it, or a slice of it, has more, what the next one
+    has is taken from all. Each time more than ``keep`` terms lose as much, so
+    that no term loses more than a ``keep``-th of the task's occurrences.
     A row without a term has their number; documents are not counted.
     """
+    return _worded(df, text_col, stop).mapInArrow(_term_counter(most, keep), "term string, tf long, df long")
+
+
+def _term_counter(most: int, keep: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task of ``_terms`` runs."""
+
+    def counted(row: np.ndarray, words: pa.DictionaryArray) -> tuple[int, list[pa.RecordBatch]]:
+        """How many terms occur, and their counts, cut before any of them is spelled."""
+        at, size = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+        code, found, levels = at, [], [None]  # a level: of each n-gram the run of one word less and the last word
+
+        def spelled(n: int, own: np.ndarray) -> pa.Array:
+            if n == 1:
+                return words.dictionary.take(pa.array(own))
+            less, last = levels[n - 1]
+            return pc.binary_join_element_wise(spelled(n - 1, less[own]), words.dictionary.take(pa.array(last[own])), " ")
 
-    def counted(row: np.ndarray, words: pa.DictionaryArray) -> Iterator[pa.RecordBatch]:
-        at, name = words.indices.to_numpy().astype(np.int64), words.dictionary
-        code, size = at, max(1, len(name))
         for n in range(1, most + 1):
             starts = _runs(row, n)
-            if n > 1:  # by the run of one word less and the word behind it
-                keys, code_ = np.unique(code[starts] * size + at[starts + n - 1], return_inverse=True)
-                name = pc.binary_join_element_wise(name.take(pa.array(keys // size)), words.dictionary.take(pa.array(keys % size)), " ")
-                code = np.full(len(row), -1)
-                code[starts] = code_
-            tf = np.bincount(code[starts], minlength=len(name))
+            if n == 1:
+                tf = np.bincount(at, minlength=len(words.dictionary))
+            else:  # by the run of one word less and the word behind it
+                ahead = n < most or keep is None  # whether occurrences are looked at again
+                keys, *own, tf = np.unique(code[starts] * size + at[starts + n - 1], return_inverse=ahead, return_counts=True)
+                levels.append((keys // size, keys % size))
+                if ahead:
+                    code = np.full(len(row), -1)
+                    code[starts] = own[0]
             docs = starts[:0]
             if keep is None and len(starts):
-                docs = np.unique(code[starts] * (int(row[-1]) + 1) + row[starts]) // (int(row[-1]) + 1)
-            yield pa.RecordBatch.from_arrays([name, pa.array(tf, pa.int64()), pa.array(np.bincount(docs, minlength=len(name)), pa.int64())], ["term", "tf", "df"])
+                docs = _distinct(code[starts] * (int(row[-1]) + 1) + row[starts]) // (int(row[-1]) + 1)
+            found.append((tf, np.bincount(docs, minlength=len(tf))))
+        tfs = np.concatenate([tf for tf, _ in found])
+        less = 0 if keep is None or len(tfs) <= keep else np.partition(tfs, len(tfs) - keep - 1)[len(tfs) - keep - 1]
+        out = []
+        for n, (tf, docs) in enumerate(found, 1):
+            own = np.flatnonzero(tf > less)
+            out.append(pa.RecordBatch.from_arrays([spelled(n, own), pa.array(tf[own] - less, pa.int64()), pa.array(docs[own], pa.int64())], ["term", "tf", "df"]))
+        return int(tfs.sum()), out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, held = 0, None
         for _, row, words in _slices(parts):
-            found = list(counted(row, words))
+            n, found = counted(row, words)
             if keep is None:
                 yield from found
                 continue
-            every += sum(pc.sum(x.column("tf")).as_py() or 0 for x in found)
+            every += n
             table = pa.Table.from_batches([*found, *(held.to_batches() if held else [])]).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
             held = cut(table.rename_columns(["term", "tf", "df"]))
         if held is not None:
@@ -104,7 +134,7 @@ def _terms(df: DataFrame, text_col: str, most: int, stop: list[str], keep: int |
         less = tf - np.partition(tf, len(tf) - keep - 1)[len(tf) - keep - 1]
         return table.set_column(1, "tf", pa.array(less)).filter(pa.array(less > 0))
 
-    return _worded(df, text_col, stop).mapInArrow(run, "term string, tf long, df long")
+    return run
 
 
 class _Known:
@@ -154,7 +184,7 @@ def _counts(df: DataFrame, text_col: str, stop: list[str], terms: list[str]) ->
         for part, row, words in _slices(parts):
             row, term = known.found(row, words)
             tf += np.bincount(term, minlength=len(tf))
-            docs += np.bincount(np.unique(row * len(tf) + term) % max(1, len(tf)), minlength=len(tf))
+            docs += np.bincount(_distinct(row * len(tf) + term) % max(1, len(tf)), minlength=len(tf))
         some = np.flatnonzero(tf)
         yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in some], pa.string()), pa.array(tf[some]), pa.array(docs[some])], ["term", "tf", "df"])
 

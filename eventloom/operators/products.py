@@ -31,7 +31,7 @@ TILE_ROWS = 512
 #: Rows and queries of a task at most, about, and queries that are multiplied at a time, where vectors have few terms.
 SHARED_ROWS, SHARED_QUERIES, BLOCK_QUERIES = 65_536, 32_768, 4096
 #: Places that such vectors are ordered around, and how many of a part they are found on. The result doesn't depend on them.
-PLACES, PLACE_ROWS = 16, 4096
+PLACES, PLACE_ROWS = 16, 2048
 #: A term in fewer of a place's rows is a stray: rows with many of them are put together.
 STRAY = 0.02
 

@@ -4,12 +4,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from eventloom.functions import responses
-from eventloom.operators import metrics, models, portfolio, products, ranking, vector_index
+from eventloom.operators import features, metrics, models, portfolio, products, ranking, vector_index
 from eventloom.plans import fixtures, study_queries
 
 
@@ -54,6 +55,27 @@ def test_best_products_against_all_pairs(spark, distance, monkeypatch):
             assert sorted(got[g, q])[:4] == sorted((s, i) for i, s in enumerate(scores.tolist()) if i % 2 == g)[:4]
 
 
+def test_a_slice_is_cut_before_its_terms_are_spelled(monkeypatch):
+    spelled = []
+    join = pc.binary_join_element_wise
+    monkeypatch.setattr(pc, "binary_join_element_wise", lambda *x: spelled.append(len(x[0])) or join(*x))
+    rng = np.random.default_rng(3)
+    words = [[f"w{x}" for x in np.minimum(rng.geometric(0.02, 80), 400)] for _ in range(500)]
+    counted = {}
+    for row in words:
+        for term in [*row, *(f"{a} {b}" for a, b in zip(row, row[1:]))]:
+            counted[term] = counted.get(term, 0) + 1
+    keep = 300
+    task = features._term_counter(2, keep)
+    batch = pa.RecordBatch.from_arrays([pa.array(words)], ["_w"])
+    rows = {t: n for part in task(iter([batch, batch])) for t, n in zip(part.column("term").to_pylist(), part.column("tf").to_pylist())}
+    assert max(spelled) <= keep < len(counted)
+    every = rows.pop(None)
+    assert every == 2 * sum(counted.values()) and len(rows) <= keep
+    assert all(2 * counted[t] - every / keep <= n <= 2 * counted[t] for t, n in rows.items())
+    assert all(t in rows for t, n in counted.items() if 2 * n > every / keep)
+
+
 def in_languages(n, seed=7):
     """Vectors of few of 200 terms, fifty to a language and some strays; one is common, some are alike."""
     rng, rows = np.random.default_rng(seed), []
