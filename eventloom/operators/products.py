@@ -29,7 +29,7 @@ LEAST_PARTS = 24
 #: Rows that are multiplied at a time.
 TILE_ROWS = 512
 #: Rows and queries of a task at most, about, and queries that are multiplied at a time, where vectors have few terms.
-SHARED_ROWS, SHARED_QUERIES, BLOCK_QUERIES = 65_536, 32_768, 4096
+SHARED_ROWS, SHARED_QUERIES, BLOCK_QUERIES = 40_000, 32_768, 2048
 #: Places that such vectors are ordered around, and how many of a part they are found on. The result doesn't depend on them.
 PLACES, PLACE_ROWS = 16, 2048
 #: A term in fewer of a place's rows is a stray: rows with many of them are put together.
@@ -117,7 +117,7 @@ def _shared_comparer(k: int, places: int, spent: list | None = None) -> Callable
 
         def __init__(self, ends: np.ndarray, at: np.ndarray, weight: np.ndarray):
             self.n, self.ends, self.at, self.weight = len(ends) - 1, ends, at, weight
-            self.row = np.repeat(np.arange(self.n), np.diff(ends))
+            self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
 
         def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """(sizes, places) of the rows' weights."""
